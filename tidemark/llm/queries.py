@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.chat import OP5_SQL, op5_chat
+from tidemark.llm.fingerprints import op7_fingerprints
 from tidemark.llm.mixing import op3_mixing
 from tidemark.llm.sharding import op8_sharding
 from tidemark.llm.simhash import op1_simhash
@@ -13,6 +15,8 @@ from tidemark.llm.simhash import op1_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_mixing": op3_mixing,
+    "op5_chat": op5_chat,
+    "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_chat": OP5_SQL}
