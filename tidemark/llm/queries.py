@@ -11,6 +11,7 @@ from tidemark.llm.embeddings import op2_embeddings
 from tidemark.llm.fingerprints import op7_fingerprints
 from tidemark.llm.langid import op10_langid
 from tidemark.llm.mixing import op3_mixing
+from tidemark.llm.pieces import op4_sentencepiece
 from tidemark.llm.quality import op9_quality
 from tidemark.llm.sharding import op8_sharding
 from tidemark.llm.simhash import op1_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_embeddings": op2_embeddings,
     "op3_mixing": op3_mixing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,

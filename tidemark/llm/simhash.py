@@ -50,9 +50,12 @@ def simhash(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > n, bitorder="little").tobytes(), "little")
 
 
-@F.pandas_udf(LongType())
-def simhash_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([x - (1 << 64) if (x := simhash(t)) >> 63 else x for t in texts], dtype="int64")
+def simhash_udf(width: int = 4):  # noqa: ANN201
+    @F.pandas_udf(LongType())
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series([x - (1 << 64) if (x := simhash(t, width)) >> 63 else x for t in texts], dtype="int64")
+
+    return fingerprint
 
 
 def _bits(batch: pa.RecordBatch) -> np.ndarray:
@@ -178,7 +181,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     return spark.createDataFrame([], "src long, dst long") if links is None else links
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text).
 
     Null and empty texts have fingerprint 0 and link like any other; equal
@@ -187,7 +190,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     Repeated rows are returned as often as they come, other columns are ignored,
     and an empty table gives no rows.
     """
-    marked = stored(docs.select("doc_id", simhash_udf("text").alias("fp")), "fingerprints")
+    marked = stored(docs.select("doc_id", simhash_udf(width)("text").alias("fp")), "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     nodes = connected_components(link_fingerprints(fps, radius))
     named = fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -196,12 +199,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
     """One row of docs for each group of near copies: that of the least doc_id, all columns kept.
 
     Rows without doc_id stay as they are; of repeated rows of one doc_id one stays.
     """
-    leaders = near_duplicates(docs.where("doc_id is not null"), radius).where("doc_id = component_id").select("doc_id").distinct()
+    leaders = near_duplicates(docs.where("doc_id is not null"), radius, width).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
