@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, read, stored
 
-THRESHOLD, TREES, LEAF, SAMPLE, BLOCK, SEED = 0.93, 5, 384, 4096, 256, 11
+THRESHOLD, TREES, LEAF, SAMPLE, BLOCK, SEED = 0.93, 5, 192, 8192, 512, 11
 
 
 def fit_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     rng = np.random.default_rng(seed)
     points = _matrix(fitted, width) if len(fitted) else np.zeros((0, width))
     forest = [fit_tree(points, depth, rng) for _ in range(trees)]
-    spill = math.sqrt(2 - 2 * threshold) / math.sqrt(max(width, 1))
+    # Half the root mean square of what a just linked pair differs by along a random direction.
+    spill = 0.5 * math.sqrt(2 - 2 * threshold) / math.sqrt(max(width, 1))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
