@@ -33,7 +33,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.digest(pieces.encode_texts(docs.select("doc_id", "text")))
+    return pieces.encode_digests(docs)
 
 
 STAGES = [("toxicity", toxic), ("language", language), ("near_copies", near_copies), ("mixing", mixed), ("encoding", encoded)]

@@ -18,12 +18,15 @@ Random numbers depend on the row key alone.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ from tidemark.llm.common import read, widened
 
 MODEL, SAMPLES, SEED = "/opt/tokenizers/piece_bpe_32k.model", 3, 17
 MARK, _LONGEST, _SPLIT = "▁", 16, 48
-_BATCH_CHARS = 3 << 20
+_BATCH_CHARS = 3 << 19
 _NONE, _BYTES = -1, -2
 _LITERAL = "\ud800"  # stands for U+2581 in a text; no text has it
 
@@ -408,56 +411,92 @@ def decode(ids: np.ndarray | list[int], vocabulary: Vocabulary) -> str:
 
 
 SAMPLE_TYPE = "array<struct<ids: array<int>, log_probability: double, inclusion: double>>"
+Segmented = tuple[np.ndarray, list[tuple[np.ndarray, float, float]]]
+
+
+def _blocks(batch: pa.RecordBatch, vocabulary: Vocabulary, samples: int) -> Iterator[tuple[pa.RecordBatch, list[Segmented | None]]]:
+    """Slices of a batch, about _BATCH_CHARS each, with what their texts (column text, key column _key) become."""
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + _BATCH_CHARS, "right")))
+        part = batch.slice(a, b - a)
+        texts = part.column("text").to_pylist()
+        found = segment([t or "" for t in texts], part.column("_key").to_numpy(zero_copy_only=False).astype(np.int64), vocabulary, samples)
+        yield part, [None if t is None else x for t, x in zip(texts, found, strict=True)]
+        a = b
+
+
+def _with_key(docs: DataFrame, key: str, seed: int) -> DataFrame:
+    return docs.withColumn("_key", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
 
 
 def encode_texts(docs: DataFrame, model: bytes | None = None, samples: int = SAMPLES, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """docs with ids (array<int>), samples (array of ids, log_probability, inclusion) and decoded, which replace columns so named.
+    """docs with ids (array<int>) and samples (array of ids, log_probability, inclusion), which replace columns so named.
 
-    Null texts have null ids, samples and decoded text. The empty text has no
-    ids and no samples: it has one, empty segmentation. Rows of equal key and
-    text get equal samples; a null key counts as 0. Whole texts are segmented.
+    Null texts have null ids and samples. The empty text has one segmentation,
+    without ids, and a lone sample, itself. Rows of equal key and text get equal
+    samples; a null key is a key. Whole texts are segmented. Other columns stay.
     """
     model = model or load()
-    held = docs.drop("ids", "samples", "decoded")
+    held = docs.drop("ids", "samples")
     names = held.columns
-    keyed = held.withColumn("_key", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
     fields = pa.struct([("ids", pa.list_(pa.int32())), ("log_probability", pa.float64()), ("inclusion", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _loaded(model)
         for batch in batches:
-            sizes = np.cumsum([len(t) if (t := x.as_py()) else 0 for x in batch.column("text")])
-            cuts = [0]
-            while cuts[-1] < batch.num_rows:
-                held_chars = sizes[cuts[-1] - 1] if cuts[-1] else 0
-                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(sizes, held_chars + _BATCH_CHARS, "right"))))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(a, b - a)
-                texts = part.column("text").to_pylist()
-                found = segment([t or "" for t in texts], part.column("_key").to_numpy(zero_copy_only=False).astype(np.int64), vocabulary, samples)
-                none = [t is None for t in texts]
-                ids = [None if m else x for (x, _), m in zip(found, none, strict=True)]
-                drawn = [None if m else [{"ids": i, "log_probability": p, "inclusion": q} for i, p, q in s if len(i)] for (_, s), m in zip(found, none, strict=True)]
-                back = [None if m else decode(x.tolist(), vocabulary) for (x, _), m in zip(found, none, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array(drawn, pa.list_(fields)), pa.array(back, pa.string())], [*names, "ids", "samples", "decoded"])
-
-    return keyed.mapInArrow(run, widened(held, f"ids array<int>, samples {SAMPLE_TYPE}, decoded string"))
-
-
-def digest(encoded: DataFrame) -> DataFrame:
-    """What op4 and the pipeline return of encoded rows: counts and digests, so that a row stays small."""
-    joined = lambda ids: F.sha2(F.array_join(ids, ","), 256)
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        joined(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.size("samples").alias("n_samples"),
-        F.transform("samples", lambda s: joined(s["ids"])).alias("sample_sha256"),
-        F.transform("samples", lambda s: F.round(s["log_probability"], 6)).alias("log_probability"),
-        F.transform("samples", lambda s: F.round(s["inclusion"], 9)).alias("inclusion"),
-    )
+            for part, found in _blocks(batch, vocabulary, samples):
+                ids = pa.array([x and x[0].astype(np.int32) for x in found], pa.list_(pa.int32()))
+                drawn = pa.array([x and [{"ids": i.astype(np.int32), "log_probability": p, "inclusion": q} for i, p, q in x[1]] for x in found], pa.list_(fields))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, drawn], [*names, "ids", "samples"])
+
+    return _with_key(held, key, seed).mapInArrow(run, widened(held, f"ids array<int>, samples {SAMPLE_TYPE}"))
+
+
+def decode_ids(encoded: DataFrame, model: bytes | None = None, column: str = "ids") -> DataFrame:
+    """encoded with the column ``decoded``: the text of the ids (array<int>) in ``column``; null for null."""
+    model = model or load()
+
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        vocabulary = _loaded(model)
+        return pd.Series([None if x is None else decode(x.tolist(), vocabulary) for x in ids], dtype=object)
+
+    return encoded.withColumn("decoded", text(column))
+
+
+DIGEST = "n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean, n_samples int, sample_sha256 array<string>, log_probability array<double>, inclusion array<double>"
+
+
+def encode_digests(docs: DataFrame, model: bytes | None = None, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """(doc_id, ...) with counts and digests of what encode_texts gives for docs (doc_id, text), so that a row stays small.
+
+    Digests are hexadecimal SHA-256 of ids as little-endian 32-bit numbers, and
+    of the decoded text in UTF-8; round_trip says that all samples decode to the
+    text. Null texts have nulls.
+    """
+    model = model or load()
+    hexed = lambda ids: hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+
+    def told(text: str, found: Segmented, vocabulary: Vocabulary) -> tuple:
+        ids, drawn = found
+        back = decode(ids.tolist(), vocabulary)
+        same = back == text and all(decode(i.tolist(), vocabulary) == text for i, _, _ in drawn)
+        return len(ids), hexed(ids), hashlib.sha256(back.encode()).hexdigest(), same, len(drawn), [hexed(i) for i, _, _ in drawn], [round(p, 6) for _, p, _ in drawn], [round(q, 9) for _, _, q in drawn]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _loaded(model)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        names = [x.split()[0] for x in DIGEST.split(", ")]
+        for batch in batches:
+            for part, found in _blocks(batch, vocabulary, samples):
+                rows = [(None,) * len(kinds) if x is None else told(t.as_py(), x, vocabulary) for t, x in zip(part.column("text"), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
+
+    slim = docs.select("doc_id", "text")
+    return _with_key(slim, "doc_id", seed).mapInArrow(run, widened(slim.select("doc_id"), DIGEST))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return encode_digests(read(spark, sf_dir, "documents"))

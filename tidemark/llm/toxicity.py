@@ -12,6 +12,7 @@ learned from labelled texts.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,6 +27,10 @@ from tidemark.llm.common import read, widened
 from tidemark.llm.samples import labelled
 
 REJECT, SAMPLE = 0.7, 6000
+#: Least likelihood ratio, and least share of different surroundings, of a learned insult.
+LIKELY, VARIED = 25.0, 0.5
+#: Least different words that make a stem.
+FORMS = 3
 #: Words of the grammar in English, German, French and Spanish.
 THREATS = frozenset("kill hurt destroy shoot stab burn beat töten umbringen vernichten tuer détruire frapper matar destruir golpear".split())
 TARGETS = frozenset("you your you're u he she they him her them du dich dein ihr euch tu toi vous ton él ella ellos tú usted te".split())
@@ -158,33 +163,67 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = 20_000) -> Lexicon:
+def _neighbours(keys: set[str]):  # noqa: ANN202
+    """(key, around, form) of toxic texts: hashes of the two words around a key and of the word that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[tuple[str, int, int]] = set()
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                words = ["", *_WORD.findall(text.lower()), ""] if label else []
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    mine = [k for k in (word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)) if k in keys]
+                    if mine:
+                        around, form = zlib.crc32(f"{before} {after}".encode()), zlib.crc32(word.encode())
+                        seen.update((k, around, form) for k in mine)
+            rows = sorted(seen)
+            yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _, _ in rows], pa.string()), "around": pa.array([x for _, x, _ in rows], pa.int64()), "form": pa.array([x for _, _, x in rows], pa.int64())})
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = 8000) -> Lexicon:
     """A lexicon learned from about ``sample`` labelled rows a class of docs (doc_id, text).
 
     A word or stem is an insult if toxic texts hold it so much more often that
     chance is ruled out (likelihood ratio of 25 or more, nine in ten of its
-    texts toxic after evening out the classes); its weight is its log odds. At
-    most ``most`` entries stay. The grammar's own insults stay in unless the
-    labels speak against them.
+    texts toxic after evening out the classes), and if it stands between
+    different words: words of one toxic text with many copies don't. Its weight
+    is its log odds. At most ``most`` entries stay. The grammar's own insults
+    stay in unless the labels speak against them.
     """
     rows = labelled(docs, labels, "toxic", 3, 1, sample)
     totals = rows.select("text", "label").mapInArrow(_counted, "key string, toxic long, rest long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("rest").alias("rest"))
     # Keys in few toxic texts can't qualify; at most ``most`` rows and the sums reach the driver.
-    found = totals.where((F.col("toxic") >= 4) & (F.col("toxic") >= F.col("rest") / 4) | (F.col("key") == "") | F.col("key").isin(sorted(INSULTS))).orderBy(F.desc(F.col("key") == ""), F.desc(F.col("toxic") - 4 * F.col("rest")), "key").limit(most).toPandas()
+    found = totals.where((F.col("toxic") >= 4) & (F.col("toxic") >= F.col("rest") * 4) | (F.col("key") == "") | F.col("key").isin(sorted(INSULTS))).orderBy(F.desc(F.col("key") == ""), F.desc(F.col("toxic") - 4 * F.col("rest")), "key").limit(most).toPandas()
     sums = found[found["key"] == ""]
     n1, n0 = (int(sums[c].sum()) for c in ("toxic", "rest"))
     words, stems = dict.fromkeys(INSULTS, 3.0), {}
     if not n1 or not n0:
         return Lexicon(words, stems)
+    likely: dict[str, tuple[int, float]] = {}
     for key, a, b in zip(*(found[c] for c in ("key", "toxic", "rest")), strict=True):
         p, q, every = a / n1, b / n0, (a + b) / (n1 + n0)
         log = lambda x: float(np.log(max(x, 1e-12)))
         ratio = 2 * (a * (log(p) - log(every)) + b * (log(q) - log(every)) + (n1 - a) * (log(1 - p) - log(1 - every)) + (n0 - b) * (log(1 - q) - log(1 - every)))
         odds = log((a + 0.5) / (n1 + 1)) - log((b + 0.5) / (n0 + 1))
-        if key and ratio >= 25 and odds >= np.log(9):
-            (stems if key.endswith("*") else words)[key.rstrip("*")] = min(odds, 6.0)
+        if key and ratio >= LIKELY and odds >= np.log(9):
+            likely[key] = int(a), min(odds, 6.0)
         elif key in words and a + b >= 8 and odds < np.log(3):
             del words[key]
+    # Two numbers for each of at most ``most`` keys reach the driver.
+    seen = rows.select("text", "label").mapInArrow(_neighbours(set(likely)), "key string, around long, form long").distinct().groupBy("key").agg(F.countDistinct("around"), F.countDistinct("form"))
+    varied = {key: forms for key, around, forms in seen.toPandas().itertuples(index=False) if around >= max(4, VARIED * likely[key][0])}
+    longer: dict[str, int] = {}
+    for key in varied:
+        if key.endswith("*"):
+            longer[key[:-2]] = max(longer.get(key[:-2], 0), likely[key][0])
+    for key, forms in varied.items():
+        stem = key.rstrip("*")
+        if stem == key:
+            words[key] = likely[key][1]
+        elif forms >= FORMS and longer.get(stem, 0) < 0.95 * likely[key][0]:  # else a longer stem says as much
+            stems[stem] = likely[key][1]
     # A stem stands for its longer forms; a word that one of its stems explains needs no entry of its own.
     lexicon = Lexicon(words, stems)
 
