@@ -114,7 +114,7 @@ OP5_SQL = r"""
 WITH events AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-written AS (SELECT *, 25 + length(role) + length(text)
+written AS (SELECT *, 24 + length(role) + length(text)
   + length(role || text) - length(replace(role || text, '\', ''))
   + length(role) - length(replace(role, chr(10), ''))
   + length(regexp_extract_all(role, '<\||</?s>|<</?SYS>>|\[/?INST\]')) + length(regexp_extract_all(text, '<\||</?s>|<</?SYS>>|\[/?INST\]')) AS chars FROM events)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import OP5_SQL, op5_chat
-from tidemark.llm.embeddings import op2_embeddings
+from tidemark.llm.embeddings import OP2_SQL, op2_embeddings
 from tidemark.llm.fingerprints import op7_fingerprints
 from tidemark.llm.langid import op10_langid
 from tidemark.llm.mixing import op3_mixing
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
-SQL: dict[str, str] = {"op5_chat": OP5_SQL}
+SQL: dict[str, str] = {"op2_embeddings": OP2_SQL, "op5_chat": OP5_SQL}
