@@ -1 +1,44 @@
-"""See the modules of this package."""
+"""Scalar functions over columns."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def mean_of(v: Column) -> Column:
+    """Mean of an array of doubles; null for an empty one."""
+    return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v))
+
+
+def rising(v: Column) -> Column:
+    """Whether the second half's mean is above the first half's; false for fewer than 2 values."""
+    half = F.floor(F.size(v) / 2).cast("int")
+    return F.coalesce(mean_of(F.slice(v, half + 1, F.size(v) - half)) > mean_of(F.slice(v, F.lit(1), half)), F.lit(False))
+
+
+def crosses_above(a: Column, b: Column) -> Column:
+    """Whether a ends at or above b after being below it one value before."""
+    return F.coalesce((F.try_element_at(a, F.lit(-2)) < F.try_element_at(b, F.lit(-2))) & (F.try_element_at(a, F.lit(-1)) >= F.try_element_at(b, F.lit(-1))), F.lit(False))
+
+
+def majority_positive(v: Column) -> Column:
+    return F.size(F.filter(v, lambda x: x > 0)) * 2 > F.size(v)
+
+
+def trigrams(s: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
+
+
+def trigram_distance(a: Column, b: Column) -> Column:
+    """1 - Jaccard similarity of the character trigrams of two strings."""
+    x, y = trigrams(a), trigrams(b)
+    return 1 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
+@F.pandas_udf("double")
+def normal_cdf(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore")

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Queries over the market tables and the SQL that another engine can check them with."""

@@ -1 +1,43 @@
-"""See the modules of this package."""
+"""Structured Streaming twins of the batch bars."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(symbol, start, open, high, low, close, n, value) of ticks (event_id, ts, event_type, value), batch or stream.
+
+    Ticks later than ``late`` behind the newest are dropped by a stream's watermark.
+    """
+    order = F.struct("ts", "event_id")
+    bars = ticks.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("event_type").alias("symbol"))
+    return bars.agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("n")).select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "n")
+
+
+def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, start, n, value) of each user's runs of events less than ``gap`` apart, batch or stream."""
+    return ticks.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("value").alias("best")).select("user_id", F.col("session_window.start").alias("start"), "n", "best")
+
+
+def _folder(spark: SparkSession) -> str:
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_to_end(spark: SparkSession, source: str, pattern: str, build) -> DataFrame:  # noqa: ANN001
+    """All rows that a streaming aggregate over the Parquet files of a folder has when what is there is read.
+
+    Every micro-batch rewrites the result table (complete mode), so a rerun of a batch changes nothing.
+    """
+    place = _folder(spark)
+    stream = spark.readStream.schema(spark.read.parquet(f"{source}/{pattern}").schema).option("pathGlobFilter", pattern).parquet(source)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    aggregated = build(stream)
+    query = aggregated.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/checkpoint").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{place}/table")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(aggregated.schema).parquet(f"{place}/table")
