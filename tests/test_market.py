@@ -52,7 +52,7 @@ def test_entry(spark):
 
 
 def test_rounded_nests():
-    assert duckdb.sql("SELECT " + rounded("round(round(1.26e0, 1) + 0.004e0, 2)")).fetchone()[0] == 1.3
+    assert duckdb.sql("SELECT " + rounded("round(round(1.26e0, 1) + 0.004e0, 2)")).fetchall()[0][0] == 1.3
 
 
 def test_asof_takes_the_last_at_or_before(spark):

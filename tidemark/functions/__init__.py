@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def mean_of(v: Column) -> Column:
@@ -39,6 +40,6 @@ def trigram_distance(a: Column, b: Column) -> Column:
     return 1 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore")
