@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, pieces, simhash, toxicity
+from tidemark.llm import langid, mixing, nearcopies, pieces, toxicity
 from tidemark.llm.common import read, stored
 
 
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles are of five words here; texts without a word are exact copies of each other at best."""
-    return simhash.keep_one(docs, width=5)
+    """Near copies share at least 0.8 of their shingles of five words."""
+    return nearcopies.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, embeddings, fingerprints, langid, mixing, pieces, quality, sharding, simhash, toxicity
+from tidemark.llm import chat, embeddings, fingerprints, langid, mixing, nearcopies, pieces, quality, sharding, simhash, toxicity
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -46,8 +46,66 @@ def test_simhash_odd_and_brute(spark, odd):
         hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(3)]
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 3)
         assert by[1]["fingerprint"] == f"{want:016x}"
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 0
+
+
+def test_near_copies_odd(spark, odd):
+    kept = nearcopies.keep_one(odd)
+    assert kept.columns == odd.columns
+    if odd.count():
+        # 4 repeats 1 but for case, 3 is as wordless as 2, the row without an id stays
+        assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 7, 8, 9]
+
+
+def test_near_copies_share_shingles(spark):
+    rng = random.Random(5)
+    rows, words = [], [f"w{k}" for k in range(4000)]
+    for base in range(25):
+        text = rng.choices(words, k=rng.choice([30, 150, 600]))
+        for _ in range(12):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), int(len(copy) * rng.choice([0, 0.01, 0.02, 0.03, 0.1]))):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, parent = [set(nearcopies.shingle_hashes(t, 5).tolist()) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for i, j in linked:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert sum(got[i] == got[j] for i, j in linked) >= 0.98 * len(linked)
+    assert all(root(i) == root(got[i]) for i in got)
+
+
+def test_thresholds_reach_the_recall():
+    costs = [[(-1, 0.0, 1.0), (0, 1.0 + k, 0.9), (1, 3.0 + k, 0.6)] for k in range(12)]
+    cost, chosen = nearcopies.allocate(costs, 0.05)
+    missed = math.prod({-1: 1.0, 0: 0.9, 1: 0.6}[t] for t in chosen)
+    assert missed <= 0.05 and cost == sum({-1: 0, 0: 1 + k, 1: 3 + k}[t] for k, t in enumerate(chosen))
+    assert nearcopies.allocate(costs[:1], 0.05) is None
+
+
+def test_spanning_forest_is_least():
+    rng = np.random.default_rng(2)
+    u, v, d = rng.integers(0, 30, 200), rng.integers(0, 30, 200), rng.integers(0, 50, 200)
+    u, v, d = u[u != v], v[u != v], d[u != v]
+    kept = nearcopies.spanning_forest(u, v, d, 30)
+    parent, least = list(range(30)), 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in np.argsort(d, kind="stable"):
+        if root(u[k]) != root(v[k]):
+            parent[root(u[k])] = root(v[k])
+            least += d[k]
+    assert d[kept].sum() == least and len(kept) == 30 - len({root(x) for x in range(30)})
 
 
 def test_simhash_links_are_exact(spark):

@@ -1,7 +1,7 @@
 """The pipeline's stages, each on its own input, against plain Python."""
 
 import corpus_pipeline
-from tidemark.llm import simhash
+from tidemark.llm import nearcopies
 from tidemark.llm.common import read, stored
 
 DATA = "/root/testdata/sf0.001"
@@ -16,7 +16,7 @@ def test_stages(spark):
         if name in ("toxicity", "language"):
             assert 0.5 * docs.count() < out.count() <= docs.count()
         if name == "near_copies":
-            texts = {r["doc_id"]: simhash.simhash(r["text"], 5) for r in docs.collect()}
+            texts = {r["doc_id"]: set(nearcopies.shingle_hashes(r["text"], 5).tolist()) for r in docs.collect()}
             parent = {d: d for d in texts}
 
             def root(d, parent=parent):
@@ -27,7 +27,7 @@ def test_stages(spark):
             ids = sorted(texts)
             for i, a in enumerate(ids):
                 for b in ids[:i]:
-                    if (texts[a] ^ texts[b]).bit_count() <= 4:
+                    if texts[a] == texts[b] or len(texts[a] & texts[b]) / len(texts[a] | texts[b]) >= 0.8:
                         parent[max(root(a), root(b))] = min(root(a), root(b))
             assert {r["doc_id"] for r in out.collect()} == {d for d in ids if root(d) == d}
         if name == "mixing":

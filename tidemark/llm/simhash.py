@@ -30,11 +30,11 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
 
 
-def simhash(text: str | None, width: int = 4) -> int:
-    """Unsigned fingerprint of the word shingles of a text; 0 if it has no word."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every word shingle of a text, repeats included; of the whole sequence if it has fewer words; empty if none."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
@@ -43,11 +43,17 @@ def simhash(text: str | None, width: int = 4) -> int:
     else:
         n = len(words) - width + 1
         spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)
-    digest, set_bits = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    while chunk := [digest(joined[a:b], 42) for a, b in itertools.islice(spans, _CHUNK)]:
-        hashes = np.array(chunk, "<u8").view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > n, bitorder="little").tobytes(), "little")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), "<u8", n)
+
+
+def simhash(text: str | None, width: int = 4) -> int:
+    """Unsigned fingerprint of the word shingles of a text; 0 if it has no word."""
+    hashes, set_bits = shingle_hashes(text, width), np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
+        set_bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_bits > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def simhash_udf(width: int = 4):  # noqa: ANN201
@@ -199,14 +205,5 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
-    """One row of docs for each group of near copies: that of the least doc_id, all columns kept.
-
-    Rows without doc_id stay as they are; of repeated rows of one doc_id one stays.
-    """
-    leaders = near_duplicates(docs.where("doc_id is not null"), radius, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
