@@ -267,7 +267,7 @@ def candidate_links(prints: DataFrame, similarity: float = 0.8, recall: float =
     limit = math.ceil(BITS * p + 5 * math.sqrt(BITS * p * (1 - p)))
     rows = prints.select("id", "print").mapInArrow(_keys(plan), "id long, print binary, held array<long>, probes array<long>")
     rows = rows.select("id", "print", F.explode(F.concat(F.transform("held", lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))))).alias("at")).select("id", "print", "at.key", "at.probe")
-    rows = stored(rows, "keys")
+    # The keys are worked out twice rather than stored: they are several times the fingerprints.
     # A key that no second row has gives no pair.
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
     dealt = rows.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64("id", "probe"), "pieces").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
