@@ -81,6 +81,15 @@ def test_near_copies_share_shingles(spark):
     assert all(root(i) == root(got[i]) for i in got)
 
 
+def test_near_copies_replace_links_that_fail(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:150] + ["other"] + words[151:])), (3, " ".join(f"v{k}" for k in range(300)))]
+    forest = lambda prints, *_: prints.alias("a").join(prints.where("first_id = 3").alias("b"), F.expr("a.id <> b.id")).selectExpr("least(a.id, b.id) AS src", "greatest(a.id, b.id) AS dst")
+    monkeypatch.setattr(nearcopies, "candidate_links", forest)
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_thresholds_reach_the_recall():
     costs = [[(-1, 0.0, 1.0), (0, 1.0 + k, 0.9), (1, 3.0 + k, 0.6)] for k in range(12)]
     cost, chosen = nearcopies.allocate(costs, 0.05)

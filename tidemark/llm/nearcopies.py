@@ -8,6 +8,11 @@ probed, equal, or one bit apart), and dynamic programming picks the thresholds
 of least estimated cost with which a pair of just the wanted similarity meets
 in some partition with the wanted probability. Pairs that meet are verified by
 the distance of the whole fingerprints, then by the shingles themselves.
+
+That finds most groups, not all. What is left is found exactly: texts that
+share enough of their shingles have one in common among their first few in any
+one order of all shingles (the prefix filter). Rarer shingles come first, and
+pairs that are in one group already are passed over.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ WIDTHS = range(8, 41, BLOCK)
 ROW_COST = 400
 #: Rows of one key that are compared in one piece; more are dealt into pieces, compared two by two.
 PIECE = 1024
+#: Texts whose shingles are counted, how many of them make a shingle common, and the most such shingles: these set an order, not what is found.
+SAMPLED, COMMON, MOST = 1 << 14, 8, 1 << 16
+#: Pairs that leave a task for each of its rows in the first round over the prefixes, and how many times that in each further one.
+FIRST, GROWTH = 16, 8
 _LANE = np.arange(1, LANES + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,24 +196,8 @@ def _near(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
     return i, j, distance[i, j]
 
 
-def _compare(limit: int):  # noqa: ANN202
-    """Edges of a least spanning forest over the near pairs of every (key, i, j); rows come sorted by these."""
-
-    def edges(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        _, i, j, piece, probe, ids, prints = rows
-        mine, held = piece == i, ~probe
-        pairs = [(mine & held, np.ones(len(ids), bool))] if i[0] == j[0] else [(mine & held, ~mine), (~mine & held, mine & probe)]
-        u, v, d = [], [], []
-        for x, y in pairs:
-            x, y = np.flatnonzero(x), np.flatnonzero(y)
-            a, b, c = _near(prints[x], prints[y], limit)
-            u, v, d = [*u, x[a]], [*v, y[b]], [*d, c]
-        u, v, d = map(np.concatenate, (u, v, d))
-        known, at = np.unique(ids, return_inverse=True)
-        differ = at[u] != at[v]
-        u, v, d = at[u[differ]], at[v[differ]], d[differ]
-        kept = spanning_forest(u, v, d, len(known))
-        return known[np.minimum(u[kept], v[kept])], known[np.maximum(u[kept], v[kept])]
+def _grouped(edges, columns):  # noqa: ANN001, ANN202
+    """The edges (src, dst) of every (key, i, j), the first columns; rows come sorted by these."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -220,7 +213,7 @@ def _compare(limit: int):  # noqa: ANN202
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [_words(batch.column(6))]
+            rows = columns(batch)
             rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             key, i, j = rows[:3]
             ends = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -234,6 +227,28 @@ def _compare(limit: int):  # noqa: ANN202
     return compare
 
 
+def _compare(limit: int):  # noqa: ANN202
+    """Edges of a least spanning forest over the near pairs of every (key, i, j); rows come sorted by these."""
+
+    def edges(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        _, i, j, piece, probe, ids, prints = rows
+        mine, held = piece == i, ~probe
+        pairs = [(mine & held, np.ones(len(ids), bool))] if i[0] == j[0] else [(mine & held, ~mine), (~mine & held, mine & probe)]
+        u, v, d = [], [], []
+        for x, y in pairs:
+            x, y = np.flatnonzero(x), np.flatnonzero(y)
+            a, b, c = _near(prints[x], prints[y], limit)
+            u, v, d = [*u, x[a]], [*v, y[b]], [*d, c]
+        u, v, d = map(np.concatenate, (u, v, d))
+        known, at = np.unique(ids, return_inverse=True)
+        differ = at[u] != at[v]
+        u, v, d = at[u[differ]], at[v[differ]], d[differ]
+        kept = spanning_forest(u, v, d, len(known))
+        return known[np.minimum(u[kept], v[kept])], known[np.maximum(u[kept], v[kept])]
+
+    return _grouped(edges, lambda batch: [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [_words(batch.column(6))])
+
+
 def _keys(plan: list[tuple[list[int], int]]):  # noqa: ANN202
     """For every fingerprint the keys it is held under, then those it probes one bit apart."""
     powers = [np.int64(1) << np.arange(len(bits), dtype=np.int64) for bits, _ in plan]
@@ -275,15 +290,83 @@ def candidate_links(prints: DataFrame, similarity: float = 0.8, recall: float =
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(limit), "src long, dst long").distinct()
 
 
-def _fingerprints(width: int):  # noqa: ANN202
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many texts have, by rising number; counted in a sample of docs (text), so a matter of cost alone."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                hashes = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(hashes).view(np.int64)})
+
+    n = docs.count()
+    some = docs.select("text").sample(SAMPLED / n, seed=1) if n > SAMPLED else docs.select("text")
+    counts = some.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.array([r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST).collect()][::-1], np.int64)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first distinct shingles in an order that puts common ones last: so many that texts of that similarity share one."""
+    by_hash = np.argsort(common)
+    at = np.searchsorted(common[by_hash], shingles)
+    rank = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = by_hash[np.minimum(at, len(common) - 1)]
+        rank = np.where(common[at] == shingles, at + 1, 0)
+    least = math.ceil(similarity * len(shingles) - 1e-9)
+    return shingles[np.lexsort((shingles, rank))[: len(shingles) - least + 1]]
+
+
+def _fingerprints(width: int, similarity: float, common: np.ndarray):  # noqa: ANN202
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["doc_id", "print"])
+            prints, sizes, firsts = [], [], []
+            for t in batch.column(1):
+                hashes = np.unique(shingle_hashes(t.as_py(), width))
+                prints.append(wide_fingerprint(hashes))
+                sizes.append(len(hashes))
+                firsts.append(prefix(hashes.view(np.int64), common, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "print", "size", "prefix"])
 
     return fingerprints
 
 
+def _meet(similarity: float, share: int):  # noqa: ANN202
+    """Pairs of a (key, i, j) that may be similar and are in two components; a pair (-1, -1) says that some were held back."""
+
+    def edges(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        _, i, j, piece, component, size, at, ids = rows
+        x = np.flatnonzero(piece == i)
+        y = x if i[0] == j[0] else np.flatnonzero(piece != i)
+        # Where the shingle is the first that both have, so many can be common at most; fewer than the similarity asks are too few.
+        most = size - at
+        a, b = np.nonzero((component[x][:, None] != component[y]) & (np.minimum(most[x][:, None], most[y]) >= similarity / (1 + similarity) * (size[x][:, None] + size[y]) - 1e-9))
+        src, dst = ids[x[a]], ids[y[b]]
+        if y is x:
+            src, dst = src[src < dst], dst[src < dst]
+        src, dst = np.minimum(src, dst), np.maximum(src, dst)
+        if len(src) > share * len(ids):
+            mixed = (src * np.int64(0x1E3779B97F4A7C15)) ^ (dst * np.int64(0x3F58476D1CE4E5B9))
+            some = np.argpartition(mixed ^ (mixed >> np.int64(31)), share * len(ids))[: share * len(ids)]
+            src, dst = np.append(src[some], -1), np.append(dst[some], -1)
+        return src, dst
+
+    return _grouped(edges, lambda batch: [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)])
+
+
+def prefix_links(prints: DataFrame, similarity: float, share: int) -> DataFrame:
+    """Pairs (src, dst) of ids in two components that share a shingle of their prefixes; prints has (id, component, size, prefix).
+
+    A task gives ``share`` pairs a row at most. If it had more, (-1, -1) is among the pairs.
+    """
+    rows = prints.select("id", "component", "size", F.posexplode("prefix").alias("at", "key"))
+    # A key all of whose rows are in one component joins nothing more.
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
+    dealt = rows.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select("key", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "component", "size", F.col("at").cast("long").alias("at"), "id")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(similarity, share), "src long, dst long").distinct()
+
+
 def _shingles(width: int):  # noqa: ANN202
     """Rows whose text has the print that the row names, with their distinct shingles; few texts at a time."""
 
@@ -301,28 +384,44 @@ def _shingles(width: int):  # noqa: ANN202
     return shingles
 
 
+def verified(links: DataFrame, docs: DataFrame, prints: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The links (src, dst) whose texts share ``similarity`` of their distinct shingles or more."""
+    wanted = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(prints.where("first_id is not null"), "id")
+    texts = docs.select("doc_id", "text").join(wanted.select("id", "print", F.col("first_id").alias("doc_id")), "doc_id").select("id", "print", "text")
+    sets = stored(texts.mapInArrow(_shingles(width), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    pairs = links.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
+    both = F.size(F.array_intersect("a", "b"))
+    return stored(pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("src", "dst"), "verified")
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.99) -> DataFrame:
     """(doc_id, component_id) of every row of docs (doc_id, text): the least doc_id that links of ``similarity`` or more reach.
 
     The similarity of two texts is the share of their distinct word shingles
-    that both have. Every link is verified on the shingles; a pair of just that
-    similarity is found with probability ``recall``. Texts without a word
+    that both have. Every link is verified on the shingles. The fingerprints
+    find a pair of just that similarity with probability ``recall``; all pairs
+    between the groups that come of it are then found by their prefixes, in
+    rounds, until no task holds a pair back. Texts without a word
     (null ones too) are copies of each other. Rows without doc_id get the
     component of their text but never name one. Repeated rows are returned as
     often as they come, other columns are ignored, an empty table gives no rows.
     """
-    marked = stored(docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, print binary"), "prints")
-    prints = stored(marked.groupBy("print").agg(F.min("doc_id").alias("first_id")).withColumn("id", F.monotonically_increasing_id()), "distinct")
-    links = stored(candidate_links(prints, similarity, recall), "candidates")
-    wanted = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(prints.where("first_id is not null"), "id")
-    texts = docs.select("doc_id", "text").join(wanted.select("id", "print", F.col("first_id").alias("doc_id")), "doc_id").select("id", "print", "text")
-    sets = stored(texts.mapInArrow(_shingles(width), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
-    pairs = links.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
-    both = F.size(F.array_intersect("a", "b"))
-    sure = pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("src", "dst")
-    named = prints.join(connected_components(sure).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    common = common_shingles(docs, width)
+    marked = stored(docs.select("doc_id", "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, print binary, size long, prefix array<long>"), "prints")
+    prints = stored(marked.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("size", "prefix")).alias("_")).select("print", "first_id", "_.size", "_.prefix").withColumn("id", F.monotonically_increasing_id()), "distinct")
+
+    def grouped(sure: DataFrame) -> DataFrame:
+        return prints.join(connected_components(sure).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    sure, share, held = verified(stored(candidate_links(prints, similarity, recall), "candidates"), docs, prints, similarity, width), FIRST, True
+    named = grouped(sure)
+    while held:
+        links = stored(prefix_links(named, similarity, share), "candidates")
+        held = not links.where("src < 0").isEmpty()
+        sure = sure.unionByName(verified(links.where("src >= 0"), docs, prints, similarity, width))
+        named, share = grouped(sure), share * GROWTH
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return marked.join(named.join(least, "component").select("print", "component_id"), "print").select("doc_id", "component_id")
+    return marked.select("doc_id", "print").join(named.join(least, "component").select("print", "component_id"), "print").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
