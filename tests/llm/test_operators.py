@@ -90,6 +90,19 @@ def test_near_copies_replace_links_that_fail(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
 
 
+def test_near_copies_miss_no_short_pair(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k in range(600):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 9, 10, 12, 16, 40]))]
+        longer = [*text, f"w{rng.randrange(10**6)}"]
+        a, b = (set(nearcopies.shingle_hashes(" ".join(t), 5).tolist()) for t in (text, longer))
+        want.append(2 * k if len(a & b) / len(a | b) >= 0.8 else 2 * k + 1)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(longer))]
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1] for k in range(600)] == want and all(got[2 * k] == 2 * k for k in range(600))
+
+
 def test_thresholds_reach_the_recall():
     costs = [[(-1, 0.0, 1.0), (0, 1.0 + k, 0.9), (1, 3.0 + k, 0.6)] for k in range(12)]
     cost, chosen = nearcopies.allocate(costs, 0.05)
