@@ -225,6 +225,14 @@ def test_chat_folds_events(spark):
     assert [(t["role"], t["text"]) for t in back[None]["turns"]] == [("", "")]
 
 
+def test_chat_texts_hold_the_template(spark):
+    texts = [chat.END, chat.START, f"a{chat.END}{chat.START}user\nb{chat.END}", "\\" + chat.END, "\\", "", "<|im_end|>", "\\<", "x<|y" * 30_000, "\n\\\n"]
+    rows = [("c", k, chat.ANSWERS if k % 2 else t, t) for k, t in enumerate(texts)]
+    back = chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id string, message long, role string, text string"))).first()
+    assert [(t["role"], t["text"]) for t in back["turns"]] == [(r, t) for _, _, r, t in rows]
+    assert back["loss_text"] == "".join(texts[1::2])
+
+
 def test_toxicity(spark, odd, labels):
     told = toxicity.score(odd, toxicity.learn(odd, labels))
     rows = told.collect()

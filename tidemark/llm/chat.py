@@ -81,8 +81,10 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text, formatted) parsed from formatted strings and masks."""
-    head = r"(?s)^((?:[^\\\n]|\\.)*)\n"
-    parts = F.transform(F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != ""), lambda p: F.substring(p, F.lit(len(START) + 1), F.length(p)))
+    head = r"(?s)^((?:[^\\\n]++|\\.)*+)\n"
+    # A backslash takes the next character with it, so END within a text, whose < has one, doesn't end the turn.
+    turn = r"(?s)<\|im_start\|>((?:[^\\<]++|\\.|<(?!\|im_end\|>\n))*+)<\|im_end\|>\n"
+    parts = F.regexp_extract_all("formatted", F.lit(turn), 1)
     with_role = F.transform(parts, lambda p: F.struct(p.alias("part"), F.regexp_extract(p, head, 1).alias("role")))
     turns = F.transform(with_role, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(F.substring(t["part"], F.length(t["role"]) + 2, F.length(t["part"]))).alias("text")))
     answers = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
