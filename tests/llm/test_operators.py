@@ -216,6 +216,31 @@ def test_likeliest_is_the_best_of_all():
         assert all(lp == pytest.approx(weight(i) - total) for i, lp, _ in drawn)
 
 
+def test_likeliest_of_long_runs():
+    vocabulary = pieces._loaded(pieces.load())
+    known = {t: k for k, t in enumerate(vocabulary.texts) if t}
+
+    def weighed(ids):
+        return sum(-math.log(32010) if vocabulary.byte_id <= i < vocabulary.byte_id + 256 else 2.2 * len(vocabulary.texts[i]) - math.log(i + 10) for i in ids)
+
+    rng = random.Random(4)
+    texts = ["thenhouse" * 30, "a" + " " * 60 + "b", "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCXYZ0123456789+/", k=3000)), "https://example.org/some/long/path?with=parameters&and=more\nnext" * 3, "".join(rng.choices("\U00012345\U0001f9ff", k=100)) + "end"]
+    for text, (best, drawn) in zip(texts, pieces.segment(texts, np.arange(len(texts)), vocabulary, 2), strict=True):
+        whole, peak, total = pieces.marked(text), [0.0], [0.0]
+        for at in range(1, len(whole) + 1):
+            ways = [(at - k, 2.2 * k - math.log(known[whole[at - k : at]] + 10)) for k in range(1, min(at, 16) + 1) if whole[at - k : at] in known]
+            if whole[at - 1] not in known:
+                ways.append((at - 1, 2.2 - len(whole[at - 1].encode()) * math.log(32010)))
+            peak.append(max(peak[a] + w for a, w in ways))
+            high = max(total[a] + w for a, w in ways)
+            total.append(high + math.log(sum(math.exp(total[a] + w - high) for a, w in ways)))
+        spelled = 2.2 * sum(c not in known for c in whole)
+        assert pieces.decode(best, vocabulary) == text
+        if all(c in known or c not in "".join(vocabulary.texts) for c in whole):
+            assert weighed(best) + spelled == pytest.approx(peak[-1])
+            assert all(lp == pytest.approx(weighed(i) + spelled - total[-1], abs=1e-6) for i, lp, _ in drawn)
+
+
 def test_chat_folds_events(spark):
     log = [("c", 1, 0, "start", "user", "hi"), ("c", 2, 1, "start", "assistant", ""), ("c", 3, 1, "delta", None, "wor"), ("c", 4, 1, "delta", None, "ld"), ("c", 5, 2, "start", "user", "gone"), ("c", 6, 1, "regenerate", None, None), ("c", 7, 1, "delta", None, "again </s>"), ("c", 8, 0, "edit", None, "hello"), (None, 1, 0, None, None, None)]
     messages = chat.fold_events(spark.createDataFrame(log, "conv_id string, seq long, message long, kind string, role string, text string"))

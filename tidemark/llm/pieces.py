@@ -1,9 +1,9 @@
 """SentencePiece encoding, decoding and sampling of segmentations.
 
 A text becomes one string with U+2581 for spaces and before the first word; its
-words (up to 8 of U+2581 and what follows, split after at most 48 code points) are
-lattices of vocabulary pieces, with UTF-8 bytes for characters that no piece
-has. A piece's weight is 1 / (its rank in the vocabulary + 10), times a constant
+words (U+2581 and what follows; those of over 48 code points are cut further where
+no vocabulary piece can span the cut, and nowhere else) are lattices of
+vocabulary pieces, with UTF-8 bytes for characters that no piece has. A piece's weight is 1 / (its rank in the vocabulary + 10), times a constant
 for each character it spans: the probability of a segmentation is the product
 of its pieces' weights over the sum of all, and doesn't depend on the constant.
 
@@ -35,6 +35,8 @@ from tidemark.llm.common import read, widened
 
 MODEL, SAMPLES, SEED = "/opt/tokenizers/piece_bpe_32k.model", 3, 17
 MARK, _LONGEST, _SPLIT = "▁", 16, 48
+#: Farther than this from a word's end masses are scaled; those of so many characters spelled in four bytes are still in range.
+_RESCALE = 16
 _BATCH_CHARS = 3 << 19
 _NONE, _BYTES = -1, -2
 _LITERAL = "\ud800"  # stands for U+2581 in a text; no text has it
@@ -80,6 +82,11 @@ class Vocabulary:
             keys[slot], to[slot] = key, nxt
         return classes, np.stack([keys, to.astype(np.int64)]), np.array(piece, np.int32)
 
+    @functools.cached_property
+    def mark_inside(self) -> bool:
+        """Whether a piece has U+2581 behind another character, and so may span two words."""
+        return any(MARK in t.lstrip(MARK) for t in self.texts)
+
     def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states, 0 where there is none."""
         table = self.trie[1]
@@ -115,12 +122,47 @@ def marked(text: str) -> str:
     return MARK + text.replace(MARK, _LITERAL).replace(" ", MARK)
 
 
-_WORDS = re.compile(f"{MARK}{{1,8}}[^{MARK}]{{0,{_SPLIT - 8}}}|[^{MARK}]{{1,{_SPLIT}}}")
+_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
+
+def _cut(word: str, vocabulary: Vocabulary) -> list[str]:
+    """The word in parts: a cut is where no piece found in the word spans it, so the lattice stays the same."""
+    classes, _, piece = vocabulary.trie
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, symbols = len(codes), classes[codes]
+    spans, at, state = np.zeros(n + 1, np.int64), np.arange(n), np.zeros(n, np.int32)
+    for length in range(1, _LONGEST + 1):
+        state = vocabulary.follow(state, symbols[at + length - 1])
+        alive = state > 0
+        at, state = at[alive], state[alive]
+        if length > 1:
+            whole = at[piece[state] >= 0]
+            np.add.at(spans, whole + 1, 1)
+            np.add.at(spans, whole + length, -1)
+        more = at + length < n
+        at, state = at[more], state[more]
+    cuts = np.flatnonzero(np.cumsum(spans)[1:n] == 0) + 1
+    # No more cuts than keep the parts at _SPLIT code points where that can be.
+    parts, start = [], 0
+    while start < n:
+        k = int(np.searchsorted(cuts, start + _SPLIT, "right")) - 1
+        if n - start <= _SPLIT:
+            end = n
+        elif k >= 0 and cuts[k] > start:
+            end = int(cuts[k])
+        else:
+            end = int(cuts[k + 1]) if k + 1 < len(cuts) else n
+        parts.append(word[start:end])
+        start = end
+    return parts
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, vocabulary: Vocabulary) -> list[str]:
     """The words of a text, for the lattice; their concatenation is marked(text)."""
-    return _WORDS.findall(marked(text))
+    words = [marked(text)] if vocabulary.mark_inside else _WORDS.findall(marked(text))
+    if max(map(len, words)) <= _SPLIT:
+        return words
+    return [part for w in words for part in (_cut(w, vocabulary) if len(w) > _SPLIT else (w,))]
 
 
 class Lattice:
@@ -164,11 +206,13 @@ class Lattice:
             self.length[e], self.piece[e], weight[e] = length, pieces, weights
             free[where] += 1
         total, best = np.ones(n + 1), np.ones(n + 1)  # the last: the end of any word
+        # Logarithms of what the two are divided by, far from a word's end: no product of many weights leaves the numbers' range.
+        low_total, low_best = np.zeros(n + 1), np.zeros(n + 1)
         way, owner = np.zeros(n, np.int64), np.repeat(np.arange(n, dtype=np.int32), count)
         self.share = np.zeros(len(weight))
         # From the words' ends backwards, all words at once: rounds by distance from the end.
         by_left = np.argsort(self.left, kind="stable")
-        bounds = np.searchsorted(self.left[by_left], np.arange(1, _SPLIT + 2))
+        bounds = np.searchsorted(self.left[by_left], np.arange(1, max(map(len, words), default=0) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if a == b:
                 continue
@@ -178,13 +222,21 @@ class Lattice:
             e = np.repeat(self.first[here] - heads, count) + np.arange(heads[-1] + count[-1])
             length, w = self.length[e], weight[e]
             to = np.where(length == self.left[here[0]], n, np.repeat(here, count) + length)
-            mass, peak = w * total[to], w * best[to]
+            far = self.left[here[0]] > _RESCALE
+            if far:
+                by_total, by_best = low_total[here + 1] + np.log(total[here + 1]), low_best[here + 1] + np.log(best[here + 1])
+                mass = w * np.exp(low_total[to] + np.log(total[to]) - np.repeat(by_total, count))
+                peak = w * np.exp(low_best[to] + np.log(best[to]) - np.repeat(by_best, count))
+            else:
+                mass, peak = w * total[to], w * best[to]
             total[here], best[here] = np.add.reduceat(mass, heads), np.maximum.reduceat(peak, heads)
-            self.share[e] = mass
+            self.share[e] = mass / np.repeat(total[here], count)
             top = e[peak == np.repeat(best[here], count)]
             way[owner[top[::-1]]] = top[::-1]  # of equal ways the shortest piece
+            if far:
+                low_total[here], low_best[here] = by_total + np.log(total[here]), by_best + np.log(best[here])
+                total[here] = best[here] = 1.0
         self.way = way
-        self.share /= total[owner]
         self.place = owner
         before = np.cumsum(self.share)
         self.upto = before - np.repeat(before[self.first[:-1]] - self.share[self.first[:-1]], self.first[1:] - self.first[:-1])
@@ -383,7 +435,7 @@ def _spelled(lattice: Lattice, edges: np.ndarray, owner: np.ndarray, vocabulary:
 def segment(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, samples: int = SAMPLES) -> list[tuple[np.ndarray, list[tuple[np.ndarray, float, float]]]]:
     """Of each text its encoding and its samples (ids, log probability, inclusion probability), by falling perturbed value."""
     known: dict[str, int] = {}
-    places = [[known.setdefault(w, len(known)) for w in words_of(t)] if t else [] for t in texts]
+    places = [[known.setdefault(w, len(known)) for w in words_of(t, vocabulary)] if t else [] for t in texts]
     first = np.concatenate([[0], np.cumsum([len(p) for p in places])])
     words = np.fromiter((w for p in places for w in p), np.int64, first[-1])
     lattice = Lattice(list(known), vocabulary)
