@@ -180,7 +180,26 @@ def test_pieces_round_trip_and_probabilities(spark, odd):
             assert library.decode(list(r["ids"])) == r["text"]
             assert len({tuple(s["ids"]) for s in r["samples"]}) == len(r["samples"])
             assert all(pieces.decode(s["ids"], vocabulary) == r["text"] for s in r["samples"])
-    assert pieces.encode_digests(odd).count() == odd.count()
+    checked = pieces.encode_texts(odd.withColumn("_key", F.lit("mine")), check=True).collect()
+    assert all(r["round_trip"] is (None if r["text"] is None else True) and r["_key"] == "mine" for r in checked)
+    assert pieces.decode_ids(docs.select("ids")).count() == odd.count()
+
+
+def test_pieces_of_many_marks_and_little_mass():
+    vocabulary = pieces._loaded(pieces.load())
+    wide = max(len(t) for t in vocabulary.texts if t and not t.strip(pieces.MARK))
+    assert wide > 8
+    text = "a" + " " * (wide + 2) + "b\n  c "
+    ((ids, drawn),) = pieces.segment([text], np.array([3]), vocabulary, 3)
+    assert max(len(vocabulary.texts[i]) for i in ids if not vocabulary.texts[i].strip(pieces.MARK)) > 8
+    assert all(pieces.decode(i, vocabulary) == text for i in (ids, *(d[0] for d in drawn))) and len(drawn) == 3
+    # A piece of nearly all the mass leaves ways of under 1e-15 of it: they are sampled all the same.
+    small = pieces.Vocabulary(("ab", *("",) * 300, "a", "b"), 10)
+    weights = np.zeros(304)
+    weights[[0, 301, 302]] = 1.0, 1e-12, 1e-12
+    small.__dict__["weights"] = weights
+    ((_, drawn),) = pieces.segment(["ab"], np.array([1]), small, 3)
+    assert len(drawn) == 2 and drawn[1][1] == pytest.approx(math.log(1e-24))
 
 
 def test_pieces_sample_without_replacement():

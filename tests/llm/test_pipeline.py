@@ -35,5 +35,6 @@ def test_stages(spark):
             assert {r["doc_id"] for r in out.collect()} <= before
         if name == "encoding":
             assert out.count() == docs.count() and out.where("not round_trip").count() == 0
+            assert out.where("size(ids) = 0 and text <> ''").count() == 0
         docs = out
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()

@@ -18,10 +18,9 @@ Random numbers depend on the row key alone.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,10 +30,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, widened
+from tidemark.llm.common import read, unused, widened
 
 MODEL, SAMPLES, SEED = "/opt/tokenizers/piece_bpe_32k.model", 3, 17
-MARK, _LONGEST, _SPLIT = "▁", 16, 48
+MARK, _SPLIT = "▁", 48
 #: Farther than this from a word's end masses are scaled; those of so many characters spelled in four bytes are still in range.
 _RESCALE = 16
 _BATCH_CHARS = 3 << 19
@@ -50,9 +49,18 @@ class Vocabulary:
     byte_id: int
 
     @functools.cached_property
-    def spelling(self) -> list[bytes]:
-        """What each id adds to a text."""
-        return [bytes([k - self.byte_id]) if self.byte_id <= k < self.byte_id + 256 else t.replace(MARK, " ").encode() for k, t in enumerate(self.texts)]
+    def spelling(self) -> pa.Array:
+        """What each id adds to a text, as bytes."""
+        return pa.array([bytes([k - self.byte_id]) if self.byte_id <= k < self.byte_id + 256 else t.replace(MARK, " ").encode() for k, t in enumerate(self.texts)], pa.large_binary())
+
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self.texts), default=1)
+
+    @functools.cached_property
+    def weights(self) -> np.ndarray:
+        """Of each piece its weight, times a constant for a character: about what one of a usual piece costs."""
+        return np.array([np.exp(2.2 * len(t)) / (k + 10) for k, t in enumerate(self.texts)] + [0.0])
 
     @functools.cached_property
     def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +115,7 @@ class Vocabulary:
 @functools.lru_cache(4)
 def _loaded(model: bytes) -> Vocabulary:
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-    texts = tuple("" if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or len(sp.id_to_piece(i)) > _LONGEST else sp.id_to_piece(i) for i in range(sp.get_piece_size()))
+    texts = tuple("" if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) else sp.id_to_piece(i) for i in range(sp.get_piece_size()))
     return Vocabulary(texts, sp.piece_to_id("<0x00>"))
 
 
@@ -131,7 +139,7 @@ def _cut(word: str, vocabulary: Vocabulary) -> list[str]:
     codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
     n, symbols = len(codes), classes[codes]
     spans, at, state = np.zeros(n + 1, np.int64), np.arange(n), np.zeros(n, np.int32)
-    for length in range(1, _LONGEST + 1):
+    for length in range(1, vocabulary.longest + 1):
         state = vocabulary.follow(state, symbols[at + length - 1])
         alive = state > 0
         at, state = at[alive], state[alive]
@@ -158,119 +166,169 @@ def _cut(word: str, vocabulary: Vocabulary) -> list[str]:
 
 
 def words_of(text: str, vocabulary: Vocabulary) -> list[str]:
-    """The words of a text, for the lattice; their concatenation is marked(text)."""
-    words = [marked(text)] if vocabulary.mark_inside else _WORDS.findall(marked(text))
-    if max(map(len, words)) <= _SPLIT:
-        return words
-    return [part for w in words for part in (_cut(w, vocabulary) if len(w) > _SPLIT else (w,))]
+    """The words of a text; their concatenation is marked(text), but the empty text has none."""
+    if not text:
+        return []
+    return [marked(text)] if vocabulary.mark_inside else _WORDS.findall(marked(text))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    heads = np.cumsum(sizes) - sizes
+    return np.repeat(starts - heads, sizes) + np.arange(sizes.sum())
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def word_places(texts: pa.Array, vocabulary: Vocabulary) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, joined; their lengths; places of all words of all texts among them; first word of each text and the end)."""
+    odd = pc.or_(pc.equal(texts, ""), pc.match_substring(texts, MARK))
+    for found in (pc.match_substring(texts, "  "), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
+        odd = pc.or_(odd, found)
+    odd = np.ones(len(texts), bool) if vocabulary.mark_inside else odd.to_numpy(zero_copy_only=False)
+    # Where spaces are single and inside, a word is what lies between two.
+    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    coded = plain.flatten().dictionary_encode()
+    counts = np.zeros(len(texts), np.int64)
+    counts[~odd] = plain.value_lengths().to_numpy(zero_copy_only=False)
+    names = pc.binary_join_element_wise(MARK, coded.dictionary, "")
+    lengths = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not odd.any() and lengths.max(initial=0) <= _SPLIT:
+        joined = names.buffers()[2].to_pybytes().decode() if len(names) else ""
+        return joined, lengths, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), _firsts(counts)
+    known = {w: k for k, w in enumerate(names.to_pylist())}
+    rest = [[known.setdefault(w, len(known)) for w in words_of(texts[k].as_py(), vocabulary)] for k in np.flatnonzero(odd).tolist()]
+    counts[odd] = list(map(len, rest))
+    first = _firsts(counts)
+    places = np.empty(first[-1], np.int64)
+    places[_ranges(first[:-1][~odd], counts[~odd])] = coded.indices.to_numpy(zero_copy_only=False)
+    if rest:
+        places[_ranges(first[:-1][odd], counts[odd])] = np.fromiter((w for r in rest for w in r), np.int64, int(counts[odd].sum()))
+    parts: dict[str, int] = {}
+    lists = [[parts.setdefault(p, len(parts)) for p in (_cut(w, vocabulary) if len(w) > _SPLIT else (w,))] for w in known]
+    own = _firsts(np.fromiter(map(len, lists), np.int64, len(lists)))
+    counts = np.diff(own)[places]
+    into = np.fromiter((p for x in lists for p in x), np.int64, own[-1])
+    return "".join(parts), np.fromiter(map(len, parts), np.int64, len(parts)), into[_ranges(own[places], counts)], _firsts(counts)[first]
 
 
 class Lattice:
-    """The lattices of distinct words, side by side: edges, weights of all ways to the word's end, likeliest ways."""
+    """The lattices of distinct words, side by side: edges, shares of all ways to the word's end, likeliest ways."""
 
-    def __init__(self, words: list[str], vocabulary: Vocabulary) -> None:
+    def __init__(self, words: str, sizes: np.ndarray, vocabulary: Vocabulary) -> None:
+        """``words`` joined, ``sizes`` their lengths."""
         classes, _, piece = vocabulary.trie
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(codes)
-        self.codes, self.left = codes, np.repeat(self.starts[1:], sizes) - np.arange(n)
-        symbols = classes[codes]
-        # A character without a piece is spelled in UTF-8 bytes.
-        width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-        # The constant for a character: about what a character of a usual piece costs.
-        rank_weight = np.array([np.exp(2.2 * len(t)) / (k + 10) for k, t in enumerate(vocabulary.texts)] + [0.0])
-        at, state, edges = np.arange(n), np.zeros(n, np.int32), []
-        for length in range(1, _LONGEST + 1):
-            state = vocabulary.follow(state, symbols[at + length - 1])
+        # Places go by distance from their word's end, then by word, longer ones first: those of equal distance lie side by side.
+        order = np.argsort(-sizes, kind="stable")
+        longest = int(sizes.max(initial=0))
+        many = np.searchsorted(-sizes[order], -np.arange(longest + 2), "right")  # words of that length or more
+        many[0] = 0
+        offset = np.concatenate([np.cumsum(many) - many, [0]])
+        rank = np.empty(len(sizes), np.int64)
+        rank[order] = np.arange(len(sizes))
+        self.starts = offset[sizes] + rank
+        written = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(written)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+        self.codes = np.empty(n, np.uint32)
+        self.codes[offset[left] + np.repeat(rank, sizes)] = written
+        symbols = classes[self.codes]
+        at = np.arange(n)
+        left = np.repeat(np.arange(longest + 2), many)
+        word = at - offset[left]
+        state, edges, spelled = np.zeros(n, np.int32), [], np.ones(n, bool)
+        for length in range(1, vocabulary.longest + 1):
+            state = vocabulary.follow(state, symbols[offset[left - length + 1] + word])
             alive = state > 0
-            at, state = at[alive], state[alive]
+            at, state, left, word = at[alive], state[alive], left[alive], word[alive]
             found = piece[state]
             has = found >= 0
-            edges.append((at[has], length, found[has], rank_weight[found[has]]))
-            more = self.left[at] > length
-            at, state = at[more], state[more]
-        spelled = np.ones(n, bool)
-        spelled[edges[0][0]] = False
+            if length == 1:
+                spelled[at[has]] = False
+            edges.append((at[has], np.where(left[has] > length, offset[left[has] - length] + word[has], n), found[has], vocabulary.weights[found[has]]))
+            more = left > length
+            at, state, left, word = at[more], state[more], left[more], word[more]
+        # A character without a piece is spelled in UTF-8 bytes.
         lone = np.flatnonzero(spelled)
-        edges.append((lone, 1, _BYTES, np.exp(2.2) * (1 / (len(vocabulary.texts) + 10.0)) ** width[lone]))
-        # Side by side by place, then by length: as found, so no sort.
-        count = np.zeros(n, np.int32)
+        of = np.searchsorted(offset[1 : longest + 2], lone, "right")
+        width = 1 + (self.codes[lone] > 0x7F) + (self.codes[lone] > 0x7FF) + (self.codes[lone] > 0xFFFF)
+        edges.insert(0, (lone, np.where(of > 1, offset[of - 1] + lone - offset[of], n), _BYTES, np.exp(2.2) * (1 / (len(vocabulary.texts) + 10.0)) ** width))
+        # Side by side by place, the longest first: it is the likeliest more often than not.
+        count = np.zeros(n, np.int64)
         for where, *_ in edges:
             count[where] += 1
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        self.length, self.piece, weight = np.empty(self.first[-1], np.int8), np.empty(self.first[-1], np.int32), np.empty(self.first[-1])
-        free = self.first[:-1].copy()
-        for where, length, pieces, weights in edges:
-            e = free[where]
-            self.length[e], self.piece[e], weight[e] = length, pieces, weights
-            free[where] += 1
+        self.end, self.first = n, _firsts(count)
+        self.to, self.piece, weight = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32), np.empty(self.first[-1])
+        free = self.first[1:].copy()
+        for where, to, pieces, weights in edges:
+            e = free[where] - 1
+            free[where] = e
+            self.to[e], self.piece[e], weight[e] = to, pieces, weights
+        del edges
         total, best = np.ones(n + 1), np.ones(n + 1)  # the last: the end of any word
         # Logarithms of what the two are divided by, far from a word's end: no product of many weights leaves the numbers' range.
         low_total, low_best = np.zeros(n + 1), np.zeros(n + 1)
-        way, owner = np.zeros(n, np.int64), np.repeat(np.arange(n, dtype=np.int32), count)
-        self.share = np.zeros(len(weight))
-        # From the words' ends backwards, all words at once: rounds by distance from the end.
-        by_left = np.argsort(self.left, kind="stable")
-        bounds = np.searchsorted(self.left[by_left], np.arange(1, max(map(len, words), default=0) + 2))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a == b:
-                continue
-            here = by_left[a:b]
-            count = self.first[here + 1] - self.first[here]
-            heads = np.cumsum(count) - count
-            e = np.repeat(self.first[here] - heads, count) + np.arange(heads[-1] + count[-1])
-            length, w = self.length[e], weight[e]
-            to = np.where(length == self.left[here[0]], n, np.repeat(here, count) + length)
-            far = self.left[here[0]] > _RESCALE
-            if far:
-                by_total, by_best = low_total[here + 1] + np.log(total[here + 1]), low_best[here + 1] + np.log(best[here + 1])
-                mass = w * np.exp(low_total[to] + np.log(total[to]) - np.repeat(by_total, count))
-                peak = w * np.exp(low_best[to] + np.log(best[to]) - np.repeat(by_best, count))
+        self.way, self.place = np.zeros(n, np.int64), np.repeat(np.arange(n, dtype=np.int32), count)
+        share = np.empty(len(weight))
+        # From the words' ends backwards, all words at once.
+        for distance in range(1, longest + 1):
+            here = slice(offset[distance], offset[distance] + many[distance])
+            every = slice(self.first[here.start], self.first[here.stop])
+            heads, n_edges, to, w = self.first[here] - every.start, count[here], self.to[every], weight[every]
+            if distance > _RESCALE:
+                then = slice(offset[distance - 1], offset[distance - 1] + many[distance])
+                by_total, by_best = low_total[then] + np.log(total[then]), low_best[then] + np.log(best[then])
+                mass = w * np.exp(low_total[to] + np.log(total[to]) - np.repeat(by_total, n_edges))
+                peak = w * np.exp(low_best[to] + np.log(best[to]) - np.repeat(by_best, n_edges))
             else:
                 mass, peak = w * total[to], w * best[to]
             total[here], best[here] = np.add.reduceat(mass, heads), np.maximum.reduceat(peak, heads)
-            self.share[e] = mass / np.repeat(total[here], count)
-            top = e[peak == np.repeat(best[here], count)]
-            way[owner[top[::-1]]] = top[::-1]  # of equal ways the shortest piece
-            if far:
+            share[every] = mass / np.repeat(total[here], n_edges)
+            top = np.flatnonzero(peak == np.repeat(best[here], n_edges)) + every.start
+            self.way[self.place[top]] = top  # of equal ways the shortest piece
+            if distance > _RESCALE:
                 low_total[here], low_best[here] = by_total + np.log(total[here]), by_best + np.log(best[here])
                 total[here] = best[here] = 1.0
-        self.way = way
-        self.place = owner
-        before = np.cumsum(self.share)
-        self.upto = before - np.repeat(before[self.first[:-1]] - self.share[self.first[:-1]], self.first[1:] - self.first[:-1])
+        before = np.cumsum(share)
+        self.share, self.upto = share, before - np.repeat(before[self.first[:-1]] - share[self.first[:-1]], count)
+        # What the other edges of a place have: summed where it is the lesser part, so that little isn't lost beside 1.
+        lesser = np.add.reduceat(np.where(share > 0.5, 0.0, share), self.first[:-1]) if n else np.zeros(0)
+        with np.errstate(divide="ignore"):
+            self.log_share = np.log(share)
+            self.log_rest = np.log(np.where(share > 0.5, np.repeat(lesser, count), 1 - share))
 
-    def likeliest(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the word in words, edge) of the best ways, in order."""
-        return self._walk(self.starts[words], np.arange(len(words)), lambda at, _r: self.way[at])
+    def likeliest(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first edge of each word and the end, edges) of the best ways of all words."""
+        sizes, edges = self._walk(self.starts, lambda at, _who, _r: self.way[at])
+        return _firsts(sizes), edges
 
-    def sampled(self, at: np.ndarray, owner: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-        """(owner, edge) of ways drawn by probability from the given places; draw(owners, round) gives uniform numbers."""
-        return self._walk(at, owner, lambda here, r: self._drawn(here, draw(r)))
+    def sampled(self, at: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """(lengths, edges) of ways drawn by probability from the given places; draw(who, round) gives uniform numbers."""
+        return self._walk(at, lambda here, who, r: self._drawn(here, draw(who, r)))
 
     def _drawn(self, here: np.ndarray, u: np.ndarray) -> np.ndarray:
         e, last = self.first[here], self.first[here + 1] - 1
-        todo = np.flatnonzero((e < last) & (self.upto[e] <= u))
+        todo = np.flatnonzero((self.upto[e] <= u) & (e < last))
         while len(todo):
             e[todo] += 1
-            todo = todo[(e[todo] < last[todo]) & (self.upto[e[todo]] <= u[todo])]
+            now = e[todo]
+            todo = todo[(self.upto[now] <= u[todo]) & (now < last[todo])]
         return e
 
-    def _walk(self, at: np.ndarray, owner: np.ndarray, choose) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-        found, active, r = [], np.arange(len(at)), 0
-        at = at.copy()
-        while len(active):
-            e = choose(at[active], (owner[active], r))
-            found.append((active, e))
-            left = self.left[at[active]] > self.length[e]
-            at[active] += self.length[e]
-            active, r = active[left], r + 1
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        who, edge = np.concatenate([w for w, _ in found]), np.concatenate([e for _, e in found])
-        order = np.argsort(who, kind="stable")
-        return owner[who[order]], edge[order]
+    def _walk(self, at: np.ndarray, choose) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        found, who, sizes = [], np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(who):
+            e = choose(at, who, len(found))
+            found.append((who, e))
+            sizes[who] += 1
+            to = self.to[e]
+            more = to < self.end
+            at, who = to[more], who[more]
+        first, out = np.cumsum(sizes) - sizes, np.empty(sizes.sum(), np.int64)
+        for r, (who, e) in enumerate(found):
+            out[first[who] + r] = e
+        return sizes, out
 
 
 def _mixed(x: np.ndarray, part: np.ndarray | int) -> np.ndarray:
@@ -282,12 +340,13 @@ def _mixed(x: np.ndarray, part: np.ndarray | int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _uniform(*parts: np.ndarray | int) -> np.ndarray:
-    """Numbers in (0, 1) by counters: a hash of the parts."""
-    x = np.uint64(0)
-    for part in parts:
-        x = _mixed(x, part)
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+def _hashed(*parts: np.ndarray | int) -> np.ndarray:
+    return functools.reduce(_mixed, parts, np.uint64(0))
+
+
+def _uniform(hashed: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) of hashes."""
+    return ((hashed >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
 def _below(where: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -296,22 +355,30 @@ def _below(where: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(where), -np.inf, where - np.log(np.exp(np.minimum(where - bound, 700)) - np.log(u)))
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    heads = np.cumsum(sizes) - sizes
-    return np.repeat(starts - heads, sizes) + np.arange(sizes.sum())
-
-
 @dataclass
 class _Paths:
-    """One path a text, as steps side by side: word, edge, its place, log mass of the other ways, their bound."""
+    """One path a text, as steps side by side: word, edge, log probability of the steps before, bound of the other ways."""
 
     first: np.ndarray
     word: np.ndarray
     edge: np.ndarray
     before: np.ndarray
-    others: np.ndarray
     bound: np.ndarray
     logp: np.ndarray
+    #: Of steps that later paths left at: the edges taken there.
+    gone: dict[int, set[int]] = field(default_factory=dict)
+
+
+def _top(path: _Paths, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(greatest bound, its step) of each text's path; -inf without one."""
+    top, where, sizes = np.full(n, -np.inf), np.zeros(n, np.int64), np.diff(path.first)
+    if some := len(path.bound):
+        full = np.flatnonzero(sizes > 0)
+        top[full] = np.maximum.reduceat(path.bound, path.first[full])
+        hits = np.flatnonzero(path.bound == np.repeat(top, sizes))
+        where[np.repeat(np.arange(n), sizes)[hits][::-1]] = hits[::-1]
+    assert some or not sizes.any()
+    return top, where
 
 
 def sample_segmentations(lattice: Lattice, words: np.ndarray, texts: np.ndarray, keys: np.ndarray, samples: int) -> list[tuple[_Paths, np.ndarray, np.ndarray]]:
@@ -323,187 +390,212 @@ def sample_segmentations(lattice: Lattice, words: np.ndarray, texts: np.ndarray,
     """
     n, place_text = len(texts) - 1, np.repeat(np.arange(len(texts) - 1), np.diff(texts))
     place_in_text = np.arange(len(words)) - texts[place_text]
-    starts, edge_start = lattice.starts[words], lattice.place
+    starts = lattice.starts[words]
     rounds: list[_Paths] = []
     values: list[np.ndarray] = []
-    thresholds: list[np.ndarray] = []
-    value = -np.log(-np.log(_uniform(keys, 1001, 0)))
+    value = -np.log(-np.log(_uniform(_hashed(keys, 1001, 0))))
+    alive = np.ones(n, bool)
     for s in range(samples + 1):
+        kept_sizes, kept_parts = np.zeros(n, np.int64), []
         if s == 0:
-            owners, at = np.arange(len(words)), starts
-            kept_step = kept_edge = kept_word = np.empty(0, np.int64)
-            kept_sizes, alt, alive = np.zeros(n, np.int64), None, np.ones(n, bool)
+            owners, at, alt = np.arange(len(words)), starts, None
         else:
             # The greatest bound of each text over all earlier paths, and its step.
             best, source, step = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for r, path in enumerate(rounds):
-                some = np.flatnonzero(np.diff(path.first) > 0)
-                if not len(some):
-                    continue
-                top = np.full(n, -np.inf)
-                top[some] = np.maximum.reduceat(path.bound, path.first[some])
-                hits = np.flatnonzero(path.bound == np.repeat(top, np.diff(path.first)))
-                owner = np.searchsorted(path.first, hits, "right") - 1
-                where = np.zeros(n, np.int64)
-                where[owner[::-1]] = hits[::-1]
+                top, where = _top(path, n)
                 better = top > best
                 best[better], source[better], step[better] = top[better], r, where[better]
-            thresholds.append(best)
             if s == samples:
                 break
-            alive = best > -np.inf
-            value = best
-            kept_parts, alt_edge, alt_word, alt_before = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            kept_sizes = np.zeros(n, np.int64)
+            alive, value = best > -np.inf, best
+            alt_edge, alt_word = np.zeros(n, np.int64), np.zeros(n, np.int64)
             for r, path in enumerate(rounds):
                 mine = np.flatnonzero(alive & (source == r))
                 if not len(mine):
                     continue
                 at_step = step[mine]
                 kept_sizes[mine] = at_step - path.first[mine]
-                kept_parts.append((mine, r, path.first[mine], kept_sizes[mine]))
+                kept_parts.append((mine, r))
                 # Choose among the ways not yet taken there, by their share of what is left.
-                place = edge_start[path.edge[at_step]]
-                u = _uniform(keys[mine], s, 1003)
+                place, others = lattice.place[path.edge[at_step]], np.full(len(mine), -np.inf)
+                u = _uniform(_hashed(keys[mine], s, 1003))
                 for k, (m, st, p) in enumerate(zip(mine.tolist(), at_step.tolist(), place.tolist(), strict=True)):
                     gone = path.gone.setdefault(st, {int(path.edge[st])})
                     edges = [e for e in range(int(lattice.first[p]), int(lattice.first[p + 1])) if e not in gone]
-                    weights = np.cumsum(lattice.share[edges])
-                    alt_edge[m] = edges[min(int(np.searchsorted(weights, u[k] * weights[-1], "right")), len(edges) - 1)]
-                    gone.add(int(alt_edge[m]))
-                    rest = float(weights[-1] - lattice.share[alt_edge[m]]) if len(edges) > 1 else 0.0
-                    path.others[st] = path.before[st] + np.log(rest) if rest > 1e-15 else -np.inf
-                alt_word[mine], alt_before[mine] = path.word[at_step], path.before[at_step]
-                path.bound[at_step] = _below(path.others[at_step], value[mine], _uniform(keys[mine], s, 1004))
+                    shares = lattice.share[edges]
+                    upto = np.cumsum(shares)
+                    taken = min(int(np.searchsorted(upto, u[k] * upto[-1], "right")), len(edges) - 1)
+                    alt_edge[m] = edges[taken]
+                    gone.add(edges[taken])
+                    if len(edges) > 1 and (rest := float(np.delete(shares, taken).sum())) > 0:
+                        others[k] = path.before[st] + np.log(rest)
+                alt_word[mine] = path.word[at_step]
+                path.bound[at_step] = _below(others, value[mine], _uniform(_hashed(keys[mine], s, 1004)))
             # Fresh draws: the rest of the word left at, and all later words.
             live = np.flatnonzero(alive)
-            inner = lattice.left[edge_start[alt_edge[live]]] > lattice.length[alt_edge[live]]
-            rest_word = alt_word[live][inner]
-            later = np.flatnonzero(alive[place_text] & (np.arange(len(words)) > alt_word[place_text])) if len(words) else np.empty(0, np.int64)
-            owners = np.concatenate([rest_word, later])
-            at = np.concatenate([(edge_start[alt_edge[live]] + lattice.length[alt_edge[live]])[inner], starts[later]])
+            to = lattice.to[alt_edge[live]]
+            inner = to < lattice.end
+            later = np.flatnonzero(alive[place_text] & (np.arange(len(words)) > alt_word[place_text]))
+            owners = np.concatenate([alt_word[live][inner], later])
+            at = np.concatenate([to[inner], starts[later]])
             order = np.argsort(owners, kind="stable")
-            owners, at = owners[order], at[order]
-            alt = (alt_word, alt_edge)
-        own_key, own_place = _mixed(np.uint64(0), keys)[place_text], place_in_text
-        fresh_word, fresh_edge = lattice.sampled(at, owners, lambda x, h=_mixed(_mixed(own_key, s), own_place): ((_mixed(h[x[0]], x[1]) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52))
-        fresh_text = place_text[fresh_word]
-        fresh_sizes = np.bincount(fresh_text, minlength=n)
+            owners, at, alt = owners[order], at[order], (alt_word, alt_edge)
+        own = _mixed(_hashed(keys, s)[place_text[owners]], place_in_text[owners])
+        lengths, fresh_edge = lattice.sampled(at, lambda who, r, own=own: _uniform(_mixed(own[who], r)))
+        fresh_word = np.repeat(owners, lengths)
+        fresh_sizes = np.zeros(n, np.int64)
+        np.add.at(fresh_sizes, place_text[owners], lengths)
         sizes = kept_sizes + (alive if alt else 0) + fresh_sizes
-        first = np.concatenate([[0], np.cumsum(sizes)])
+        first = _firsts(sizes)
         word, edge = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
         if alt:
-            for mine, r, begin, held in kept_parts:
-                to, src = _ranges(first[mine], held), _ranges(begin, held)
+            for mine, r in kept_parts:
+                to, src = _ranges(first[mine], kept_sizes[mine]), _ranges(rounds[r].first[mine], kept_sizes[mine])
                 word[to], edge[to] = rounds[r].word[src], rounds[r].edge[src]
             live = np.flatnonzero(alive)
             word[first[live] + kept_sizes[live]], edge[first[live] + kept_sizes[live]] = alt[0][live], alt[1][live]
         to = _ranges(first[1:] - fresh_sizes, fresh_sizes)
         word[to], edge[to] = fresh_word, fresh_edge
-        share = lattice.share[edge]
-        with np.errstate(divide="ignore"):
-            log = np.log(share)
-            upto = np.concatenate([[0.0], np.cumsum(log)])
-            owner = np.repeat(np.arange(n), sizes)
-            before = upto[:-1] - upto[first[owner]]
-            others = np.where(share >= 1 - 1e-15, -np.inf, before + np.log(np.maximum(1 - share, 1e-15)))
-        step_in_text = np.arange(len(edge)) - first[owner]
-        bound = _below(others, value[owner], _uniform(keys[owner], s, step_in_text, 1002))
-        if alt:  # nodes on the shared prefix, the one it left included, belong to the earlier path
-            bound[step_in_text <= kept_sizes[owner]] = -np.inf
-        path = _Paths(first, word, edge, before, others, bound, upto[first[1:]] - upto[first[:-1]])
-        path.gone = {}
-        rounds.append(path)
+        upto = np.concatenate([[0.0], np.cumsum(lattice.log_share[edge])])
+        before = upto[:-1] - np.repeat(upto[first[:-1]], sizes)
+        # Nodes on the shared prefix, the one it left included, belong to the earlier path.
+        bound = np.full(len(edge), -np.inf)
+        owner = np.repeat(np.arange(n), fresh_sizes)
+        bound[to] = _below(before[to] + lattice.log_rest[fresh_edge], value[owner], _uniform(_mixed(_hashed(keys, s, 1002)[owner], to - first[owner])))
+        rounds.append(_Paths(first, word, edge, before, bound, upto[first[1:]] - upto[first[:-1]]))
         values.append(np.where(alive, value, -np.inf))
-    return [(p, v, thresholds[-1]) for p, v in zip(rounds, values, strict=True)]
+    return [(p, v, best) for p, v in zip(rounds, values, strict=True)] if samples else []
 
 
-def _spelled(lattice: Lattice, edges: np.ndarray, owner: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, owners) of edges, with bytes for characters without a piece."""
-    ids = lattice.piece[edges].astype(np.int64)
+def _spelled(lattice: Lattice, edges: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first id of each run and the end) of runs of edges, with bytes for characters without a piece."""
+    ids = lattice.piece[edges]
     if not (odd := np.flatnonzero(ids == _BYTES)).size:
-        return ids, owner
+        return ids, first
     place = lattice.place[edges[odd]]
     raw = [(MARK if chr(c) == _LITERAL else chr(c)).encode("utf-8", "surrogatepass") for c in lattice.codes[place].tolist()]
     sizes = np.ones(len(ids), np.int64)
     sizes[odd] = [len(b) for b in raw]
     out = np.repeat(ids, sizes)
-    out[np.repeat(ids == _BYTES, sizes)] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + vocabulary.byte_id
-    return out, np.repeat(owner, sizes)
+    out[np.repeat(ids == _BYTES, sizes)] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + vocabulary.byte_id
+    return out, _firsts(sizes)[first]
 
 
-def segment(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, samples: int = SAMPLES) -> list[tuple[np.ndarray, list[tuple[np.ndarray, float, float]]]]:
-    """Of each text its encoding and its samples (ids, log probability, inclusion probability), by falling perturbed value."""
-    known: dict[str, int] = {}
-    places = [[known.setdefault(w, len(known)) for w in words_of(t, vocabulary)] if t else [] for t in texts]
-    first = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-    words = np.fromiter((w for p in places for w in p), np.int64, first[-1])
-    lattice = Lattice(list(known), vocabulary)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
-
-    def split(edges: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-        ids, owner = _spelled(lattice, edges, owner, vocabulary)
-        return np.split(ids, np.searchsorted(owner, np.arange(1, len(texts))))
-
-    place, edge = lattice.likeliest(words)
-    best = split(edge, text_of[place])
-    drawn: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
-    for paths, value, threshold in sample_segmentations(lattice, words, first, keys, samples) if samples else ():
-        ids = split(paths.edge, np.repeat(np.arange(len(texts)), np.diff(paths.first)))
+@dataclass
+class Segmented:
+    """Encodings of texts, side by side (ids, first of each text and the end), and so for each round of samples, with numbers."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    #: (ids, firsts, log probabilities, inclusion probabilities, which texts have the sample)
+    samples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def segment_all(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary, samples: int = SAMPLES) -> Segmented:
+    """Encodings and samples of texts, none null; samples by falling perturbed value."""
+    joined, lengths, words, first = word_places(texts, vocabulary)
+    lattice = Lattice(joined, lengths, vocabulary)
+    # The encoding joins those of the words, each worked out once.
+    word_first, edges = lattice.likeliest()
+    word_ids, word_first = _spelled(lattice, edges, word_first, vocabulary)
+    sizes = np.diff(word_first)[words]
+    out = Segmented(word_ids[_ranges(word_first[words], sizes)], _firsts(sizes)[first], [])
+    for paths, value, threshold in sample_segmentations(lattice, words, first, keys, samples):
+        ids, starts = _spelled(lattice, paths.edge, paths.first, vocabulary)
         with np.errstate(over="ignore", invalid="ignore"):
             inside = np.where(np.isneginf(threshold), 1.0, -np.expm1(-np.exp(np.minimum(paths.logp - threshold, 700))))
-        for k in np.flatnonzero(value > -np.inf).tolist():
-            drawn[k].append((ids[k], float(paths.logp[k]), float(inside[k])))
-    return list(zip(best, drawn, strict=True))
+        out.samples.append((ids, starts, paths.logp, inside, value > -np.inf))
+    return out
+
+
+def segment(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, samples: int = SAMPLES) -> list[tuple[np.ndarray, list[tuple[np.ndarray, float, float]]]]:
+    """Of each text its encoding and its samples (ids, log probability, inclusion probability), by falling perturbed value."""
+    found = segment_all(pa.array(texts, pa.string()), keys, vocabulary, samples)
+    drawn = [[(ids[at[k] : at[k + 1]], float(logp[k]), float(inside[k])) for ids, at, logp, inside, has in found.samples if has[k]] for k in range(len(texts))]
+    return [(found.ids[found.first[k] : found.first[k + 1]], drawn[k]) for k in range(len(texts))]
+
+
+def _bytes_of(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
+    return (vocabulary.spelling.take(pa.array(ids)).buffers()[2] or pa.py_buffer(b"")).to_pybytes() if len(ids) else b""
 
 
 def decode(ids: np.ndarray | list[int], vocabulary: Vocabulary) -> str:
     """The text of an encoding or a sample: exactly what was encoded."""
-    return b"".join(map(vocabulary.spelling.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    return _bytes_of(np.asarray(ids, np.int64), vocabulary).decode("utf-8", "surrogatepass")[1:]
 
 
 SAMPLE_TYPE = "array<struct<ids: array<int>, log_probability: double, inclusion: double>>"
-Segmented = tuple[np.ndarray, list[tuple[np.ndarray, float, float]]]
+_SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_probability", pa.float64()), ("inclusion", pa.float64())])
 
 
-def _blocks(batch: pa.RecordBatch, vocabulary: Vocabulary, samples: int) -> Iterator[tuple[pa.RecordBatch, list[Segmented | None]]]:
-    """Slices of a batch, about _BATCH_CHARS each, with what their texts (column text, key column _key) become."""
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, about _BATCH_CHARS of column text each."""
     sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + _BATCH_CHARS, "right")))
-        part = batch.slice(a, b - a)
-        texts = part.column("text").to_pylist()
-        found = segment([t or "" for t in texts], part.column("_key").to_numpy(zero_copy_only=False).astype(np.int64), vocabulary, samples)
-        yield part, [None if t is None else x for t, x in zip(texts, found, strict=True)]
+        yield batch.slice(a, b - a)
         a = b
 
 
-def _with_key(docs: DataFrame, key: str, seed: int) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+def _lists(ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _columns(found: Segmented, null: np.ndarray) -> list[pa.Array]:
+    """The columns ids and samples; ``null`` says which rows have none."""
+    mask, n = pa.array(null), len(null)
+    ids = pc.if_else(mask, None, _lists(found.ids, found.first))
+    if not found.samples:
+        return [ids, pc.if_else(mask, None, pa.array([[]] * n, pa.list_(_SAMPLE)))]
+    every = pa.concat_arrays([_lists(i, at) for i, at, *_ in found.samples])
+    logp, inside, has = (np.concatenate([s[k] for s in found.samples]) for k in (2, 3, 4))
+    chosen = np.flatnonzero(has & ~np.tile(null, len(found.samples)))
+    chosen = chosen[np.argsort(chosen % n, kind="stable")]
+    structs = pa.StructArray.from_arrays([every.take(pa.array(chosen)), pa.array(logp[chosen]), pa.array(inside[chosen])], fields=list(_SAMPLE))
+    samples = pa.ListArray.from_arrays(pa.array(_firsts(np.bincount(chosen % n, minlength=n)), pa.int32()), structs)
+    return [ids, pc.if_else(mask, None, samples)]
 
 
-def encode_texts(docs: DataFrame, model: bytes | None = None, samples: int = SAMPLES, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+def _round_trips(texts: list[str], found: Segmented, vocabulary: Vocabulary) -> np.ndarray:
+    """Whether a text's encoding and all its samples decode to it."""
+    good = np.ones(len(texts), bool)
+    for ids, first, has in [(found.ids, found.first, good.copy()), *((s[0], s[1], s[4]) for s in found.samples)]:
+        wanted = " ".join(t for t, h in zip(texts, has.tolist(), strict=True) if h and t)
+        if _bytes_of(ids, vocabulary) != (b" " + wanted.encode() if wanted else b""):
+            good &= [not h or decode(ids[a:b], vocabulary) == t for t, h, a, b in zip(texts, has.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return good
+
+
+def encode_texts(docs: DataFrame, model: bytes | None = None, samples: int = SAMPLES, seed: int = SEED, key: str = "doc_id", check: bool = False) -> DataFrame:
     """docs with ids (array<int>) and samples (array of ids, log_probability, inclusion), which replace columns so named.
 
-    Null texts have null ids and samples. The empty text has one segmentation,
-    without ids, and a lone sample, itself. Rows of equal key and text get equal
-    samples; a null key is a key. Whole texts are segmented. Other columns stay.
+    With ``check`` also round_trip: whether the encoding and all samples decode
+    to the text. Null texts have null ids, samples and round_trip. The empty
+    text has one segmentation, without ids, and a lone sample, itself. Rows of
+    equal key and text get equal samples; a null key is a key. Whole texts are
+    segmented, a block of rows at a time. Other columns stay; an empty table
+    gives no rows.
     """
-    model = model or load()
-    held = docs.drop("ids", "samples")
+    model, more = model or load(), f"ids array<int>, samples {SAMPLE_TYPE}{', round_trip boolean' if check else ''}"
+    held = docs.drop("ids", "samples", *["round_trip"] * check)
     names = held.columns
-    fields = pa.struct([("ids", pa.list_(pa.int32())), ("log_probability", pa.float64()), ("inclusion", pa.float64())])
+    (hashed,) = unused(held, "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _loaded(model)
         for batch in batches:
-            for part, found in _blocks(batch, vocabulary, samples):
-                ids = pa.array([x and x[0].astype(np.int32) for x in found], pa.list_(pa.int32()))
-                drawn = pa.array([x and [{"ids": i.astype(np.int32), "log_probability": p, "inclusion": q} for i, p, q in x[1]] for x in found], pa.list_(fields))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, drawn], [*names, "ids", "samples"])
+            for part in _blocks(batch):
+                text = part.column("text")
+                null, filled = text.is_null().to_numpy(zero_copy_only=False), pc.fill_null(text, "")
+                found = segment_all(filled, part.column(hashed).to_numpy(zero_copy_only=False).astype(np.int64), vocabulary, samples)
+                told = _columns(found, null)
+                if check:
+                    told.append(pc.if_else(pa.array(null), None, pa.array(_round_trips(filled.to_pylist(), found, vocabulary))))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *told], [*names, "ids", "samples", *["round_trip"] * check])
 
-    return _with_key(held, key, seed).mapInArrow(run, widened(held, f"ids array<int>, samples {SAMPLE_TYPE}"))
+    return held.withColumn(hashed, F.xxhash64(F.col(key).cast("string"), F.lit(seed))).mapInArrow(run, widened(held, more))
 
 
 def decode_ids(encoded: DataFrame, model: bytes | None = None, column: str = "ids") -> DataFrame:
@@ -513,42 +605,12 @@ def decode_ids(encoded: DataFrame, model: bytes | None = None, column: str = "id
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         vocabulary = _loaded(model)
-        return pd.Series([None if x is None else decode(x.tolist(), vocabulary) for x in ids], dtype=object)
+        return pd.Series([None if x is None else decode(x, vocabulary) for x in ids], dtype=object)
 
     return encoded.withColumn("decoded", text(column))
 
 
-DIGEST = "n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean, n_samples int, sample_sha256 array<string>, log_probability array<double>, inclusion array<double>"
-
-
-def encode_digests(docs: DataFrame, model: bytes | None = None, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """(doc_id, ...) with counts and digests of what encode_texts gives for docs (doc_id, text), so that a row stays small.
-
-    Digests are hexadecimal SHA-256 of ids as little-endian 32-bit numbers, and
-    of the decoded text in UTF-8; round_trip says that all samples decode to the
-    text. Null texts have nulls.
-    """
-    model = model or load()
-    hexed = lambda ids: hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-
-    def told(text: str, found: Segmented, vocabulary: Vocabulary) -> tuple:
-        ids, drawn = found
-        back = decode(ids.tolist(), vocabulary)
-        same = back == text and all(decode(i.tolist(), vocabulary) == text for i, _, _ in drawn)
-        return len(ids), hexed(ids), hashlib.sha256(back.encode()).hexdigest(), same, len(drawn), [hexed(i) for i, _, _ in drawn], [round(p, 6) for _, p, _ in drawn], [round(q, 9) for _, _, q in drawn]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _loaded(model)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        names = [x.split()[0] for x in DIGEST.split(", ")]
-        for batch in batches:
-            for part, found in _blocks(batch, vocabulary, samples):
-                rows = [(None,) * len(kinds) if x is None else told(t.as_py(), x, vocabulary) for t, x in zip(part.column("text"), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
-
-    slim = docs.select("doc_id", "text")
-    return _with_key(slim, "doc_id", seed).mapInArrow(run, widened(slim.select("doc_id"), DIGEST))
-
-
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(read(spark, sf_dir, "documents"))
+    """Ids and samples of every document, each decoded again."""
+    told = encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "samples", "round_trip")
