@@ -33,7 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_digests(docs)
+    """docs with ids, sampled segmentations and whether these decode to the text; null texts have none."""
+    return pieces.encode_texts(docs, check=True)
 
 
 STAGES = [("toxicity", toxic), ("language", language), ("near_copies", near_copies), ("mixing", mixed), ("encoding", encoded)]
