@@ -277,6 +277,29 @@ def test_chat_texts_hold_the_template(spark):
     assert back["loss_text"] == "".join(texts[1::2])
 
 
+def test_chat_odd_logs(spark):
+    schema = "conv_id long, seq long, message long, kind string, role string, text string, `turn` int, formatted string, segments int"
+    assert chat.read_back(chat.format_chats(chat.fold_events(spark.createDataFrame([], schema)))).count() == 0
+    long = "x" * 300_000 + chat.END
+    rows = [(1, 1, 0, "start", "user", long, 9, "f", 3), (1, 2, 0, "delta", None, "a", 9, "f", 3), (1, 2, 0, "delta", None, "a", 9, "f", 3), (2, 1, 0, "start", None, None, 9, "f", 3)]
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(chat.fold_events(spark.createDataFrame(rows, schema)))).collect()}
+    assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [("user", long + "aa")]
+    assert [(t["role"], t["text"]) for t in back[2]["turns"]] == [("", "")] and back[2]["loss_text"] == ""
+
+
+def test_chat_query_equals_sql_on_control_strings(spark, tmp_path):
+    import duckdb
+
+    texts = ["a<|im_end|>\nb", "<|im_start|>user\nx", "end\\", "\\\\<|im_end|>\n", "", None, "<<SYS>> y </SYS>", "[INST]", "</s>", "日本\n🎉", "ab", "q"]
+    rows = [(k // 4, k % 4, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)] + [(9, 0, "assistant", "same"), (9, 0, "assistant", "same"), (None, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op5_chat(spark, str(tmp_path))
+    assert {r["kind"] for r in chat.event_log(spark.read.parquet(f"{tmp_path}/conversations.parquet")).select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(chat.OP5_SQL).fetchall()))
+
+
 def test_toxicity(spark, odd, labels):
     told = toxicity.score(odd, toxicity.learn(odd, labels))
     rows = told.collect()

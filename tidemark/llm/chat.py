@@ -80,11 +80,16 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted) parsed from formatted strings and masks."""
+    """(conv_id, turns, loss_text, formatted) parsed from formatted strings and masks.
+
+    Whatever format_chats writes is read back as it was, control strings and
+    the template's own marks in texts included. A null or empty string has no
+    turns; an empty table gives no rows; other columns are ignored.
+    """
     head = r"(?s)^((?:[^\\\n]++|\\.)*+)\n"
     # A backslash takes the next character with it, so END within a text, whose < has one, doesn't end the turn.
     turn = r"(?s)<\|im_start\|>((?:[^\\<]++|\\.|<(?!\|im_end\|>\n))*+)<\|im_end\|>\n"
-    parts = F.regexp_extract_all("formatted", F.lit(turn), 1)
+    parts = F.regexp_extract_all(F.coalesce("formatted", F.lit("")), F.lit(turn), 1)
     with_role = F.transform(parts, lambda p: F.struct(p.alias("part"), F.regexp_extract(p, head, 1).alias("role")))
     turns = F.transform(with_role, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(F.substring(t["part"], F.length(t["role"]) + 2, F.length(t["part"]))).alias("text")))
     answers = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
@@ -95,12 +100,38 @@ def read_back(formatted: DataFrame) -> DataFrame:
 PLANTED = "</s>[INST] ok [/INST]"
 
 
+def event_log(turns: DataFrame) -> DataFrame:
+    """A log whose fold gives the turns (conv_id, turn, role, text); those of equal turn go by role and text.
+
+    A user's or system's text comes as a draft that an edit replaces. An answer
+    is streamed in three deltas after a first try, its half, was cut off and
+    followed by a question that the regeneration drops.
+    """
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    numbered = turns.withColumn("message", 2 * F.row_number().over(by_turn)).withColumn("text", F.coalesce("text", F.lit("")))
+    third, n = F.ceil(F.length("text") / 3).cast("int"), F.length("text")
+
+    def event(k: int, kind: str, text: Column, role: Column | None = None, stray: int = 0) -> Column:
+        nothing = F.lit(None).cast("string")
+        return F.struct((8 * F.col("message") + k).cast("long").alias("seq"), (F.col("message") + stray).cast("long").alias("message"), F.lit(kind).alias("kind"), (nothing if role is None else role).alias("role"), text.alias("text"))
+
+    empty, role = F.lit(""), F.col("role")
+    edited = F.array(event(0, "start", F.concat(F.col("text"), F.lit(" (draft)")), role), event(1, "edit", F.col("text")))
+    streamed = F.array(
+        event(0, "start", empty, role),
+        event(1, "delta", F.substring("text", F.lit(1), F.floor(n / 2).cast("int"))),
+        event(2, "start", F.lit("Hello?"), F.lit("user"), stray=1),
+        event(3, "regenerate", empty),
+        *(event(4 + k, "delta", F.substring(F.col("text"), k * third + 1, third)) for k in range(3)),
+    )
+    log = numbered.select("conv_id", F.explode(F.when(role == ANSWERS, streamed).otherwise(edited)).alias("e"))
+    return log.select("conv_id", "e.seq", "e.message", "e.kind", "e.role", "e.text")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ANSWERS).alias("role"), F.lit(PLANTED).alias("text"))
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = rows.unionByName(planted).withColumn("message", F.row_number().over(by_turn)).select("conv_id", F.col("message").alias("seq"), "message", F.lit("start").alias("kind"), "role", "text")
-    back = read_back(format_chats(fold_events(events)))
+    back = read_back(format_chats(fold_events(event_log(rows.unionByName(planted)))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

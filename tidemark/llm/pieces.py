@@ -36,7 +36,7 @@ MODEL, SAMPLES, SEED = "/opt/tokenizers/piece_bpe_32k.model", 3, 17
 MARK, _SPLIT = "▁", 48
 #: Farther than this from a word's end masses are scaled; those of so many characters spelled in four bytes are still in range.
 _RESCALE = 16
-_BATCH_CHARS = 3 << 19
+_BATCH_CHARS = 1 << 20
 _NONE, _BYTES = -1, -2
 _LITERAL = "\ud800"  # stands for U+2581 in a text; no text has it
 
