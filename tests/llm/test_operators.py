@@ -161,12 +161,58 @@ def test_embeddings_brute_and_odd(spark):
 def test_mixing_meets_targets(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and all(r["taken"] <= 3 * r["size"] for r in got)
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{min(i % 7, 2)}") for i in range(600)], "doc_id long, text string, source string")
+    taken = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in sorted(got, key=lambda r: r["copies"])}
+    named = odd.withColumns({c: F.lit("mine") for c in ("_id", "_source", "_words", "_copies", "_size", "_key", "_copy")})
+    out = mixing.mixed_documents(named)
+    rows = out.collect()
+    assert out.columns == named.columns and all(r["_id"] == r["_size"] == r["_copies"] == r["_key"] == "mine" for r in rows)
+    assert len(rows) == sum(taken[r["doc_id"], r["source"], len((r["text"] or "").split())] for r in odd.collect())
+
+
+def test_mixing_balances_entropy(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, "w " * int(rng.lognormvariate(3, 1)), f"s{min(i % 7, 2)}" if i % 50 else None) for i in range(900)], "doc_id long, text string, source string")
     rows = mixing.mix(docs).toPandas()
-    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"))
-    assert (abs(by["taken"] - by["target"]) <= 9).all()
+    by = rows.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), rates=("rate", "nunique"))
+    assert (abs(by["taken"] - by["target"]) <= 3).all()
     assert by["target"].sum() == pytest.approx(by["size"].sum())
-    assert mixing.mixed_documents(odd).columns == odd.columns
+    assert by["rates"].max() > 10 and (abs(rows["copies"] - rows["rate"]) < 1).all() and rows["copies"].max() <= 3
+    # The multipliers are those of entropy balancing: within a source log rates follow the two moments of log size, and all words keep their log length.
+    wanted = rows["target"] / rows["source_size"]
+    words, length = rows["size"].to_numpy(float), np.log1p(rows["size"].to_numpy(float))
+    mean = (words * length).sum() / words.sum()
+    assert (words * rows["rate"] * length).sum() / (words * rows["rate"]).sum() == pytest.approx(mean, rel=5e-3)
+    inner = (rows["rate"] < 3) & (rows["size"] > 0)
+    for source in ("s0", "s1"):
+        mine = (rows["source"] == source) & inner
+        fit = np.polyfit(length[mine], np.log(rows["rate"][mine]), 2)
+        assert np.abs(np.polyval(fit, length[mine]) - np.log(rows["rate"][mine])).max() < 1e-6
+    assert (words * (rows["rate"] - wanted))[rows["source"] == "s1"].sum() == pytest.approx(0, abs=0.01)
+
+
+def test_mixing_targets_are_the_shared_ones(spark, tmp_path):
+    import duckdb
+
+    sizes = {"a": 5, "b": 400, "c": 3, None: 60, "d": 9, "é": 1, "Z": 0, "e": 30}
+    docs = [(k, "w " * n, source) for k, (source, n) in enumerate(sizes.items())] + [(None, None, "d")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op3_mixing(spark, str(tmp_path)).toPandas()
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weights, full = {s: 1 + k % 3 for k, s in enumerate(names)}, set()
+    while True:  # shares again until none is above its cap
+        rest = [s for s in names if s not in full]
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in full)) / sum(weights[s] for s in rest) if rest else 0
+        over = {s for s in rest if weights[s] * level >= 3 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    want = {s: 3 * sizes[s] if s in full else weights[s] * level for s in names}
+    assert {None if r["source"] is None else r["source"]: r["target"] for _, r in got.iterrows()} == pytest.approx(want)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = con.execute(f"SELECT doc_id, size, source_size, target, source FROM ({mixing.OP3_SQL})").df()
+    order = ["source", "size", "target"]
+    assert got[["size", "source_size", "target", "source"]].sort_values(order).to_numpy().tolist() == told[["size", "source_size", "target", "source"]].sort_values(order).to_numpy().tolist()
 
 
 def test_pieces_round_trip_and_probabilities(spark, odd):

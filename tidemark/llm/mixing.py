@@ -1,79 +1,223 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
 Among all reweightings of the tokens, the mix nearest to the corpus in relative
-entropy that takes ``target`` words of every source gives each document the
-rate exp(lambda of its source). The convex dual has one multiplier a source; its
-gradient, source_size * exp(lambda) - target, and its Hessian need the corpus
-only as sums by source, so one distributed aggregate feeds every Newton step.
+entropy that takes ``target`` words of every source, and whose words lie in
+documents of the same lengths as the corpus's words do, gives each document the
+rate exp(lambda of its source + sum of beta_k * moment k of its log length), no
+rate above ``most``. The convex dual in lambda and beta is solved by Newton
+steps. Each is one distributed aggregate over (source, size) cells: gradient and
+Hessian by source, joined to one small system in beta (the sources are
+eliminated first), after which every source's lambda follows by itself.
+
+Sources' targets are exact constraints. The length moments are soft ones, with a
+quadratic penalty in the dual, as capped sources can make exact ones impossible.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, number_rows, read, stored
+from tidemark.llm.common import WORD, number_rows, read, stored, unused
 
-NEWTON_STEPS, MAX_COPIES, WEIGHTS = 64, 3, (1.0, 2.0, 3.0)
+MAX_COPIES, WEIGHTS = 3, (1.0, 2.0, 3.0)
+#: Least relative residual of a source at which Newton's method stops, its most steps, and the share of all words that beta = 1 costs.
+RESIDUAL, STEPS, PENALTY = 1e-7, 30, 0.02
+#: Rounds that give or take single copies after the first rounding.
+REPAIRS = 6
+#: Sums are of decimals, so that they don't depend on their order and reruns agree.
+_EXACT = "decimal(38,10)"
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def log_rate(ratio: Column, steps: int = NEWTON_STEPS) -> Column:
-    """Newton's iterations for exp(lambda) = ratio, from 0: lambda - 1 + ratio * exp(-lambda)."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda x, _: x - 1 + ratio * F.exp(-x))
+def _total(x: Column) -> Column:
+    return F.sum(x.cast(_EXACT)).cast("double")
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """(source, source_size, docs, target): shares of all words by weight, capped at ``most`` times the source.
 
     Sources in code point order, null last, have the weights in turn. A capped
-    source's excess is shared again by weight until none is above its cap: in
-    order of cap / weight the first sources are capped, and the rest share what
-    those leave. One row a source passes through the windows.
+    source's excess is shared again by weight until none is above its cap. Each
+    round of sharing is one aggregate over the sources, of which two numbers
+    reach the driver.
+    """
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    totals = number_rows(totals, [F.col("source").asc_nulls_last()], "_turn")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_turn") % len(weights) + 1).cast("int"))
+    totals = stored(totals.withColumn("weight", weight), "sources")
+    every = totals.agg(F.sum("source_size")).first()[0] or 0
+    cap, level, capped = F.col("source_size") * most, 0.0, -1
+    while True:
+        full = F.col("weight") * level >= cap
+        known = totals.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
+        if known[2] == capped or not known[1]:
+            break
+        capped, level = known[2], (every - (known[0] or 0)) / known[1]
+    target = F.when(full, cap.cast("double")).otherwise(F.col("weight") * level)
+    return totals.select("source", "source_size", "docs", target.alias("target"))
+
+
+def _moments(size: Column, middle: float, spread: float) -> list[Column]:
+    x = (F.log1p(size) - middle) / spread
+    return [x, x * x - 1]
+
+
+def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """A small linear system, by elimination with pivots."""
+    rows = [[*m, r] for m, r in zip(matrix, right, strict=True)]
+    for k in range(len(rows)):
+        top = max(range(k, len(rows)), key=lambda i: abs(rows[i][k]))
+        rows[k], rows[top] = rows[top], rows[k]
+        for i in range(len(rows)):
+            if i != k:
+                part = rows[i][k] / rows[k][k]
+                rows[i] = [a - part * b for a, b in zip(rows[i], rows[k], strict=True)]
+    return [row[-1] / row[k] for k, row in enumerate(rows)]
+
+
+def balance(sized: DataFrame, sources: DataFrame, most: int = MAX_COPIES, penalty: float = PENALTY) -> tuple[DataFrame, Column]:
+    """(sources with the multipliers ``lambda``, beta0 and beta1, the rate of a document as a column of these, size, source_size and target).
+
+    A source whose target is its cap has the rate ``most`` throughout, one without words 0.
+    """
+    n, mean, square = sized.where("size > 0").agg(_total(F.col("size")), _total(F.col("size") * F.log1p("size")), _total(F.col("size") * F.log1p("size") * F.log1p("size"))).first()
+    every = float(n or 1)
+    middle = (mean or 0.0) / every
+    spread = max(1e-6, math.sqrt(max(0.0, (square or 0.0) / every - middle * middle)))
+    moments = _moments(F.col("size"), middle, spread)
+    kinds = range(len(moments))
+    full, none = F.col("target") >= most * F.col("source_size"), F.col("source_size") == 0
+    open_ = ~full & ~none
+    cells = stored(sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+
+    # beta comes as columns: as literals it would have the expressions compiled again in every step.
+    tilt = sum((F.col(f"beta{k}") * m for k, m in enumerate(moments)), F.col("lambda"))
+    rate = F.when(none, 0.0).when(full, float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(tilt, F.lit(50.0)))))
+
+    def told(now: DataFrame, beta: list[float]) -> DataFrame:
+        """Of each source: residual, curvature, its products with the moments, and what it adds to their residuals and curvature."""
+        now = now.withColumns({f"beta{k}": F.lit(b) for k, b in enumerate(beta)})
+        at = now.select(F.col("source").alias("_of"), "source_size", "target", "lambda", *(f"beta{k}" for k in kinds))
+        rows = cells.join(at, cells["source"].eqNullSafe(at["_of"]))
+        taken = F.col("n") * F.col("size") * rate
+        bends = F.when(open_ & (tilt < math.log(most)), taken).otherwise(0.0)
+        sums = {"g": _total(taken), "d": _total(bends)}
+        sums |= {f"m{k}": _total(taken * m) for k, m in enumerate(moments)} | {f"c{k}": _total(bends * m) for k, m in enumerate(moments)}
+        sums |= {f"e{j}{k}": _total(bends * moments[j] * moments[k]) for j in range(len(moments)) for k in range(j + 1)}
+        # The dual: of a rate r = exp(t) it has r, of one held at the cap what the line at the cap goes on to.
+        held = F.when(open_, F.when(tilt < math.log(most), taken).otherwise(taken * (1 + tilt - math.log(most)))).otherwise(taken)
+        sums["dual"] = _total(held + F.when(open_, 0.0).otherwise(taken * (tilt - F.col("lambda"))))
+        of = rows.groupBy("_of").agg(*(v.alias(k) for k, v in sums.items()))
+        joined = now.join(of, now["source"].eqNullSafe(of["_of"]), "left").drop("_of").fillna(0.0, list(sums))
+        return stored(joined.withColumn("g", F.when(open_, F.col("g") - F.col("target")).otherwise(0.0)), "balance")
+
+    now = sources.withColumn("lambda", F.when(open_ & (F.col("target") > 0), F.log(F.col("target") / F.col("source_size"))).when(open_, -50.0).otherwise(0.0))
+    beta, best, trial, shrink = [0.0] * len(moments), None, told(now, [0.0] * len(moments)), 1.0
+    keep = [*now.columns, *(f"beta{k}" for k in kinds)]
+    for _ in range(STEPS):
+        lean = F.col("d") > 0
+        share = lambda x, y: F.when(lean, x * y / F.col("d")).otherwise(0.0)
+        pairs = [(j, k) for j in kinds for k in range(j + 1)]
+        # A handful of sums reach the driver.
+        row = trial.agg(
+            F.max(F.when(open_ & (F.col("target") > 0), F.abs(F.col("g")) / F.col("target"))),
+            _total(F.col("dual") - F.when(open_, F.col("lambda") * F.col("target")).otherwise(0.0)),
+            *(_total(F.col(f"m{k}")) for k in kinds),
+            *(_total(share(F.col(f"c{k}"), F.col("g"))) for k in kinds),
+            *(_total(F.col(f"e{j}{k}") - share(F.col(f"c{j}"), F.col(f"c{k}"))) for j, k in pairs),
+        ).first()
+        if row[1] is None:
+            break
+        value = row[1] + 0.5 * penalty * every * sum(b * b for b in beta)
+        if best is not None and value > best[0] + 1e-9 * every and shrink > 1e-4:
+            # Too far: half the step from where it began.
+            shrink /= 2
+        else:
+            k0 = len(moments)
+            slope = [row[2 + k] + penalty * every * beta[k] for k in kinds]
+            if best is not None and (row[0] or 0.0) < RESIDUAL and max(abs(a - b) for a, b in zip(beta, best[1], strict=True)) < 1e-6:
+                break
+            table = [[0.0] * k0 for _ in kinds]
+            for x, (j, k) in zip(row[2 + 2 * k0 :], pairs, strict=True):
+                table[j][k] = table[k][j] = x + (penalty * every if j == k else 0.0)
+            best, shrink = (value, beta, trial, _solve(table, [row[2 + k0 + k] - slope[k] for k in kinds])), 1.0
+        _, start, here, move = best
+        beta = [b + shrink * m for b, m in zip(start, move, strict=True)]
+        follow = F.col("g") + sum((F.col(f"c{k}") * move[k] for k in kinds), F.lit(0.0))
+        moved = F.col("lambda") - F.when(open_ & (F.col("d") > 0), shrink * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), follow / F.col("d")))).otherwise(0.0)
+        trial = told(here.withColumn("lambda", moved).select(keep), beta)
+    return stored(trial.select(keep), "balanced"), rate
+
+
+def _cumulated(rows: DataFrame, x: str, name: str) -> DataFrame:
+    """rows (_part, _pos, source, ...) with the sum of x over this and earlier rows of the source.
+
+    A window holds one partition's rows of a source; the sums of earlier
+    partitions, one row for each, are added.
+    """
+    own = Window.partitionBy("_part", "source").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part", "source").agg(F.sum(x).alias("_sum")).select(F.col("_part").alias("_p"), F.col("source").alias("_s"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(parts, (rows["_part"] == parts["_p"]) & rows["source"].eqNullSafe(parts["_s"])).withColumn(name, F.col("_before") + F.sum(x).over(own)).drop("_p", "_s", "_before")
+
+
+def _with_source(rows: DataFrame, of: DataFrame) -> DataFrame:
+    there = of.withColumnRenamed("source", "_s")
+    return rows.join(there, rows["source"].eqNullSafe(there["_s"])).drop("_s")
+
+
+def round_rates(rated: DataFrame, order: list[Column], repairs: int = REPAIRS) -> DataFrame:
+    """rated (source, size, target, rate, ...) with ``copies``, each the rate rounded down or up.
+
+    Copies first come by systematic rounding over each source's rows in the
+    given order, with larger ones first. A source's words are then off its
+    target by what the sizes differ; so in rounds rows that were rounded the
+    wrong way for that, of no more words than are off, change over, from the
+    largest down while they fit. What stays is less than the least such row.
     """
-    totals = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "sources")
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    up = Window.orderBy("_ratio", "_turn")
-    before, onwards = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    weighed = totals.withColumn("_turn", turn).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_turn") % len(weights) + 1).cast("int")))
-    weighed = weighed.withColumns({"_cap": F.col("source_size") * most, "_ratio": F.col("source_size") * most / F.col("weight")})
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / F.sum("weight").over(onwards)
-    shared = weighed.withColumn("_level", level)
-    # The level of the first source that its share doesn't fill to the cap holds for all after it.
-    first = F.min(F.when(F.col("_level") < F.col("_ratio"), F.struct("_ratio", "_turn", "_level"))).over(Window.partitionBy())
-    shared = shared.withColumn("_first", first)
-    target = F.when(F.col("_first").isNull() | (F.col("_level") >= F.col("_ratio")) & (F.struct("_ratio", "_turn") < F.struct("_first._ratio", "_first._turn")), F.col("_cap").cast("double")).otherwise(F.col("weight") * F.col("_first._level"))
-    return shared.select("source", "source_size", "docs", target.alias("target"))
+    spark_order = [F.col("source").asc_nulls_last(), F.col("size").desc(), *order]
+    at = F.monotonically_increasing_id()
+    parts = int(rated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rated.repartitionByRange(parts, *spark_order).sortWithinPartitions(*spark_order).withColumn("_at", at)
+    placed = stored(placed.withColumns({"_part": F.shiftright("_at", 33), "_pos": F.col("_at").bitwiseAND((1 << 33) - 1), "_fraction": (F.col("rate") - F.floor("rate")).cast("decimal(20,9)")}).drop("_at"), "placed")
+    summed = _cumulated(placed, "_fraction", "_upto").withColumn("_upto", F.col("_upto").cast("decimal(38,9)"))
+    half = F.lit(0.5).cast("decimal(10,9)")
+    up = F.floor(F.col("_upto") + half) - F.floor(F.col("_upto") - F.col("_fraction") + half)
+    rows = stored(summed.withColumn("copies", (F.floor("rate") + up).cast("long")).drop("_upto"), "copied")
+    for _ in range(repairs):
+        off = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("_off"))
+        wrong = F.when(F.col("_off") > 0, F.col("copies") < F.col("rate")).otherwise(F.col("copies") > F.col("rate"))
+        movable = (F.col("size") > 0) & (F.col("size") <= F.abs("_off")) & wrong
+        marked = _with_source(rows, off).withColumn("_fits", F.when(movable, F.col("size")).otherwise(0))
+        marked = _cumulated(marked, "_fits", "_upto")
+        turn = movable & (F.col("_upto") <= F.abs("_off"))
+        changed = marked.withColumn("_turn", turn).withColumn("copies", F.col("copies") + F.when(turn, F.signum("_off").cast("long")).otherwise(0)).drop("_off", "_fits", "_upto")
+        changed = stored(changed, "copied")
+        done, rows = changed.where("_turn").isEmpty(), changed.drop("_turn")
+        if done:
+            break
+    return rows.drop("_part", "_pos", "_fraction")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken) of every row of docs (doc_id, text, source).
 
-    Rates become copies by systematic rounding over each source's documents in
-    order of size: the copies of a source differ from rate times documents by
-    less than one, in any run of sizes, so its words come within about one
-    document's size of the target. Order and so results depend on doc_id and
-    size alone. Null texts and texts without words have size 0 and take 0
-    words; a null source is a source; an empty table gives no rows. Repeated
-    rows count as often as they come. Other columns are ignored.
+    Copies are the rate rounded up or down, so that a source's words come as
+    near its target as its smallest rounded rows allow. They depend on doc_id,
+    size and source alone. Null texts and texts without words have size 0 and
+    take 0 words; a null source is a source; an empty table gives no rows.
+    Repeated rows count as often as they come. Other columns are ignored.
     """
     sized = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sized")
-    sources = source_targets(sized, weights, most)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = stored(sources.withColumn("rate", F.round(F.when(ratio > 0, F.exp(log_rate(ratio))).otherwise(0.0), 9)), "rates")
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.xxhash64("doc_id"), F.col("doc_id")]
-    placed = stored(number_rows(sized, order), "placed")
-    starts = placed.groupBy("source").agg(F.min("row_number").alias("_start"))
-    sources = sources.join(starts, sources["source"].eqNullSafe(starts["source"])).drop(starts["source"])
-    # One row a source; Spark broadcasts it if its size is below the session's threshold.
-    at = sources.withColumnsRenamed({"source": "_source"})
-    part, place = F.col("rate") - F.floor("rate"), F.col("row_number") - F.col("_start")
-    copies = F.floor("rate") + F.floor((place + 1) * part + 0.5) - F.floor(place * part + 0.5)
-    out = placed.join(at, placed["source"].eqNullSafe(at["_source"])).withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sources, rate = balance(sized, source_targets(sized, weights, most), most)
+    rated = _with_source(sized, sources).withColumn("rate", F.round(rate, 9))
+    return round_rates(rated, [F.xxhash64("doc_id"), F.col("doc_id")]).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
@@ -81,19 +225,22 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
     Rows that share a doc_id, or have none, are told apart by source and size;
     those that agree in all three have the same copies only if their places do,
-    so they get the largest of theirs.
+    so they get the largest of theirs. A text without words has the copies of
+    its rate. Null sources, empty tables and columns of any name are fine.
     """
-    taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_copies").where("_copies > 0")
-    sized = docs.withColumn("_size", words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(taken["_id"]) & sized["source"].eqNullSafe(taken["_source"]) & (sized["_size"] == taken["_words"])
-    return sized.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    size, copies, one, key, source, words_ = unused(docs, "_size", "_copies", "_copy", "_key", "_source", "_words")
+    taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    taken = taken.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(words_), copies)
+    sized = docs.withColumn(size, words(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(taken[key]) & sized["source"].eqNullSafe(taken[source]) & (sized[size] == taken[words_])
+    return sized.join(taken, same).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+#: The columns of op3_mixing that SQL can express.
 OP3_SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS turn FROM sized GROUP BY source),
@@ -102,5 +249,5 @@ levels AS (SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) - CAST(coalesce(s
     / sum(weight) OVER (ORDER BY ratio, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 first AS (SELECT ratio AS r1, turn AS t1, level AS l1 FROM levels WHERE level < ratio ORDER BY ratio, turn LIMIT 1),
 targets AS (SELECT source, source_size, CASE WHEN r1 IS NULL OR (ratio, turn) < (r1, t1) THEN CAST(cap AS DOUBLE) ELSE weight * l1 END AS target FROM levels LEFT JOIN first ON true)
-SELECT doc_id, size, source_size, target, source FROM sized JOIN targets USING (source)
+SELECT doc_id, size, source_size, target, sized.source AS source FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 """
