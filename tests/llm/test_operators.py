@@ -1,6 +1,7 @@
 """The corpus operators on odd rows, and against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -354,7 +355,8 @@ def test_toxicity(spark, odd, labels):
     lexicon = toxicity.Lexicon({"idiot": 3.0}, {"lowe": 2.0})
     assert lexicon.evidence("you idiot") > lexicon.evidence("an idiot") > lexicon.evidence("not an idiot") > 0
     assert lexicon.evidence('they said: fine. "idiot"') < lexicon.evidence("an idiot")
-    assert lexicon.evidence("I will kill you") > 0 == lexicon.evidence("kill the process")
+    assert lexicon.evidence("I will kill you") > 0 == lexicon.evidence("kill the process") == lexicon.evidence("they said: x; he said he will kill you")
+    assert [out for _, out in itertools.accumulate(("target", "insult", "negation", "insult", "other", "threat", "target"), lambda at, x: toxicity.GRAMMAR.step(at[0], x), initial=(toxicity.GRAMMAR.start, ""))][1:] == ["target", "aimed", "negation", "softened", "other", "other", "menace"]
     assert lexicon.evidence("Loweisch") == 2.0 and lexicon.evidence(None) == 0
 
 
@@ -411,10 +413,31 @@ def test_language(spark, odd):
     assert {name(int(c)): int(n) for c, n in zip(codes, counts, strict=True)} == want
 
 
-@pytest.mark.parametrize("query,column,fold,held,least", [("op6_toxicity", "toxic", 3, 1, 0.9), ("op9_quality", "quality", 5, 0, 0.9)])
-def test_held_out_accuracy(spark, query, column, fold, held, least):
+def test_toxicity_learns_the_weights_of_outputs():
+    rng = np.random.default_rng(4)
+    sums, label = rng.exponential(2.0, (4000, 4)) * (rng.random((4000, 4)) < 0.4), np.zeros(4000)
+    label[:] = rng.random(4000) < 1 / (1 + np.exp(-(-6 + 3 * np.log1p(sums @ [1, 4, 0.2, 3]))))
+    outputs, (_, slope, _) = toxicity.fit_curve(sums, np.full(4000, 50.0), label)
+    assert outputs[1] > 1.8 and outputs[2] < 0.45 and outputs[0] == 1 and slope > 1.5
+    none = np.zeros((10, 4))
+    assert toxicity.fit_curve(none, np.ones(10), np.arange(10) % 2)[0] == pytest.approx(toxicity.PRIOR)
+
+
+def _held_out(spark, query, column):
     from tidemark.llm.queries import QUERIES
 
-    data = "/root/testdata/sf0.01"
+    data = "/root/testdata/sf0.1"
     rows = QUERIES[query](spark, data).where("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where(F.col(column).isNotNull())
-    assert rows.agg(F.avg((F.col("predicted") == F.col(column)).cast("int"))).first()[0] >= least
+    counts = {(r[column], r["predicted"]): r["count"] for r in rows.groupBy(column, "predicted").count().collect()}
+    return counts.get((1, 1), 0), counts.get((1, 0), 0), counts.get((0, 1), 0)
+
+
+def test_held_out_toxicity(spark):
+    hit, missed, false = _held_out(spark, "op6_toxicity", "toxic")
+    # Nine of the 144 toxic texts have none of the words that the others have.
+    assert hit / (hit + missed) >= 0.93 and hit / (hit + false) >= 0.95
+
+
+def test_held_out_quality(spark):
+    hit, missed, false = _held_out(spark, "op9_quality", "quality")
+    assert hit / (hit + missed) >= 0.99 and hit / (hit + false) >= 0.99

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, stored, widened
+from tidemark.llm.common import read, stored, unused, widened
 
 PROFILE, UNKNOWN = 400, "und"
 _CHUNK, _HELD = 1 << 19, 1 << 20
@@ -96,7 +96,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
-    """Ranked n-grams of every language of docs (text, lang), counted over all rows whose text and lang aren't null."""
+    """Ranked n-grams of every language of docs (text, lang), counted over all rows whose text and lang aren't null.
+
+    N-grams of equal count go by code point. A language whose texts have no
+    letter has no profile; an empty table gives none. Repeated rows count again.
+    """
     counts = docs.where("text is not null and lang is not null").select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     total = stored(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
     # The floor that the size-th count of a language sets leaves few rows for each window.
@@ -155,9 +159,15 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """Rows of docs whose text is in a language learned from docs themselves; texts unlike any (score under ``least``) go."""
-    told = identify(docs, learn_profiles(learning_rows(docs)), names=("_lang", "_fit"))
-    return told.where((F.col("_lang") != UNKNOWN) & (F.col("_fit") >= least)).drop("_lang", "_fit")
+    """Rows of docs whose text is in a language learned from docs themselves; texts unlike any (score under ``least``) go.
+
+    So do null texts and those without letters. All columns stay; repeated rows
+    share their fate; where no language can be learned nothing is known, and all
+    rows go.
+    """
+    lang, fit = unused(docs, "_lang", "_fit")
+    told = identify(docs, learn_profiles(learning_rows(docs)), names=(lang, fit))
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(fit) >= least)).drop(lang, fit)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
