@@ -57,6 +57,14 @@ def test_near_copies_odd(spark, odd):
         assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 7, 8, 9]
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, b + " more", "x"), (None, a, "x"), (None, "c d e f g h", "x"), (None, "c d e f g h", "x")]
+    kept = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _text string"))
+    assert kept.columns == ["doc_id", "text", "_text"]
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == [(0, "c d e f g h"), (1, a), (1, b)]
+
+
 def test_near_copies_share_shingles(spark):
     rng = random.Random(5)
     rows, words = [], [f"w{k}" for k in range(4000)]
@@ -85,7 +93,7 @@ def test_near_copies_share_shingles(spark):
 def test_near_copies_replace_links_that_fail(spark, monkeypatch):
     words = [f"w{k}" for k in range(300)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:150] + ["other"] + words[151:])), (3, " ".join(f"v{k}" for k in range(300)))]
-    forest = lambda prints, *_: prints.alias("a").join(prints.where("first_id = 3").alias("b"), F.expr("a.id <> b.id")).selectExpr("least(a.id, b.id) AS src", "greatest(a.id, b.id) AS dst")
+    forest = lambda prints, *_: prints.alias("a").join(prints.where("first.doc_id = 3").alias("b"), F.expr("a.id <> b.id")).selectExpr("least(a.id, b.id) AS src", "greatest(a.id, b.id) AS dst")
     monkeypatch.setattr(nearcopies, "candidate_links", forest)
     got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, stored
+from tidemark.llm.common import connected_components, stored, unused
 from tidemark.llm.simhash import shingle_hashes
 
 LANES = 8
@@ -321,12 +321,12 @@ def _fingerprints(width: int, similarity: float, common: np.ndarray):  # noqa: A
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, sizes, firsts = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 hashes = np.unique(shingle_hashes(t.as_py(), width))
                 prints.append(wide_fingerprint(hashes))
                 sizes.append(len(hashes))
                 firsts.append(prefix(hashes.view(np.int64), common, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "print", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "tie", "print", "size", "prefix"])
 
     return fingerprints
 
@@ -368,47 +368,45 @@ def prefix_links(prints: DataFrame, similarity: float, share: int) -> DataFrame:
 
 
 def _shingles(width: int):  # noqa: ANN202
-    """Rows whose text has the print that the row names, with their distinct shingles; few texts at a time."""
+    """The distinct shingles of texts (id, text); few texts at a time."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids, sets = [], []
-                for one, named, text in zip(*(batch.column(k).slice(at, 256) for k in range(3)), strict=True):
-                    hashes = shingle_hashes(text.as_py(), width)
-                    if wide_fingerprint(hashes) == named.as_py():
-                        ids.append(one.as_py())
-                        sets.append(np.unique(hashes).view(np.int64))
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+                ids, texts = (batch.column(k).slice(at, 256) for k in range(2))
+                sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_pydict({"id": ids, "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
     return shingles
 
 
+def _tie() -> Column:
+    """Tells texts apart; null is as the empty text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def verified(links: DataFrame, docs: DataFrame, prints: DataFrame, similarity: float, width: int) -> DataFrame:
     """The links (src, dst) whose texts share ``similarity`` of their distinct shingles or more."""
-    wanted = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(prints.where("first_id is not null"), "id")
-    texts = docs.select("doc_id", "text").join(wanted.select("id", "print", F.col("first_id").alias("doc_id")), "doc_id").select("id", "print", "text")
+    wanted = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(prints.select("id", "first.doc_id", "first.tie"), "id").withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    slim = docs.select("doc_id", "text", _tie().alias("tie"))
+    texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["tie"] == wanted["_tie"])).select("id", "text")
     sets = stored(texts.mapInArrow(_shingles(width), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
     pairs = links.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
     both = F.size(F.array_intersect("a", "b"))
     return stored(pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("src", "dst"), "verified")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.99) -> DataFrame:
-    """(doc_id, component_id) of every row of docs (doc_id, text): the least doc_id that links of ``similarity`` or more reach.
+def group_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): rows (doc_id, tie, print) of docs, texts (print, component, first, ...) of its distinct prints.
 
-    The similarity of two texts is the share of their distinct word shingles
-    that both have. Every link is verified on the shingles. The fingerprints
-    find a pair of just that similarity with probability ``recall``; all pairs
-    between the groups that come of it are then found by their prefixes, in
-    rounds, until no task holds a pair back. Texts without a word
-    (null ones too) are copies of each other. Rows without doc_id get the
-    component of their text but never name one. Repeated rows are returned as
-    often as they come, other columns are ignored, an empty table gives no rows.
+    ``first`` (none, doc_id, tie) names the first row with that print: rows
+    without doc_id come last, then it goes by doc_id, then by the text's hash.
     """
     common = common_shingles(docs, width)
-    marked = stored(docs.select("doc_id", "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, print binary, size long, prefix array<long>"), "prints")
-    prints = stored(marked.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("size", "prefix")).alias("_")).select("print", "first_id", "_.size", "_.prefix").withColumn("id", F.monotonically_increasing_id()), "distinct")
+    marked = docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, tie long, print binary, size long, prefix array<long>")
+    marked = stored(marked, "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
+    prints = stored(marked.groupBy("print").agg(first, F.min(F.struct("size", "prefix")).alias("_")).select("print", "first", "_.size", "_.prefix").withColumn("id", F.monotonically_increasing_id()), "distinct")
 
     def grouped(sure: DataFrame) -> DataFrame:
         return prints.join(connected_components(sure).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -420,14 +418,40 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
         held = not links.where("src < 0").isEmpty()
         sure = sure.unionByName(verified(links.where("src >= 0"), docs, prints, similarity, width))
         named, share = grouped(sure), share * GROWTH
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "print").join(named.join(least, "component").select("print", "component_id"), "print").select("doc_id", "component_id")
+    return marked.select("doc_id", "tie", "print"), named
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.99) -> DataFrame:
+    """(doc_id, component_id) of every row of docs (doc_id, text): the least doc_id that links of ``similarity`` or more reach.
+
+    The similarity of two texts is the share of their distinct word shingles
+    that both have. Every link is verified on the shingles. The fingerprints
+    find a pair of just that similarity with probability ``recall``; all pairs
+    between the groups that come of it are then found by their prefixes, in
+    rounds, until no task holds a pair back. Texts without a word
+    (null ones too) are copies of each other. Rows without doc_id get the
+    component of their text but never name one, unless all of it are such: it
+    is null then. Repeated rows are returned as often as they come, other
+    columns are ignored, an empty table gives no rows.
+    """
+    rows, named = group_texts(docs, similarity, width, recall)
+    least = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    return rows.join(named.join(least, "component").select("print", "component_id"), "print").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """One row of docs for each group of near copies: that of the least doc_id, all columns kept.
+    """One row of docs for each group of near copies, all columns kept: the first by doc_id, then by the text's hash.
 
-    Rows without doc_id stay as they are; of repeated rows of one doc_id one stays.
+    Rows without doc_id come after all others, so a group of such rows leaves
+    one too. Rows that share a doc_id are told apart by their texts; of those
+    equal in both an arbitrary one stays. Null and wordless texts are one group.
     """
-    leaders = near_copies(docs.where("doc_id is not null"), similarity, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows, named = group_texts(docs, similarity, width)
+    # The groups' first rows come by aggregates alone, so a large group is no large task.
+    leaders = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
+    (tie,) = unused(docs, "_text")
+    held = docs.withColumn(tie, _tie())
+    kept = held.join(leaders, held["doc_id"].eqNullSafe(leaders["_id"]) & (held[tie] == leaders["_tie"]), "left_semi")
+    # Only where some rows repeat do texts have to be sorted by them.
+    repeats = not rows.groupBy("doc_id", "tie").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", tie]) if repeats else kept).drop(tie)
