@@ -99,6 +99,19 @@ def test_near_copies_replace_links_that_fail(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
 
 
+def test_bitmaps_pass_every_similar_pair():
+    rng, passed = np.random.default_rng(8), 0
+    for n in [0, 1, 3, 17, 64, 700]:
+        for m in [1, 4, 20, 64, 800]:
+            every = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            for common in {0, min(n, m) // 2, min(n, m)}:
+                a, b = every[:n], np.concatenate([every[:common], every[n : n + m - common]])
+                may = nearcopies.may_share(nearcopies.bitmap(a), nearcopies.bitmap(b), n, m, 0.8)
+                assert may or common / (n + m - common) < 0.8
+                passed += may and common == 0 and n > 3
+    assert not passed
+
+
 def test_near_copies_miss_no_short_pair(spark):
     rng = random.Random(11)
     rows, want = [], []

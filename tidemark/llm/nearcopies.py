@@ -317,16 +317,47 @@ def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.nd
     return shingles[np.lexsort((shingles, rank))[: len(shingles) - least + 1]]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A set of distinct shingles by their last bits, about four to eight bits for each."""
+    bits = np.zeros(max(64, 1 << (4 * len(shingles) - 1).bit_length() if len(shingles) else 64), bool)
+    bits[(shingles & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def may_share(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """Whether sets of n and m shingles can have that similarity: a bit that only one has is a shingle that only it has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = _folded(x, size), _folded(y, size)
+    both = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return both >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+
+def _possible(similarity: float):  # noqa: ANN202
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(k).to_pylist() for k in range(2, 6))
+            kept = [may_share(*x, similarity) for x in zip(a, b, n, m, strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(kept, pa.bool_()))
+
+    return possible
+
+
 def _fingerprints(width: int, similarity: float, common: np.ndarray):  # noqa: ANN202
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, firsts = [], [], []
+            prints, sizes, firsts, maps = [], [], [], []
             for t in batch.column(2):
                 hashes = np.unique(shingle_hashes(t.as_py(), width))
                 prints.append(wide_fingerprint(hashes))
                 sizes.append(len(hashes))
                 firsts.append(prefix(hashes.view(np.int64), common, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "tie", "print", "size", "prefix"])
+                maps.append(bitmap(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["doc_id", "tie", "print", "size", "prefix", "bitmap"])
 
     return fingerprints
 
@@ -386,14 +417,22 @@ def _tie() -> Column:
 
 
 def verified(links: DataFrame, docs: DataFrame, prints: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The links (src, dst) whose texts share ``similarity`` of their distinct shingles or more."""
+    """The links (src, dst) whose texts share ``similarity`` of their distinct shingles or more.
+
+    Most that don't are told by their bitmaps, a sixteenth of the shingles in
+    size; only the others' shingles are fetched.
+    """
+    at = prints.select("id", "size", "bitmap")
+    likely = links.join(at.withColumnsRenamed({"id": "src", "size": "n", "bitmap": "a"}), "src").join(at.withColumnsRenamed({"id": "dst", "size": "m", "bitmap": "b"}), "dst")
+    links = stored(likely.select("src", "dst", "a", "b", "n", "m").mapInArrow(_possible(similarity), "src long, dst long"), "likely")
     wanted = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(prints.select("id", "first.doc_id", "first.tie"), "id").withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
     slim = docs.select("doc_id", "text", _tie().alias("tie"))
     texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["tie"] == wanted["_tie"])).select("id", "text")
-    sets = stored(texts.mapInArrow(_shingles(width), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    # A repeated row gives its shingles twice, and so a link twice.
+    sets = stored(texts.mapInArrow(_shingles(width), "id long, shingles array<long>"), "shingles")
     pairs = links.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
     both = F.size(F.array_intersect("a", "b"))
-    return stored(pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("src", "dst"), "verified")
+    return stored(pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("src", "dst").distinct(), "verified")
 
 
 def group_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
@@ -403,10 +442,10 @@ def group_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
     without doc_id come last, then it goes by doc_id, then by the text's hash.
     """
     common = common_shingles(docs, width)
-    marked = docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, tie long, print binary, size long, prefix array<long>")
+    marked = docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, tie long, print binary, size long, prefix array<long>, bitmap binary")
     marked = stored(marked, "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    prints = stored(marked.groupBy("print").agg(first, F.min(F.struct("size", "prefix")).alias("_")).select("print", "first", "_.size", "_.prefix").withColumn("id", F.monotonically_increasing_id()), "distinct")
+    prints = stored(marked.groupBy("print").agg(first, F.min(F.struct("size", "prefix", "bitmap")).alias("_")).select("print", "first", "_.size", "_.prefix", "_.bitmap").withColumn("id", F.monotonically_increasing_id()), "distinct")
 
     def grouped(sure: DataFrame) -> DataFrame:
         return prints.join(connected_components(sure).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -447,8 +486,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     equal in both an arbitrary one stays. Null and wordless texts are one group.
     """
     rows, named = group_texts(docs, similarity, width)
-    # The groups' first rows come by aggregates alone, so a large group is no large task.
-    leaders = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
+    # The groups' first rows come by aggregates alone, so a large group is no large task. Stored, their size is known:
+    # while it is small, Spark leaves the texts where they are.
+    leaders = stored(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")), "leaders")
     (tie,) = unused(docs, "_text")
     held = docs.withColumn(tie, _tie())
     kept = held.join(leaders, held["doc_id"].eqNullSafe(leaders["_id"]) & (held[tie] == leaders["_tie"]), "left_semi")
