@@ -48,7 +48,7 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["month", "symbol", "close", "momentum", "place", "weight"]
+    assert entry.entry(spark).columns == ["month", "symbol", "close", "momentum", "place", "weight", "stop", "target"]
 
 
 def test_rounded_nests():

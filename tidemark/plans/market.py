@@ -36,7 +36,7 @@ add("ind_momentum", "SELECT symbol, ts, " + ", ".join(f"round(100 * (close / {la
 add("ind_extremes", f"""+ x AS (SELECT symbol, ts, high, low, close, {rolled("max", "high", 20)} AS high_20, {rolled("min", "low", 20)} AS low_20, {rolled("max", "high", 252)} AS high_52w, {rolled("min", "low", 252)} AS low_52w FROM bars)
 SELECT symbol, ts, high_20, low_20, high_52w, low_52w, round(100 * (close - high_52w) / high_52w, 4) AS dist_from_high, round(100 * (high_20 - close) / close, 4) AS dist_to_resistance,
   round(100 * (close - low_20) / close, 4) AS dist_to_support, round((high + low + close) / 3, 4) AS pivot_point, round(2 * (high + low + close) / 3 - low, 4) AS r1, round(2 * (high + low + close) / 3 - high, 4) AS s1 FROM x""", "bars")
-add("ind_volatility", f"""+ x AS (SELECT *, ln(close / {PC}) AS lr, pow(ln(high / low), 2) AS hl FROM bars),
+add("ind_volatility", f"""+ x AS (SELECT *, close / {PC} - 1 AS lr, pow(ln(high / low), 2) AS hl FROM bars),
 y AS (SELECT symbol, ts, {", ".join(f"100 * sqrt(252) * {rolled('stddev_samp', 'lr', n)} AS rv{n}" for n in (5, 10, 21, 63))}, {rolled("avg", "hl", 21)} AS hl FROM x)
 SELECT symbol, ts, {", ".join(f"round(rv{n}, 3) AS realized_vol_{n}d" for n in (5, 10, 21, 63))}, round(100 * sqrt(252 * hl / (4 * ln(2))), 3) AS parkinson_vol, round(rv5 / nullif(rv63, 0), 4) AS vol_ratio FROM y""", "bars")
 add("ind_trend", f"""+ x AS (SELECT symbol, ts, close, {", ".join(f"{rolled('avg', 'close', n)} AS s{n}" for n in (10, 20, 50, 200))} FROM bars)
@@ -85,7 +85,9 @@ SELECT day, pnl, equity, high_water, round((equity - high_water) / high_water, 6
 add("join_pairs", """+ p AS (SELECT a.symbol AS a, b.symbol AS b, a.industry FROM sectors a JOIN sectors b ON a.industry = b.industry AND a.symbol < b.symbol),
 j AS (SELECT p.a, p.b, p.industry, x.ts, x.close AS ca, y.close AS cb FROM p JOIN bars x ON x.symbol = p.a JOIN bars y ON y.symbol = p.b AND y.ts = x.ts)
 SELECT a, b, industry, count(*) AS n, round(corr(ca, cb), 6) AS correlation, round(regr_slope(ca, cb), 6) AS hedge, round(avg(ln(ca) - ln(cb)), 6) AS spread FROM j GROUP BY a, b, industry HAVING count(*) >= 20""", "bars", "sectors")
-SQL["join_orphans"] = "SELECT c_custkey, c_name, c_nationkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey WHERE o_orderkey IS NULL"
+# Positions (customers) whose signal (an open order of this year) is missing or cancelled.
+SQL["join_orphans"] = """SELECT c_custkey, c_name, c_nationkey, o_orderkey, o_orderstatus FROM {customer} LEFT JOIN (SELECT o_orderkey, o_custkey, o_orderstatus FROM {orders} WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00') o ON c_custkey = o_custkey
+WHERE o_orderkey IS NULL OR o_orderstatus IN ('P', 'F')"""
 add("join_beta", "SELECT r.symbol, count(*) AS n, round(covar_samp(r.ret, m.ret) / nullif(var_samp(m.ret), 0), 6) AS beta, round(corr(r.ret, m.ret), 6) AS correlation, round(stddev_samp(r.ret - m.ret), 6) AS tracking_error FROM rets r JOIN market m ON r.ts = m.ts WHERE r.ret IS NOT NULL GROUP BY r.symbol", "rets", "market")
 add("join_first_best", "+ best AS (SELECT strategy, max(pnl) AS best FROM trades GROUP BY strategy) SELECT t.strategy, best, min(exit_ts) AS first_reached FROM trades t JOIN best b ON t.strategy = b.strategy AND t.pnl = b.best GROUP BY t.strategy, best", "trades")
 add("join_high_vol_days", "+ h AS (SELECT ts FROM market WHERE vix >= 25) SELECT symbol, count(*) AS n, round(avg(ret), 6) AS mean_ret FROM rets r WHERE EXISTS (SELECT 1 FROM h WHERE h.ts = r.ts) GROUP BY symbol", "rets", "market")
@@ -141,12 +143,24 @@ SQL["fn_strings"] = """SELECT a.n_nationkey AS a, b.n_nationkey AS b, concat(lea
 SQL["fn_protected"] = """SELECT event_id, CASE WHEN abs(value - 250) < 1e-6 THEN 1.0 ELSE round(100 / (value - 250), 6) END + 0e0 AS pdiv, CASE WHEN value - 250 <= 0 THEN 0e0 ELSE round(ln(value - 250), 6) END AS plog, CASE WHEN value < 250 THEN 0e0 ELSE round(sqrt(value - 250), 6) END AS psqrt, round(least(1, greatest(-1, (value - 250) / 100)) + 0e0, 6) AS clipped FROM {events} WHERE value IS NOT NULL"""
 
 # --- strategies -------------------------------------------------------------------------------------------
-add("strat_rsi_reversal", f"+ {RSI}, p AS (SELECT symbol, ts, close, round(rsi, 6) AS rsi, {lagged('round(rsi, 6)')} AS before FROM r) SELECT symbol, ts, CASE WHEN rsi < 30 THEN 'BUY' ELSE 'CLOSE' END AS side, CAST(CASE WHEN rsi < 30 THEN round(least(0.9, 0.5 + (30 - rsi) / 100), 4) END AS DOUBLE) AS strength FROM p WHERE before >= 30 AND rsi < 30 OR before <= 70 AND rsi > 70", "bars")
+# The strategy's RSI divides by the bare loss: without losses it is 100, and null without gains too.
+BARE_RSI = RSI.replace("100 - 100 / (1 + gain / nullif(round(loss, 9), 0))", "CASE WHEN round(loss, 9) > 0 THEN 100 - 100 / (1 + gain / loss) WHEN gain > 0 THEN 100e0 END")
+add("strat_rsi_reversal", f"""+ {BARE_RSI}, p AS (SELECT symbol, ts, close, round(rsi, 6) AS rsi, {lagged("round(rsi, 6)")} AS before FROM r)
+SELECT symbol, ts, CASE WHEN rsi < 30 THEN 'BUY' ELSE 'CLOSE' END AS side, CAST(CASE WHEN rsi < 30 THEN round(least(0.9, 0.5 + (30 - rsi) / 100), 4) END AS DOUBLE) AS strength
+FROM p WHERE before >= 30 AND rsi < 30 OR before <= 70 AND rsi > 70""", "bars")
 MONTHLY = f"""x AS (SELECT symbol, ts, close, {lagged("close", 10)} AS c10, {lagged("close", 125)} AS c125, {lagged("close", 21)} AS c21, {lagged("close", 252)} AS c252, {rolled("stddev_samp", "ret", 10)} AS sd10, row_number() OVER (PARTITION BY symbol, CAST(date_trunc('month', ts) AS DATE) ORDER BY ts) AS first FROM rets)"""
 add("strat_momentum_v1", f"""+ {MONTHLY}, k AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, symbol, round(c10 / c125 - 1, 8) AS mom, greatest(0.05, sd10 * sqrt(252)) AS vol FROM x WHERE first = 1 AND c125 IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY mom DESC, symbol) AS rn, count(*) OVER (PARTITION BY month) AS n FROM k)
 SELECT month, symbol, round(mom, 6) AS momentum, round(0.1 * least(2, greatest(0.25, 0.2 / vol)), 6) AS weight, round(1 - (rn - 1) / n * 0.3, 6) AS strength FROM r WHERE rn <= greatest(floor(n * 0.15), 1)""", "rets")
-add("strat_momentum_v2", f"""+ {MONTHLY}, k AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, symbol, close, round(c21 / c252 - 1, 8) AS mom FROM x WHERE first = 1 AND c252 IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY mom DESC, symbol) AS rn, count(*) OVER (PARTITION BY month) AS n FROM k)
-SELECT month, symbol, close, round(mom, 6) AS momentum, CAST(rn AS BIGINT) AS place, round(least(0.10, 1 / greatest(floor(n * 0.10), 5)), 6) AS weight FROM r WHERE n >= 10 AND rn <= greatest(floor(n * 0.10), 5)""", "rets")
+# Formation of 252 bars that ends 21 bars ago, so 273 bars; the weight is scaled by the market's volatility and halved in high regimes.
+add("strat_momentum_v2", f"""+ x AS (SELECT r.symbol, r.ts, r.close, {lagged("close", 21, "r.symbol").replace("lag(close", "lag(r.close").replace("BY ts", "BY r.ts")} AS c21, {lagged("close", 272, "r.symbol").replace("lag(close", "lag(r.close").replace("BY ts", "BY r.ts")} AS c272,
+    avg(b.high - b.low) OVER (PARTITION BY r.symbol ORDER BY r.ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr, row_number() OVER (PARTITION BY r.symbol, CAST(date_trunc('month', r.ts) AS DATE) ORDER BY r.ts) AS first
+  FROM rets r JOIN bars b ON r.symbol = b.symbol AND r.ts = b.ts),
+k AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, ts, symbol, close, atr, round(c21 / c272 - 1, 8) AS mom FROM x WHERE first = 1 AND c272 IS NOT NULL),
+v AS (SELECT ts, vix, greatest(2e-1, least(15e-1, 12e-2 / nullif(stddev_pop(ret) OVER (ORDER BY ts ROWS BETWEEN 125 PRECEDING AND CURRENT ROW) * sqrt(252e0), 0))) * CASE WHEN vix >= 25 THEN 5e-1 ELSE 1 END AS scale FROM market),
+r AS (SELECT k.*, v.scale, row_number() OVER (PARTITION BY month ORDER BY mom DESC, symbol) AS rn, count(*) OVER (PARTITION BY month) AS n FROM k LEFT JOIN v ON k.ts = v.ts)
+SELECT month, symbol, close, round(mom, 6) AS momentum, CAST(rn AS BIGINT) AS place, round(least(0.10, coalesce(scale, 1) / greatest(floor(n * 0.10), 5)), 6) AS weight,
+  round(close - 3 * atr, 4) AS stop, round(close + 5 * atr, 4) AS target
+FROM r WHERE n >= 10 AND rn <= greatest(floor(n * 0.10), 5)""", "rets", "market")
 add("strat_mean_reversion", f"""+ x AS (SELECT b.symbol, b.ts, s.sector, b.close, b.close / lag(b.close, 14) OVER (PARTITION BY b.symbol ORDER BY b.ts) - 1 AS ret14 FROM bars b JOIN sectors s ON b.symbol = s.symbol), r AS (SELECT *, row_number() OVER (PARTITION BY sector, ts ORDER BY round(ret14, 8), symbol) AS rn, count(*) OVER (PARTITION BY sector, ts) AS n FROM x WHERE ret14 >= -0.5)
 SELECT ts, sector, symbol, round(ret14, 6) AS ret14, round(0.8 * close, 4) AS stop, round(1.1 * close, 4) AS target FROM r WHERE rn <= greatest(2, least(7, floor(n * 0.25)))""", "bars", "sectors")
 add("strat_volume_breakout", f"""+ x AS (SELECT symbol, ts, open, high, low, close, volume, {lagged("high")} AS ph, {lagged("low")} AS pl, {PC} AS pc, volume / nullif({rolled("avg", "volume", 20)}, 0) AS rv FROM bars), k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY round(rv, 8) DESC, symbol) AS rn FROM x WHERE rv >= 1.5 AND close >= 10 AND abs(open / pc - 1) >= 0.02 AND close > ph AND open > pc)
@@ -187,8 +201,8 @@ add("port_weights", "+ s AS (SELECT strategy, greatest(0.1, avg(pnl) / stddev_sa
 add("port_votes", """+ v AS (SELECT symbol, CAST(exit_ts AS DATE) AS day, side, abs(pnl_pct) / 20 AS strength FROM trades), a AS (SELECT symbol, day, sum(CASE WHEN side = 'buy' THEN strength ELSE 0 END) AS buy, sum(CASE WHEN side = 'sell' THEN strength ELSE 0 END) AS sell, count(*) AS n, avg(strength) AS mean FROM v GROUP BY symbol, day)
 SELECT symbol, day, CASE WHEN round(buy - sell, 9) > 0 AND buy > 0.1 THEN 'BUY' WHEN round(sell - buy, 9) > 0 AND sell > 0.1 THEN 'SELL' ELSE 'NONE' END AS side, round(least(mean + least(0.1 * n, 0.3), 1), 6) AS strength, n FROM a""", "trades")
 add("port_sizing", f"""+ x AS (SELECT symbol, ts, close, {rolled("avg", "high - low", 14)} AS atr, {rolled("stddev_samp", "close", 20)} / close * sqrt(252) AS vol FROM bars) SELECT symbol, ts, CAST(floor(least(15000, 2000 / nullif(round(atr, 6), 0) * close) / close) AS BIGINT) AS shares_atr, round(least(2, greatest(0.25, 0.15 / nullif(round(vol, 9), 0))), 4) AS vol_scalar FROM x WHERE atr IS NOT NULL""", "bars")
-add("port_impact", "+ v AS (SELECT symbol, avg(volume) AS adv, stddev_samp(ret) AS sd FROM rets GROUP BY symbol) SELECT t.strategy, count(*) AS n, round(avg(10 * sd * sqrt(qty / adv) * 100), 4) AS impact_bps, round(avg(qty / adv), 6) AS participation FROM trades t JOIN v ON t.symbol = v.symbol GROUP BY t.strategy", "rets", "trades")
-add("port_reconcile", "+ p AS (SELECT strategy, symbol, round(sum(price * qty), 2) AS held FROM trades GROUP BY strategy, symbol), t AS (SELECT *, sum(held) OVER (PARTITION BY strategy) / count(*) OVER (PARTITION BY strategy) AS target FROM p) SELECT strategy, symbol, held, round(held - target, 2) AS trim FROM t WHERE held > 1.5 * target AND held - target >= 100", "trades")
+add("port_impact", "+ v AS (SELECT symbol, avg(volume) AS adv, stddev_samp(ret) AS sd FROM rets GROUP BY symbol) SELECT t.strategy, count(*) AS n, round(avg(10 * sd * 1e4 * sqrt(qty / adv)), 4) AS impact_bps, round(avg(qty / adv), 6) AS participation FROM trades t JOIN v ON t.symbol = v.symbol GROUP BY t.strategy", "rets", "trades")
+add("port_reconcile", "+ p AS (SELECT strategy, symbol, round(sum(price * qty), 2) AS held FROM trades GROUP BY strategy, symbol), t AS (SELECT *, sum(held) OVER (PARTITION BY strategy) / count(*) OVER (PARTITION BY strategy) AS target FROM p) SELECT strategy, symbol, held, round(held - target, 2) AS trim FROM t WHERE held > 1.1 * target AND held - target >= 100", "trades")
 
 # --- robustness and reports -------------------------------------------------------------------------------
 add("rob_elites", f"+ {POP}, n AS (SELECT symbol, gain, CAST(floor(least(1, greatest(0, (gain - min(gain) OVER ()) / (max(gain) OVER () - min(gain) OVER ()))) * 9) AS INT) AS x, CAST(floor(least(1, greatest(0, (calm - min(calm) OVER ()) / (max(calm) OVER () - min(calm) OVER ()))) * 9) AS INT) AS y FROM pop) SELECT x, y, count(*) AS n, max_by(symbol, (gain, symbol)) AS elite, max(gain) AS best FROM n GROUP BY x, y", "rets")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import composed
+from tidemark.plans import composed, library
 from tidemark.plans.market import SQL
 from tidemark.sources import TABLES, table
 
@@ -26,5 +26,5 @@ def portable(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: sql_query(text) for name, text in SQL.items()} | composed.QUERIES
-ORACLE: dict[str, str] = {name: portable(text) for name, text in (SQL | composed.ORACLE).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: sql_query(text) for name, text in (SQL | library.SPARK).items()} | composed.QUERIES
+ORACLE: dict[str, str] = {name: portable(text) for name, text in (SQL | library.OTHER | composed.ORACLE).items()}
