@@ -44,3 +44,19 @@ def directional_index(bars: DataFrame, span: int = 14) -> DataFrame:
         return pd.DataFrame({"symbol": rows["symbol"], "ts": rows["ts"], "plus_di": plus, "minus_di": minus, "adx": _ema(dx, span)})
 
     return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(one, "symbol long, ts timestamp_ntz, plus_di double, minus_di double, adx double")
+
+
+def wilder_indicators(bars: DataFrame, span: int = 14, band: int = 20) -> DataFrame:
+    """(symbol, ts, rsi, atr, bb_middle, bb_upper, bb_lower): Wilder's smoothing of gains, losses and ranges; bands of the population deviation."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts")
+        change, before = rows["close"].diff().fillna(0.0), rows["close"].shift()
+        smooth = lambda x: x.ewm(alpha=1 / span, adjust=False).mean()
+        gain, loss = smooth(change.clip(lower=0)), smooth(-change.clip(upper=0))
+        true_range = pd.concat([rows["high"] - rows["low"], (rows["high"] - before).abs(), (rows["low"] - before).abs()], axis=1).max(axis=1)
+        middle, spread = rows["close"].rolling(band).mean(), rows["close"].rolling(band).std(ddof=0)
+        rsi = 100 - 100 / (1 + gain / loss.where(loss > 0))
+        return pd.DataFrame({"symbol": rows["symbol"], "ts": rows["ts"], "rsi": rsi, "atr": smooth(true_range), "bb_middle": middle, "bb_upper": middle + 2 * spread, "bb_lower": middle - 2 * spread})
+
+    return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(one, "symbol long, ts timestamp_ntz, rsi double, atr double, bb_middle double, bb_upper double, bb_lower double")

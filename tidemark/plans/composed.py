@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import crosses_above, majority_positive, normal_cdf, rising, trigram_distance
+from tidemark.functions import crosses_above, majority_positive, normal_cdf, normal_ppf, rising, trigram_distance
 from tidemark.operators.joins import asof_join
-from tidemark.operators.recursive import directional_index, moving_averages
+from tidemark.operators.recursive import directional_index, moving_averages, wilder_indicators
 from tidemark.operators.robust import bootstrap, cross_validation
 from tidemark.operators.simulate import breakout_trades, portfolio_runs
 from tidemark.plans.market import SQL
@@ -46,7 +46,27 @@ def ind_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ind_adx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directional_index(bars(spark, sf_dir))
+    return directional_index(bars(spark, sf_dir)).select("symbol", "ts", *[cut(F.col(c), 3).alias(c) for c in ("plus_di", "minus_di", "adx")])
+
+
+def ind_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moving_averages(bars(spark, sf_dir)).select("symbol", "ts", *[cut(F.col(c), 3).alias(c) for c in ("ema_9", "ema_12", "ema_26", "ema_50")])
+
+
+def ind_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wilder_indicators(bars(spark, sf_dir)).select("symbol", "ts", *[cut(F.col(c), 3).alias(c) for c in ("rsi", "atr", "bb_middle", "bb_upper", "bb_lower")])
+
+
+def ind_macd_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes and the MACD line over five rows against the five before: lower lows with higher MACD lows, and the mirror."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    five = w.rowsBetween(-4, 0)
+    rows = moving_averages(bars(spark, sf_dir)).withColumn("macd", cut(F.col("macd"), 6))
+    rows = rows.withColumns({"full": F.count("close").over(five) == 5, "low": F.min("close").over(five), "high": F.max("close").over(five), "mlow": F.min("macd").over(five), "mhigh": F.max("macd").over(five)})
+    before = {f"{c}5": F.lag(F.when(F.col("full"), F.col(c)), 5).over(w) for c in ("low", "high", "mlow", "mhigh")}
+    rows = rows.withColumns(before)
+    told = lambda a, b: F.coalesce(F.col("full") & a & b, F.lit(False))
+    return rows.select("symbol", "ts", told(F.col("low") < F.col("low5"), F.col("mlow") > F.col("mlow5")).alias("bullish"), told(F.col("high") > F.col("high5"), F.col("mhigh") < F.col("mhigh5")).alias("bearish"))
 
 
 def _crossings(rows: DataFrame, gap) -> DataFrame:  # noqa: ANN001
@@ -62,7 +82,7 @@ def strat_ema_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strat_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     strength = F.least(F.lit(0.8), 0.5 + F.abs("macd_hist") / F.col("close") * 10)
-    return _crossings(moving_averages(bars(spark, sf_dir)), F.col("macd_hist")).select("symbol", "ts", "side", strength.alias("strength"))
+    return _crossings(moving_averages(bars(spark, sf_dir)), F.col("macd_hist")).select("symbol", "ts", "side", cut(strength, 6).alias("strength"))
 
 
 def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +128,14 @@ def rob_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def met_probabilistic_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability that a symbol's true Sharpe ratio is above zero, given skewness and kurtosis."""
-    of = returns(spark, sf_dir).where("ret is not null").groupBy("symbol").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"), F.count("*").alias("n"))
-    z = F.col("sr") * F.sqrt(F.col("n") - 1) / F.sqrt(F.greatest(F.lit(1e-9), 1 - F.col("skew") * F.col("sr") + (F.col("kurt") + 2) / 4 * F.col("sr") ** 2))
-    return of.select("symbol", "n", "sr", normal_cdf(z).alias("psr"))
+    """Probability that a symbol's true Sharpe ratio is above zero (psr), and above what the best of all symbols has by chance (dsr)."""
+    of = returns(spark, sf_dir).where("ret is not null").groupBy("symbol").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"), F.count("*").alias("n")).where("n > 3")
+    # One row: how many symbols were tried, and the deviation of their ratios.
+    tried = of.agg(F.count("*").cast("double").alias("trials"), F.stddev_samp("sr").alias("spread"))
+    gamma = 0.5772156649015329
+    chance = F.col("spread") * ((1 - gamma) * normal_ppf(1 - 1 / F.col("trials")) + gamma * normal_ppf(1 - 1 / (F.col("trials") * F.exp(F.lit(1.0)))))
+    z = lambda least: (F.col("sr") - least) * F.sqrt(F.col("n") - 1) / F.sqrt(F.greatest(F.lit(1e-9), 1 - F.col("skew") * F.col("sr") + (F.col("kurt") + 2) / 4 * F.col("sr") ** 2))
+    return of.crossJoin(F.broadcast(tried)).select("symbol", "n", cut(F.col("sr"), 6).alias("sr"), cut(normal_cdf(z(F.lit(0.0))), 5).alias("psr"), cut(normal_cdf(z(chance)), 5).alias("dsr"))
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +146,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(spark, sf_dir, "events.parquet", sessions).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (join_asof, ind_macd, ind_adx, strat_ema_cross, strat_macd, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
+QUERIES = {f.__name__: f for f in (join_asof, ind_macd, ind_adx, ind_ema, ind_wilder, ind_macd_divergence, strat_ema_cross, strat_macd, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
 _EMA = """WITH RECURSIVE """ + with_views("""+ s AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars),
 e AS (SELECT symbol, ts, rn, close, close AS e9, close AS e12, close AS e26, close AS e30, 0e0 AS sig FROM s WHERE rn = 1
   UNION ALL SELECT s.symbol, s.ts, s.rn, s.close, 0.2e0 * s.close + 0.8e0 * e9, (2 * s.close + 11 * e12) / 13, (2 * s.close + 25 * e26) / 27, (2 * s.close + 29 * e30) / 31,
@@ -130,11 +154,44 @@ e AS (SELECT symbol, ts, rn, close, close AS e9, close AS e12, close AS e26, clo
 """, "bars").removeprefix("WITH ")
 _CROSSED = """, c AS (SELECT symbol, ts, close, {gap} AS gap, sig, e12 - e26 - sig AS hist FROM e), d AS (SELECT *, lag(round(gap, 6)) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM c)
 SELECT symbol, ts, CASE WHEN gap > 0 THEN 'BUY' ELSE 'CLOSE' END AS side, {more} FROM d WHERE before <= 0 AND round(gap, 6) > 0 OR before >= 0 AND round(gap, 6) < 0"""
+_CHAIN = """WITH RECURSIVE """ + with_views("""+ s AS (SELECT symbol, ts, high, low, close, lag(close) OVER w AS pc, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, row_number() OVER w AS rn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+m AS MATERIALIZED (SELECT symbol, ts, rn, close, coalesce(greatest(high - low, abs(high - pc), abs(low - pc)), high - low) AS tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0e0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0e0 END AS minus,
+  CASE WHEN close > pc THEN close - pc ELSE 0e0 END AS gain, CASE WHEN close < pc THEN pc - close ELSE 0e0 END AS loss FROM s)
+""", "bars").removeprefix("WITH ")
+_PDF = "(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()))"
+
+
+def _cdf(x: str) -> str:
+    t = f"(1 / (1 + 0.2316419e0 * abs({x})))"
+    tail = f"{_PDF.format(x=x)} * {t} * (0.319381530e0 + {t} * (-0.356563782e0 + {t} * (1.781477937e0 + {t} * (-1.821255978e0 + {t} * 1.330274429e0))))"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+#: The quantile by bisection, apart from how the query has it.
+_QUANTILE = """q AS (SELECT 0 AS k, p, -9e0 AS lo, 9e0 AS hi FROM targets UNION ALL SELECT k + 1, p, CASE WHEN {cdf} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {cdf} < p THEN hi ELSE (lo + hi) / 2 END FROM q WHERE k < 60)""".format(cdf=_cdf("((lo + hi) / 2)"))
 _SPLITS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate((a, b) for a in range(6) for b in range(a + 1, 6)))
 ORACLE = {
     "join_asof": "SELECT o_orderkey, o_custkey % 150 AS user_id, event_id, value FROM (SELECT *, o_custkey % 150 AS u, o_orderdate + INTERVAL 8 YEAR AS at FROM {orders}) o ASOF LEFT JOIN {events} e ON o.u = e.user_id AND o.at >= e.ts",
     "ind_macd": _EMA + "SELECT symbol, ts, round(e12, 3) AS ema_12, round(e26, 3) AS ema_26, round(e12 - e26, 3) AS macd, round(sig, 3) AS macd_signal, round(e12 - e26 - sig, 3) AS macd_hist FROM e",
     "strat_ema_cross": _EMA + _CROSSED.format(gap="e9 - e30", more="close * 0.95e0 AS stop, close * 1.10e0 AS target"),
+    "strat_macd": _EMA + _CROSSED.format(gap="e12 - e26 - sig", more="round(least(0.8e0, 0.5e0 + abs(hist) / close * 10), 6) AS strength"),
+    "ind_ema": _EMA.replace("close AS e30", "close AS e30, close AS e50").replace("(2 * s.close + 29 * e30) / 31,", "(2 * s.close + 29 * e30) / 31, (2 * s.close + 49 * e50) / 51,") + "SELECT symbol, ts, round(e9, 3) AS ema_9, round(e12, 3) AS ema_12, round(e26, 3) AS ema_26, round(e50, 3) AS ema_50 FROM e",
+    "ind_macd_divergence": _EMA + """, m AS (SELECT symbol, ts, rn, close, round(e12 - e26, 6) AS macd FROM e), l AS MATERIALIZED (SELECT *, min(close) OVER w AS low, max(close) OVER w AS high, min(macd) OVER w AS mlow, max(macd) OVER w AS mhigh FROM m WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING))
+SELECT a.symbol, a.ts, coalesce(a.low < b.low AND a.mlow > b.mlow, false) AS bullish, coalesce(a.high > b.high AND a.mhigh < b.mhigh, false) AS bearish FROM l a LEFT JOIN l b ON b.symbol = a.symbol AND b.rn = a.rn - 5 AND b.rn >= 5""",
+    "ind_adx": _CHAIN + """, e AS (SELECT symbol, ts, rn, tr AS atr, plus AS p, minus AS m FROM m WHERE rn = 1 UNION ALL SELECT m.symbol, m.ts, m.rn, (2 * m.tr + 13 * e.atr) / 15, (2 * m.plus + 13 * e.p) / 15, (2 * m.minus + 13 * e.m) / 15 FROM e JOIN m ON m.symbol = e.symbol AND m.rn = e.rn + 1),
+d AS MATERIALIZED (SELECT symbol, ts, rn, 100 * p / nullif(atr, 0) AS plus_di, 100 * m / nullif(atr, 0) AS minus_di, 100 * abs(p - m) / nullif(p + m, 0) AS dx FROM e),
+f AS (SELECT symbol, min(rn) AS start FROM d WHERE dx IS NOT NULL GROUP BY symbol),
+a AS (SELECT d.symbol, rn, dx AS adx FROM d JOIN f ON d.symbol = f.symbol AND rn = start UNION ALL SELECT d.symbol, d.rn, (2 * d.dx + 13 * a.adx) / 15 FROM a JOIN d ON d.symbol = a.symbol AND d.rn = a.rn + 1)
+SELECT d.symbol, d.ts, round(plus_di, 3) AS plus_di, round(minus_di, 3) AS minus_di, round(adx, 3) AS adx FROM d LEFT JOIN a ON a.symbol = d.symbol AND a.rn = d.rn""",
+    "ind_wilder": _CHAIN + """, e AS (SELECT symbol, ts, rn, tr AS atr, gain AS g, loss AS l FROM m WHERE rn = 1 UNION ALL SELECT m.symbol, m.ts, m.rn, (m.tr + 13 * e.atr) / 14, (m.gain + 13 * e.g) / 14, (m.loss + 13 * e.l) / 14 FROM e JOIN m ON m.symbol = e.symbol AND m.rn = e.rn + 1),
+b AS (SELECT symbol, ts, CASE WHEN rn >= 20 THEN avg(close) OVER w END AS mid, CASE WHEN rn >= 20 THEN stddev_pop(close) OVER w END AS sd FROM m WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING))
+SELECT e.symbol, e.ts, round(CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) END, 3) AS rsi, round(atr, 3) AS atr, round(mid, 3) AS bb_middle, round(mid + 2 * sd, 3) AS bb_upper, round(mid - 2 * sd, 3) AS bb_lower FROM e JOIN b ON b.symbol = e.symbol AND b.ts = e.ts""",
+    "met_probabilistic_sharpe": "WITH RECURSIVE " + with_views(f"""+ a AS (SELECT symbol, count(*) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd FROM rets WHERE ret IS NOT NULL GROUP BY symbol HAVING count(*) > 3),
+c AS (SELECT a.symbol, n, mu / sd AS sr, avg(pow(ret - mu, 3)) / pow(avg(pow(ret - mu, 2)), 1.5) AS skew, avg(pow(ret - mu, 4)) / pow(avg(pow(ret - mu, 2)), 2) - 3 AS kurt FROM rets r JOIN a ON r.symbol = a.symbol WHERE ret IS NOT NULL GROUP BY a.symbol, n, mu, sd),
+t AS MATERIALIZED (SELECT count(*) AS trials, stddev_samp(sr) AS spread FROM c), targets AS MATERIALIZED (SELECT 1 - 1e0 / trials AS p FROM t UNION SELECT 1 - 1e0 / (trials * exp(1)) FROM t), {_QUANTILE},
+b AS (SELECT max(spread) * (0.4227843350984671e0 * min(lo) + 0.5772156649015329e0 * max(lo)) AS chance FROM q CROSS JOIN t WHERE k = 60),
+z AS (SELECT symbol, n, sr, sr * sqrt(n - 1) / sqrt(greatest(1e-9, 1 - skew * sr + (kurt + 2) / 4 * sr * sr)) AS z0, (sr - chance) * sqrt(n - 1) / sqrt(greatest(1e-9, 1 - skew * sr + (kurt + 2) / 4 * sr * sr)) AS z1 FROM c CROSS JOIN b)
+SELECT symbol, n, round(sr, 6) AS sr, round({_cdf("z0")}, 5) AS psr, round({_cdf("z1")}, 5) AS dsr FROM z""", "rets").removeprefix("WITH "),
     "fn_vectors": with_views("""+ w AS (SELECT symbol, ts, list(close) OVER x AS v, list(volume) OVER x AS u, list(ret) OVER x AS r FROM rets WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT symbol, ts, list_sum(u[6:10]) > list_sum(u[1:5]) AS rising, len(list_filter(r, lambda q: q > 0)) * 2 > len(list_filter(r, lambda q: q IS NOT NULL)) AS mostly_up, v[9] < v[2] AND v[10] >= v[1] AS crosses, list_max(v) AS top FROM w WHERE len(v) = 10""", "rets"),
     "fn_trigrams": """WITH p AS (SELECT DISTINCT p_type, p_brand FROM {part}), g AS (SELECT *, list_distinct([substr(p_type, i, 3) for i in range(1, greatest(length(p_type) - 1, 2))]) AS a, list_distinct([substr(p_brand, i, 3) for i in range(1, greatest(length(p_brand) - 1, 2))]) AS b FROM p)
