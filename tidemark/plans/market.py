@@ -202,7 +202,11 @@ add("port_votes", """+ v AS (SELECT symbol, CAST(exit_ts AS DATE) AS day, side,
 SELECT symbol, day, CASE WHEN round(buy - sell, 9) > 0 AND buy > 0.1 THEN 'BUY' WHEN round(sell - buy, 9) > 0 AND sell > 0.1 THEN 'SELL' ELSE 'NONE' END AS side, round(least(mean + least(0.1 * n, 0.3), 1), 6) AS strength, n FROM a""", "trades")
 add("port_sizing", f"""+ x AS (SELECT symbol, ts, close, {rolled("avg", "high - low", 14)} AS atr, {rolled("stddev_samp", "close", 20)} / close * sqrt(252) AS vol FROM bars) SELECT symbol, ts, CAST(floor(least(15000, 2000 / nullif(round(atr, 6), 0) * close) / close) AS BIGINT) AS shares_atr, round(least(2, greatest(0.25, 0.15 / nullif(round(vol, 9), 0))), 4) AS vol_scalar FROM x WHERE atr IS NOT NULL""", "bars")
 add("port_impact", "+ v AS (SELECT symbol, avg(volume) AS adv, stddev_samp(ret) AS sd FROM rets GROUP BY symbol) SELECT t.strategy, count(*) AS n, round(avg(10 * sd * 1e4 * sqrt(qty / adv)), 4) AS impact_bps, round(avg(qty / adv), 6) AS participation FROM trades t JOIN v ON t.symbol = v.symbol GROUP BY t.strategy", "rets", "trades")
-add("port_reconcile", "+ p AS (SELECT strategy, symbol, round(sum(price * qty), 2) AS held FROM trades GROUP BY strategy, symbol), t AS (SELECT *, sum(held) OVER (PARTITION BY strategy) / count(*) OVER (PARTITION BY strategy) AS target FROM p) SELECT strategy, symbol, held, round(held - target, 2) AS trim FROM t WHERE held > 1.1 * target AND held - target >= 100", "trades")
+# In cents, so that no sum or comparison depends on its order.
+add("port_reconcile", """+ p AS (SELECT strategy, symbol, sum(CAST(floor(price * qty * 100 + 5e-1) AS BIGINT)) AS cents FROM trades GROUP BY strategy, symbol),
+t AS (SELECT strategy, symbol, cents, sum(cents) OVER (PARTITION BY strategy) AS total, count(*) OVER (PARTITION BY strategy) AS n FROM p)
+SELECT strategy, symbol, cents / 1e2 AS held, CAST(floor((cents * n - total) / (1e0 * n)) AS BIGINT) AS trim_cents FROM t
+WHERE 10 * n * cents > 11 * total AND cents * n - total >= 10000 * n""", "trades")
 
 # --- robustness and reports -------------------------------------------------------------------------------
 add("rob_elites", f"+ {POP}, n AS (SELECT symbol, gain, CAST(floor(least(1, greatest(0, (gain - min(gain) OVER ()) / (max(gain) OVER () - min(gain) OVER ()))) * 9) AS INT) AS x, CAST(floor(least(1, greatest(0, (calm - min(calm) OVER ()) / (max(calm) OVER () - min(calm) OVER ()))) * 9) AS INT) AS y FROM pop) SELECT x, y, count(*) AS n, max_by(symbol, (gain, symbol)) AS elite, max(gain) AS best FROM n GROUP BY x, y", "rets")
