@@ -96,3 +96,15 @@ def test_bootstrap_agrees_with_itself(spark):
     rows = spark.createDataFrame([(1, i, 0.01 + 0.001 * (i % 7)) for i in range(60)], "symbol long, ts int, ret double")
     a, b = (bootstrap(rows, runs=50).first() for _ in range(2))
     assert a == b and a["low"] <= a["mean_sharpe"] <= a["high"] and a["p_positive"] == 1.0
+
+
+def test_normal_functions_and_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import crosses_below, falling, normal_cdf, normal_ppf, padded
+
+    row = spark.createDataFrame([([3.0, 2.0, 1.0], [1.0, 1.5, 1.0])], "a array<double>, b array<double>").select(
+        normal_cdf(F.lit(1.0)), normal_ppf(F.lit(0.975)), normal_ppf(F.lit(0.01)), normal_ppf(F.lit(1.0)), falling(F.col("a")), crosses_below(F.col("a"), F.col("b")), padded(F.col("a"), 5, 0.0), padded(F.col("a"), 2, 0.0)
+    ).first()
+    assert row[0] == pytest.approx(0.8413447, abs=1e-6) and row[1] == pytest.approx(1.959964, abs=1e-4) and row[2] == pytest.approx(-2.326348, abs=1e-4) and row[3] is None
+    assert row[4] is True and row[5] is True and row[6] == [0.0, 0.0, 3.0, 2.0, 1.0] and row[7] == [2.0, 1.0]
