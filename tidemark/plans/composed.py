@@ -120,7 +120,11 @@ SQL_MONTH_FIRST = "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, symbol
 
 
 def rob_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_validation(returns(spark, sf_dir)).select("symbol", "split", "n_train", "n_test", cut(F.col("sharpe_train"), 4).alias("sharpe_train"), cut(F.col("sharpe_test"), 4).alias("sharpe_test"))
+    """The cross-validated strategy is long while the close is above its mean of 20 rows, else flat."""
+    mean = F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-19, 0))
+    rows = returns(spark, sf_dir).withColumn("signal", (cut(F.col("close") - mean, 6) > 0).cast("int"))
+    told = cross_validation(rows.select("symbol", "ts", "ret", "signal"))
+    return told.select(*[cut(F.col(c), 4).alias(c) if c.startswith(("sharpe", "growth")) else c for c in told.columns])
 
 
 def rob_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +173,6 @@ def _cdf(x: str) -> str:
 
 #: The quantile by bisection, apart from how the query has it.
 _QUANTILE = """q AS (SELECT 0 AS k, p, -9e0 AS lo, 9e0 AS hi FROM targets UNION ALL SELECT k + 1, p, CASE WHEN {cdf} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {cdf} < p THEN hi ELSE (lo + hi) / 2 END FROM q WHERE k < 60)""".format(cdf=_cdf("((lo + hi) / 2)"))
-_SPLITS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate((a, b) for a in range(6) for b in range(a + 1, 6)))
 ORACLE = {
     "join_asof": "SELECT o_orderkey, o_custkey % 150 AS user_id, event_id, value FROM (SELECT *, o_custkey % 150 AS u, o_orderdate + INTERVAL 8 YEAR AS at FROM {orders}) o ASOF LEFT JOIN {events} e ON o.u = e.user_id AND o.at >= e.ts",
     "ind_macd": _EMA + "SELECT symbol, ts, round(e12, 3) AS ema_12, round(e26, 3) AS ema_26, round(e12 - e26, 3) AS macd, round(sig, 3) AS macd_signal, round(e12 - e26 - sig, 3) AS macd_hist FROM e",
@@ -197,10 +200,21 @@ SELECT symbol, ts, list_sum(u[6:10]) > list_sum(u[1:5]) AS rising, len(list_filt
     "fn_trigrams": """WITH p AS (SELECT DISTINCT p_type, p_brand FROM {part}), g AS (SELECT *, list_distinct([substr(p_type, i, 3) for i in range(1, greatest(length(p_type) - 1, 2))]) AS a, list_distinct([substr(p_brand, i, 3) for i in range(1, greatest(length(p_brand) - 1, 2))]) AS b FROM p)
 SELECT p_type, p_brand, 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS distance FROM g""",
     "fn_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{{\"k\":' || json_extract_string(props, '$.k') || '}}' AS again FROM {events}",
-    "rob_cross_validation": with_views(f"""+ i AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE ret IS NOT NULL), b AS (SELECT *, floor(i * 6 / n) AS own, floor(greatest(i - 5, 0) * 6 / n) AS lo, floor(least(i + 5, n - 1) * 6 / n) AS hi FROM i),
-s AS (SELECT * FROM (VALUES {_SPLITS}) t(split, h1, h2)), r AS (SELECT symbol, split, ret, own IN (h1, h2) AS test, lo IN (h1, h2) OR hi IN (h1, h2) AS near FROM b CROSS JOIN s)
-SELECT symbol, split, count(CASE WHEN NOT test AND NOT near THEN ret END) AS n_train, count(CASE WHEN test THEN ret END) AS n_test, round(sqrt(252) * avg(CASE WHEN NOT test AND NOT near THEN ret END) / nullif(stddev_samp(CASE WHEN NOT test AND NOT near THEN ret END), 0), 4) AS sharpe_train,
-  round(sqrt(252) * avg(CASE WHEN test THEN ret END) / nullif(stddev_samp(CASE WHEN test THEN ret END), 0), 4) AS sharpe_test FROM r GROUP BY symbol, split""", "rets"),
+    "rob_cross_validation": with_views("""+ g AS (SELECT symbol, ts, ret, CASE WHEN round(close - avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), 6) > 0 THEN 1 ELSE 0 END AS sig FROM rets),
+i AS (SELECT symbol, ret, sig, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM g WHERE ret IS NOT NULL),
+b AS (SELECT *, n // 16 AS size, least(i // (n // 16), 15) AS own FROM i WHERE n // 16 > 5),
+m AS (SELECT m, row_number() OVER (ORDER BY (m * 40503) % 65536, m) AS split FROM range(1, 65536) t(m) WHERE bit_count(m) <= 4),
+h AS MATERIALIZED (SELECT split, m, min(k) AS lo, max(k) AS hi FROM m JOIN range(16) r(k) ON (m >> k) & 1 = 1 WHERE split <= 1000 GROUP BY split, m),
+c AS (SELECT symbol, split, i, n, ret, sig, lo, (m >> own) & 1 = 1 AS test, lo * size AS a, CASE WHEN hi = 15 THEN n - 1 ELSE (hi + 1) * size - 1 END AS z FROM b CROSS JOIN h),
+r AS (SELECT * FROM c WHERE CASE WHEN test THEN lo = 0 OR i > a - 6 + floor(n * 0.01e0) ELSE NOT (i BETWEEN a - 5 AND a OR i BETWEEN z AND z + 5) END),
+w AS (SELECT symbol, split, test, ret * coalesce(lag(sig) OVER v, 0) AS x, coalesce(sig <> lag(sig) OVER v, false) AS moved FROM r WINDOW v AS (PARTITION BY symbol, split, test ORDER BY i))
+SELECT symbol, split, count(CASE WHEN NOT test THEN 1 END) AS n_train, round(CASE WHEN count(CASE WHEN NOT test THEN 1 END) < 20 OR coalesce(var_samp(CASE WHEN NOT test THEN x END), 0) < 1e-15 THEN 0e0 ELSE sqrt(252) * avg(CASE WHEN NOT test THEN x END) / stddev_samp(CASE WHEN NOT test THEN x END) END, 4) AS sharpe_train,
+  round(sum(CASE WHEN NOT test THEN ln(1 + x) END), 4) AS growth_train, count(CASE WHEN NOT test AND moved THEN 1 END) AS trades_train,
+  count(CASE WHEN test THEN 1 END) AS n_test, round(CASE WHEN count(CASE WHEN test THEN 1 END) < 20 OR coalesce(var_samp(CASE WHEN test THEN x END), 0) < 1e-15 THEN 0e0 ELSE sqrt(252) * avg(CASE WHEN test THEN x END) / stddev_samp(CASE WHEN test THEN x END) END, 4) AS sharpe_test,
+  round(sum(CASE WHEN test THEN ln(1 + x) END), 4) AS growth_test, count(CASE WHEN test AND moved THEN 1 END) AS trades_test FROM w GROUP BY symbol, split HAVING count(CASE WHEN NOT test THEN 1 END) >= 252 AND count(CASE WHEN test THEN 1 END) >= 63""", "rets"),
+    "rob_walk_forward": with_views("""+ x AS MATERIALIZED (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets WHERE ret IS NOT NULL),
+f AS (SELECT symbol, unnest(range(252, count(*) - 62, 21)) AS start FROM x GROUP BY symbol), w AS (SELECT f.symbol, start, avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe FROM f JOIN x ON x.symbol = f.symbol AND i BETWEEN start AND start + 62 GROUP BY f.symbol, start)
+SELECT symbol, count(*) AS folds, round(avg(CASE WHEN sharpe > 0 THEN 1e0 ELSE 0e0 END), 6) AS efficiency, round(avg(sharpe), 5) AS mean_sharpe FROM w GROUP BY symbol""", "rets"),
     "stream_bars": "SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM {events} GROUP BY event_type, time_bucket(INTERVAL 1 HOUR, ts)",
     "stream_sessions": "WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM {events}), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, max(value) AS best FROM i GROUP BY user_id, k",
 }

@@ -110,7 +110,10 @@ add("agg_fallback", """+ n AS (SELECT strategy, side, symbol, count(*) AS n, avg
 SELECT n.strategy, n.side, n.symbol, CAST(round(CASE WHEN n.n >= 20 THEN n.win WHEN b.n >= 5 THEN b.win ELSE 5e-1 END, 6) AS DOUBLE) AS win_rate, n.n >= 20 AS own FROM n JOIN b ON n.strategy = b.strategy AND n.side = b.side""", "trades")
 add("agg_best_condition", "+ m AS (SELECT strategy, exit_reason, side, round(avg(pnl), 6) AS mean FROM trades GROUP BY strategy, exit_reason, side) SELECT strategy, max_by(exit_reason, (mean, exit_reason, side)) AS best_reason, max_by(side, (mean, exit_reason, side)) AS best_side, max(mean) AS best_mean FROM m GROUP BY strategy", "trades")
 add("agg_concentration", "+ s AS (SELECT strategy, symbol, round(sum(abs(pnl)), 2) AS held FROM trades GROUP BY strategy, symbol), w AS (SELECT *, held / sum(held) OVER (PARTITION BY strategy) AS share FROM s) SELECT strategy, round(1e4 * sum(share * share), 3) AS hhi, round(100 * max(share), 4) AS largest_pct, round(-sum(share * log2(share)) / log2(count(*)), 6) AS entropy FROM w GROUP BY strategy", "trades")
-add("agg_gini", "+ c AS (SELECT symbol, count(*) AS n FROM trades GROUP BY symbol), r AS (SELECT n, row_number() OVER (ORDER BY n, symbol) AS i, count(*) OVER () AS m, sum(n) OVER () AS total FROM c) SELECT round(2 * sum(i * n) / (max(m) * max(total)) - (max(m) + 1) / max(m), 6) AS gini, max(m) AS kinds FROM r", "trades")
+# Symbols of one count are summed before the running place: the window holds the distinct counts only.
+add("agg_gini", """+ c AS (SELECT symbol, count(*) AS n FROM trades GROUP BY symbol), f AS (SELECT n, count(*) AS f FROM c GROUP BY n),
+r AS (SELECT n, f, sum(f) OVER (ORDER BY n) - f AS before FROM f)
+SELECT round(2 * sum(n * (f * before + f * (f + 1) / 2)) / (sum(f) * sum(n * f)) - (sum(f) + 1) / sum(f), 6) AS gini, sum(f) AS kinds FROM r""", "trades")
 add("agg_regime_days", """+ k AS (SELECT 'low' AS regime, 0 AS lo, 15 AS hi UNION ALL SELECT 'normal', 15, 25 UNION ALL SELECT 'high', 25, 35 UNION ALL SELECT 'extreme', 35, 1000)
 SELECT regime, count(ts) AS days, round(100 * count(ts) / sum(count(ts)) OVER (), 4) AS pct, round(avg(vix), 4) AS mean_vix FROM k LEFT JOIN market ON vix >= lo AND vix < hi GROUP BY regime""", "market")
 add("agg_regime_performance", "+ x AS (SELECT CASE WHEN vix < 15 THEN 'low' WHEN vix < 25 THEN 'normal' WHEN vix < 35 THEN 'high' ELSE 'extreme' END AS regime, r.symbol, r.ret FROM rets r JOIN market m ON r.ts = m.ts WHERE r.ret IS NOT NULL) SELECT regime, symbol, count(*) AS n, round(252 * avg(ret), 5) AS annual, round(sqrt(252) * avg(ret) / nullif(stddev_samp(ret), 0), 4) AS sharpe, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate FROM x GROUP BY regime, symbol HAVING count(*) >= 10", "rets", "market")
@@ -209,8 +212,15 @@ SELECT strategy, symbol, cents / 1e2 AS held, CAST(floor((cents * n - total) / (
 WHERE 10 * n * cents > 11 * total AND cents * n - total >= 10000 * n""", "trades")
 
 # --- robustness and reports -------------------------------------------------------------------------------
-add("rob_elites", f"+ {POP}, n AS (SELECT symbol, gain, CAST(floor(least(1, greatest(0, (gain - min(gain) OVER ()) / (max(gain) OVER () - min(gain) OVER ()))) * 9) AS INT) AS x, CAST(floor(least(1, greatest(0, (calm - min(calm) OVER ()) / (max(calm) OVER () - min(calm) OVER ()))) * 9) AS INT) AS y FROM pop) SELECT x, y, count(*) AS n, max_by(symbol, (gain, symbol)) AS elite, max(gain) AS best FROM n GROUP BY x, y", "rets")
-add("rob_walk_forward", f"+ x AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets WHERE ret IS NOT NULL), w AS (SELECT symbol, CAST(floor((i - 252) / 63) AS INT) AS fold, avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe, count(*) AS n FROM x WHERE i >= 252 GROUP BY symbol, CAST(floor((i - 252) / 63) AS INT)) SELECT symbol, count(*) AS folds, round(avg(CASE WHEN sharpe > 0 THEN 1e0 ELSE 0e0 END), 6) AS efficiency, round(avg(sharpe), 5) AS mean_sharpe FROM w WHERE n = 63 GROUP BY symbol", "rets")
+# The ranges come from one-row aggregates, so that no window holds all symbols in one task.
+add("rob_elites", f"""+ {POP}, span AS (SELECT min(gain) AS gain0, max(gain) AS gain1, min(calm) AS calm0, max(calm) AS calm1 FROM pop),
+n AS (SELECT symbol, gain, CAST(floor(least(1, greatest(0, (gain - gain0) / (gain1 - gain0))) * 9) AS INT) AS x, CAST(floor(least(1, greatest(0, (calm - calm0) / (calm1 - calm0))) * 9) AS INT) AS y FROM pop CROSS JOIN span)
+SELECT x, y, count(*) AS n, max_by(symbol, (gain, symbol)) AS elite, max(gain) AS best FROM n GROUP BY x, y""", "rets")
+# Test windows of 63 rows every 21, after 252: the rolling window that ends on each 21st row.
+add("rob_walk_forward", f"""+ x AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets WHERE ret IS NOT NULL),
+w AS (SELECT symbol, i, avg(ret) {over(63, at="i")} / nullif(stddev_samp(ret) {over(63, at="i")}, 0) AS sharpe FROM x)
+SELECT symbol, count(*) AS folds, round(avg(CASE WHEN sharpe > 0 THEN 1e0 ELSE 0e0 END), 6) AS efficiency, round(avg(sharpe), 5) AS mean_sharpe
+FROM w WHERE i >= 314 AND (i - 314) % 21 = 0 GROUP BY symbol""", "rets")
 add("rob_lifecycle", "+ s AS (SELECT strategy, symbol, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END) AS win, sum(pnl) AS total FROM trades GROUP BY strategy, symbol), g AS (SELECT *, concat_ws('; ', CASE WHEN n < 5 THEN 'trades' END, CASE WHEN win < 0.3 THEN 'win rate' END, CASE WHEN total < -5000 THEN 'loss' END) AS failing FROM s) SELECT failing, CASE WHEN failing = '' THEN 'live' WHEN failing LIKE '%loss%' THEN 'retired' ELSE 'paper' END AS status, count(*) AS n FROM g GROUP BY failing", "trades")
 SQL["rep_open_orders"] = "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS value, max(o_orderdate) AS last FROM {orders} GROUP BY o_orderpriority, o_orderstatus"
 SQL["rep_recent_orders"] = "SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice FROM {orders} ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100"

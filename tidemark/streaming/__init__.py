@@ -25,7 +25,10 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes"
 
 
 def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only where the master is local."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
