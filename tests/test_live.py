@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.streaming import ROCKS, run_appended
 from tidemark.streaming.breakers import DAY, HOUR, MINUTE, Limits, breaker_changes
+from tidemark.streaming.marks import marked, newest
 
 START = int(datetime(2024, 3, 4, tzinfo=UTC).timestamp()) * 1_000_000
 LIMITS = Limits(capital=1000.0, losses=3, idle=6 * DAY)
@@ -89,3 +90,24 @@ def test_state_shrinks(spark, tmp_path):
             spark.conf.unset(k)
     totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
     assert max(totals) >= 50 and totals[-1] < 10, totals
+
+
+def test_marks_equal_a_plain_fold_over_batches(spark, tmp_path):
+    rng = random.Random(4)
+    ticks = [(k, START + rng.randrange(900) * MINUTE, rng.randrange(4), rng.choice([None, 8.0, 10.0, 11.5, 14.0])) for k in range(240)]
+    write(spark, tmp_path, [ticks[k : k + 50] for k in range(0, 240, 50)], "tick_id long, ts long, symbol long, price double")
+    held = [(k, k % 5, rng.choice(["long", "short"]), 1 + k % 3, 10.0, START + rng.randrange(600) * MINUTE, rng.choice([None, START + 700 * MINUTE])) for k in range(30)]
+    positions = spark.createDataFrame(held, "position_id long, symbol long, side string, shares int, entry_price double, a long, b long")
+    positions = positions.withColumn("opened_at", F.timestamp_micros("a")).withColumn("closed_at", F.timestamp_micros("b")).drop("a", "b")
+    rows = run_appended(spark, str(tmp_path), "t-*.parquet", lambda s: marked(s, positions), 1, "update")
+    assert rows.select("batch").distinct().count() > 3
+    got = {r["position_id"]: (r["current_price"], r["unrealized_pnl"], r["max_profit"], r["max_drawdown"], r["ticks"]) for r in newest(rows).collect()}
+    want = {}
+    for k, symbol, side, shares, entry, opened, closed in held:
+        top = low = n = 0
+        for tick_id, at, s, price in sorted(ticks, key=lambda t: (t[1], t[0])):
+            if s == symbol and price is not None and at >= opened and (closed is None or at < closed):
+                pnl = (price - entry) * shares * (1 if side == "long" else -1)
+                top, low, n = max(top, pnl), max(low, -pnl), n + 1
+                want[k] = (price, pnl, top, low, n)
+    assert got == want and len(want) > 15
