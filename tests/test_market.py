@@ -1,12 +1,14 @@
 """The market queries against DuckDB on the same SQL, and the folds against small brute force."""
 
 import math
+import random
 
 import duckdb
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.operators import joins
 from tidemark.operators.joins import asof_join
 from tidemark.operators.recursive import moving_averages
 from tidemark.operators.robust import bootstrap
@@ -62,6 +64,32 @@ def test_asof_takes_the_last_at_or_before(spark):
     assert got == {"a": 11.0, "b": None, "c": None}
 
 
+@pytest.mark.parametrize("bucket", [None, 1, 7, 10**6])
+def test_asof_over_buckets_equals_a_plain_search(spark, bucket):
+    rng = random.Random(6)
+    left = [(k, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([*range(60), None]), f"x{k}") for k in range(300)]
+    right = [(rng.choice([1, 1, 1, 2, None]), rng.choice([*range(5, 60, 3), None]), rng.randrange(9)) for _ in range(90)]
+    got = asof_join(spark.createDataFrame(left, "id int, k int, t int, x string"), spark.createDataFrame(right, "k int, t int, v int"), ["k"], "t", ["v"], bucket).collect()
+    want = {i: max(((u, v) for j, u, v in right if None not in (j, u, k, t) and j == k and u <= t), default=(None, None))[1] for i, k, t, _ in left}
+    assert {r["id"]: r["v"] for r in got} == want and len(got) == 300 and {(r["id"], r["k"], r["t"], r["x"]) for r in got} == set(left)
+
+
+def test_asof_deals_a_hot_key_to_many_buckets(spark, monkeypatch):
+    """All rows have one key: no (key, bucket) has more than a part of them, and almost all find a value."""
+    monkeypatch.setattr(joins, "BUCKET_ROWS", 100)
+    left, right = spark.range(2000).selectExpr("1 k", "id t", "id i"), spark.range(0, 2000, 3).selectExpr("1 k", "id t", "id v")
+    joined = asof_join(left, right, ["k"], "t", ["v"])
+    assert [r["v"] for r in joined.orderBy("i").collect()] == [3 * (i // 3) for i in range(2000)]
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in plan.split("Window [last(_value")[1].split("\n")[0]
+
+
+def test_asof_queries_find_values(spark):
+    for name, column in (("join_asof", "event_id"), ("join_asof_atr", "close")):
+        row = registry.QUERIES[name](spark, DATA).agg({column: "count", "*": "count"}).first()
+        assert row[f"count({column})"] > 0.3 * row["count(1)"], name
+
+
 def _bars(spark, closes, volume=None):
     ts = pd.date_range("2024-01-01", periods=len(closes))
     rows = pd.DataFrame({"symbol": 1, "ts": ts, "open": closes, "high": [c * 1.01 for c in closes], "low": [c * 0.99 for c in closes], "close": closes, "volume": volume or [100.0] * len(closes)})

@@ -35,12 +35,22 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order with the last event of its customer's user number at or before it."""
-    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), (F.col("o_custkey") % 150).alias("user_id"), F.expr("o_orderdate + interval '8' year").alias("ts"))
+    """Every order, at a minute of the events' month, with the last event of its customer's user number at or before it."""
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.floor(F.col("o_custkey") / 10).alias("user_id"), F.timestamp_add("MINUTE", F.col("o_orderkey") * 37 % 44640, F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
     right = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     return asof_join(left, right, ["user_id"], "ts", ["event_id", "value"]).select("o_orderkey", "user_id", "event_id", "value")
 
 
+def join_asof_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trade with the close and average range of its symbol's last bar at or before its entry; its SQL carries them in one window a symbol."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    before, last = F.lag("close").over(w), w.rowsBetween(-13, 0)
+    rows = bars(spark, sf_dir).withColumn("tr", F.coalesce(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)), F.col("high") - F.col("low")))
+    rows = rows.select("symbol", "ts", "close", F.when(F.count("tr").over(last) == 14, F.avg("tr").over(last)).alias("atr"))
+    entries = view(spark, sf_dir, "SELECT trade_id, symbol, entry_ts AS ts FROM trades", "trades")
+    return asof_join(entries, rows, ["symbol"], "ts", ["close", "atr"]).withColumn("atr", cut(F.coalesce("atr", 0.02 * F.col("close")), 4))
+
+
 def ind_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moving_averages(bars(spark, sf_dir)).select("symbol", "ts", *[cut(F.col(c), 3).alias(c) for c in ("ema_12", "ema_26", "macd", "macd_signal", "macd_hist")])
 
@@ -150,7 +160,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(spark, sf_dir, "events.parquet", sessions).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (join_asof, ind_macd, ind_adx, ind_ema, ind_wilder, ind_macd_divergence, strat_ema_cross, strat_macd, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
+QUERIES = {f.__name__: f for f in (join_asof, join_asof_atr, ind_macd, ind_adx, ind_ema, ind_wilder, ind_macd_divergence, strat_ema_cross, strat_macd, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
 _EMA = """WITH RECURSIVE """ + with_views("""+ s AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars),
 e AS (SELECT symbol, ts, rn, close, close AS e9, close AS e12, close AS e26, close AS e30, 0e0 AS sig FROM s WHERE rn = 1
   UNION ALL SELECT s.symbol, s.ts, s.rn, s.close, 0.2e0 * s.close + 0.8e0 * e9, (2 * s.close + 11 * e12) / 13, (2 * s.close + 25 * e26) / 27, (2 * s.close + 29 * e30) / 31,
@@ -174,7 +184,7 @@ def _cdf(x: str) -> str:
 #: The quantile by bisection, apart from how the query has it.
 _QUANTILE = """q AS (SELECT 0 AS k, p, -9e0 AS lo, 9e0 AS hi FROM targets UNION ALL SELECT k + 1, p, CASE WHEN {cdf} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {cdf} < p THEN hi ELSE (lo + hi) / 2 END FROM q WHERE k < 60)""".format(cdf=_cdf("((lo + hi) / 2)"))
 ORACLE = {
-    "join_asof": "SELECT o_orderkey, o_custkey % 150 AS user_id, event_id, value FROM (SELECT *, o_custkey % 150 AS u, o_orderdate + INTERVAL 8 YEAR AS at FROM {orders}) o ASOF LEFT JOIN {events} e ON o.u = e.user_id AND o.at >= e.ts",
+    "join_asof": "SELECT o_orderkey, o_custkey // 10 AS user_id, event_id, value FROM (SELECT *, o_custkey // 10 AS u, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey * 37 % 44640) AS tm FROM {orders}) o ASOF LEFT JOIN {events} e ON o.u = e.user_id AND o.tm >= e.ts",
     "ind_macd": _EMA + "SELECT symbol, ts, round(e12, 3) AS ema_12, round(e26, 3) AS ema_26, round(e12 - e26, 3) AS macd, round(sig, 3) AS macd_signal, round(e12 - e26 - sig, 3) AS macd_hist FROM e",
     "strat_ema_cross": _EMA + _CROSSED.format(gap="e9 - e30", more="close * 0.95e0 AS stop, close * 1.10e0 AS target"),
     "strat_macd": _EMA + _CROSSED.format(gap="e12 - e26 - sig", more="round(least(0.8e0, 0.5e0 + abs(hist) / close * 10), 6) AS strength"),
