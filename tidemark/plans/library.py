@@ -120,9 +120,6 @@ f AS (SELECT symbol, trade_id, ts, known(close) OVER w AS close, known(atr) OVER
 SELECT trade_id, symbol, ts, close, round(coalesce(atr, 2e-2 * close), 4) AS atr FROM f WHERE trade_id IS NOT NULL""", "bars", "trades")
 add("join_shadow_live", f"""+ {DAILY}, x AS (SELECT a.strategy AS shadow, b.strategy AS live, a.pnl AS pa, b.pnl AS pb FROM daily_pnl a JOIN daily_pnl b ON a.day = b.day AND a.strategy < b.strategy)
 SELECT shadow, live, count(*) AS days, round(corr(pa, pb), 6) AS correlation, round(stddev_samp(pa - pb), 4) AS tracking_error FROM x GROUP BY shadow, live""", "trades")
-add("set_common_days", "+ n AS (SELECT ts, count(DISTINCT symbol) AS have FROM bars GROUP BY ts) SELECT ts, have FROM n WHERE have = (SELECT max(have) FROM n)", "bars")
-add("set_portfolio_equality", """+ h AS (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS month FROM bars WHERE volume >= 90 GROUP BY symbol, CAST(date_trunc('month', ts) AS DATE)), s AS (SELECT month, count(*) AS held, sum(symbol * symbol) AS mark, sum(symbol) AS total FROM h GROUP BY month)
-SELECT month, held, coalesce(held = lag(held) OVER (ORDER BY month) AND mark = lag(mark) OVER (ORDER BY month) AND total = lag(total) OVER (ORDER BY month), false) AS same FROM s""", "bars")
 
 # --- indicators and states --------------------------------------------------------------------------------
 add("ind_enriched", f"""+ x AS (SELECT *, greatest(high - low, abs(high - {lagged("close")}), abs(low - {lagged("close")})) AS tr, {lagged("close")} AS pc FROM bars)
@@ -203,10 +200,8 @@ EQUITY = """eq AS (SELECT symbol, ts, ret, exp(sum(ln(greatest(1 + 1e-1 * ret, 1
 dr AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS dd FROM eq),
 fit AS (SELECT symbol, count(*) AS n, exp(sum(ln(greatest(1 + 1e-1 * ret, 1e-6)))) - 1 AS total, min(dd) AS dd, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252e0) AS sharpe, avg(ret) * sqrt(252e0) / nullif(sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)), 0) AS sortino, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS win FROM dr GROUP BY symbol),
 cal AS (SELECT *, CASE WHEN n < 20 OR dd >= 0 THEN 0 ELSE greatest(-5, least(10, (pow(1 + total, 252e0 / n) - 1) / abs(dd))) END AS calmar FROM fit)"""
-add("met_calmar", f"+ {EQUITY} SELECT symbol, n, round(ln(1 + total), 4) AS log_return, round(100 * dd, 4) AS max_drawdown_pct, round(calmar, 4) AS calmar FROM cal", "rets")
 COMPOSITE = """comp AS (SELECT *, (4e-1 * greatest(0, least(3, sharpe)) + 3e-1 * greatest(0, least(4, sortino)) + 2e-1 * greatest(0, least(3, calmar)) + 1e-1 * greatest(0, least(2, 2 * win)))
     * CASE WHEN n < 30 THEN 1e-1 + 9e-1 * n / 30 ELSE 1 - exp(-n / 30e0) END * CASE WHEN dd < -6e-1 THEN 5e-1 WHEN dd < -4e-1 THEN 8e-1 ELSE 1 END AS fitness FROM cal)"""
-add("met_composite", f"+ {EQUITY}, {COMPOSITE} SELECT symbol, round(fitness, 4) AS fitness FROM comp", "rets")
 add("met_multiscale", f"""+ y AS (SELECT symbol, CAST(date_trunc('year', ts) AS DATE) AS year, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252e0) AS sharpe, count(*) AS n FROM rets WHERE ret IS NOT NULL GROUP BY symbol, CAST(date_trunc('year', ts) AS DATE) HAVING count(*) >= 10)
 SELECT symbol, count(*) AS periods, round(avg(sharpe), 4) AS mean_sharpe, round(stddev_pop(sharpe), 4) AS std_sharpe, round(min(sharpe), 4) AS worst, round(max(sharpe), 4) AS best, round(1 - stddev_pop(sharpe) / greatest(avg(sharpe), 1e-1), 4) AS consistency FROM y GROUP BY symbol""", "rets")
 add("met_short_samples", """+ q AS (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS month, ret FROM rets WHERE ret IS NOT NULL)
@@ -217,8 +212,6 @@ SELECT strategy, round(beta, 6) AS beta, round((sc / sp) * own - beta * whole, 6
 
 # --- portfolios -------------------------------------------------------------------------------------------
 RHO = f"{ALIGNED}, rho AS (SELECT a.strategy AS a, b.strategy AS b, corr(a.pnl, b.pnl) AS rho FROM aligned a JOIN aligned b ON a.day = b.day AND a.strategy <> b.strategy GROUP BY a.strategy, b.strategy)"
-add("port_adjusted_weights", f"""+ {RHO}, m AS (SELECT a AS strategy, avg(abs(rho)) AS mean_rho, 1e0 / (count(*) + 1) AS base FROM rho GROUP BY a), w AS (SELECT *, CASE WHEN mean_rho > 1e-2 THEN base * (1 - 5e-1 * (mean_rho - 1e-2) / 99e-2) ELSE base END AS w FROM m)
-SELECT strategy, round(mean_rho, 6) AS mean_correlation, round(w / sum(w) OVER (), 6) AS weight FROM w""", "trades")
 add("port_regime_correlation", f"""+ {DAILY}, x AS (SELECT {regime("m.vix", 15, 25, 40)} AS regime, a.strategy AS a, b.strategy AS b, a.pnl AS pa, b.pnl AS pb FROM daily_pnl a JOIN daily_pnl b ON a.day = b.day AND a.strategy < b.strategy JOIN market m ON CAST(m.ts AS DATE) = a.day)
 SELECT regime, a, b, count(*) AS days, round(corr(pa, pb), 6) AS rho FROM x GROUP BY regime, a, b HAVING count(*) >= 5""", "trades", "market")
 add("port_cluster_exposure", f"""+ {RHO}, m AS (SELECT round(avg(abs(rho)), 9) AS level FROM rho WHERE a < b)
@@ -251,7 +244,6 @@ add("rep_improvement", f"+ {RUNS}, m AS (SELECT strategy, generation, max(best)
 add("rep_stagnation", f"+ {RUNS}, m AS (SELECT strategy, generation, max(best) AS best FROM runs GROUP BY strategy, generation), d AS (SELECT *, abs(best - lag(best, 9) OVER (PARTITION BY strategy ORDER BY generation)) / best AS moved, row_number() OVER (PARTITION BY strategy ORDER BY generation DESC) AS back FROM m) SELECT strategy, count(CASE WHEN moved < 1e-2 THEN 1 END) AS plateaus, max(CASE WHEN back = 1 AND moved < 1e-2 THEN 1 ELSE 0 END) AS stagnant FROM d GROUP BY strategy", "bars", "sectors")
 add("rep_history_window", f"+ {RUNS}, m AS (SELECT strategy, generation, max(best) AS best FROM runs GROUP BY strategy, generation) SELECT strategy, generation, best FROM m WHERE generation >= DATE '1998-01-01' ORDER BY strategy, generation", "bars", "sectors")
 add("rep_gene_similarity", "+ g AS (SELECT 'price' AS gene, CAST(floor(p_retailprice / 100) AS BIGINT) AS value FROM {part} UNION ALL SELECT 'size', CAST(p_size AS BIGINT) FROM {part}), c AS (SELECT gene, value, count(*) AS n FROM g GROUP BY gene, value), m AS (SELECT gene, max(n) * 1e0 / sum(n) AS mode_share FROM c GROUP BY gene) SELECT round(avg(mode_share), 6) AS similarity, count(*) AS genes FROM m", "sectors")
-add("rep_trailing_pnl", "+ l AS (SELECT max(CAST(exit_ts AS DATE)) AS today FROM trades) SELECT strategy, round(sum(CASE WHEN days(exit_ts, today) < 7 THEN pnl ELSE 0 END), 2) AS pnl_7, round(sum(CASE WHEN days(exit_ts, today) > -30 THEN pnl ELSE 0 END), 2) AS pnl_30, count(CASE WHEN days(exit_ts, today) > -7 THEN 1 END) AS trades_7, round(avg(CASE WHEN days(exit_ts, today) > -7 THEN pnl END), 4) AS mean_7 FROM trades JOIN l ON true GROUP BY strategy", "trades")
 add("rep_execution_trend", "SELECT CAST(exit_ts AS DATE) AS day, count(*) AS n, round(avg(slippage_bps), 4) AS mean_bps, round(sum(slippage_bps * price * qty / 1e4), 2) AS dollars FROM trades GROUP BY CAST(exit_ts AS DATE)", "trades")
 add("rep_execution_alerts", "SELECT trade_id, symbol, exit_ts, slippage_bps, CASE WHEN slippage_bps >= 50 THEN 'severe' ELSE 'high' END AS level FROM trades WHERE abs(slippage_bps) > 45 AND exit_ts >= TIMESTAMP '1998-06-01 00:00:00'", "trades")
 add("rep_recent_win_rate", f"+ {DAILY}, k AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY day DESC) AS back FROM daily_pnl) SELECT strategy, count(CASE WHEN pnl > 0 THEN 1 END) AS wins, count(CASE WHEN pnl <= 0 THEN 1 END) AS losses, round(avg(pnl), 4) AS mean FROM k WHERE back <= 10 GROUP BY strategy", "trades")
