@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.functions import bound, normal_cdf
 
@@ -35,7 +36,7 @@ def gram(y: Column, xs: list[Column]) -> list[Column]:
     return [F.count("*").cast("double"), F.sum(y * y), *(F.sum(x * y) for x in xs), *(F.sum(xs[i] * xs[j]) for i in range(len(xs)) for j in range(i, len(xs)))]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _fitted(grams: pd.Series) -> pd.Series:
     """(coefficient, its t statistic) of each regressor in turn from gram's values; null where there is no unique fit."""
 
@@ -78,12 +79,12 @@ def engle_granger(series: DataFrame, keys: list[str], lags: int = 1, last: int =
     positive: the level regression a = c + hedge b, the augmented Dickey-Fuller
     statistic of its residuals with ``lags`` lagged differences, its p-value, and
     the half-life of ln a - hedge ln b from its regression on its lag (null where
-    it doesn't revert). A pair is valid with p below 0.15, a half-life of 3 to 60
+    it doesn't revert). A constant series has no hedge and no test. A pair is valid with p below 0.15, a half-life of 3 to 60
     rows and a correlation above 0.7; pairs of fewer than ``least`` rows are left out.
     """
     w, whole = Window.partitionBy(*keys).orderBy("ts"), Window.partitionBy(*keys)
     rows = series.where("a > 0 and b > 0").withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))).where(F.col("_back") <= last)
-    rows = rows.withColumns({"_n": F.count("*").over(whole), "_hedge": F.regr_slope("a", "b").over(whole), "_c": F.regr_intercept("a", "b").over(whole), "_rho": F.corr("a", "b").over(whole)}).where(F.col("_n") >= least)
+    rows = rows.withColumns({"_n": F.count("*").over(whole), "_hedge": F.regr_slope("a", "b").over(whole), "_c": F.regr_intercept("a", "b").over(whole), "_rho": F.covar_pop("a", "b").over(whole) / F.nullif(F.stddev_pop("a").over(whole) * F.stddev_pop("b").over(whole), F.lit(0.0))}).where(F.col("_n") >= least)
     rows = rows.withColumns({"_u": F.col("a") - F.col("_c") - F.col("_hedge") * F.col("b"), "_s": F.log("a") - F.col("_hedge") * F.log("b")})
     rows = rows.withColumns({"_u1": F.lag("_u").over(w), "_s1": F.lag("_s").over(w)}).withColumn("_du", F.col("_u") - F.col("_u1"))
     lagged = {f"_du{k}": F.lag("_du", k).over(w) for k in range(1, lags + 1)}
