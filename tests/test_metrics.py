@@ -1,14 +1,17 @@
 """Cointegration and equity metrics against plain numpy."""
 
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.behavior import FEATURES, behavior
 from tidemark.operators.cointegration import cointegration_p, engle_granger, least_squares
 from tidemark.operators.metrics import composite_fitness, equity_metrics
+from tidemark.operators.robust import draws, monte_carlo
 
 
 @pytest.mark.parametrize("lags", [0, 1, 3])
@@ -68,3 +71,67 @@ def test_equity_metrics_equal_pandas(spark):
         assert got[s]["calmar"] == pytest.approx(want) and got[s]["sharpe"] == pytest.approx(r.mean() / r.std() * 12**0.5)
         assert got[s]["sortino"] == pytest.approx(r.mean() / np.sqrt((r.clip(upper=0) ** 2).mean()) * 12**0.5)
     assert got[9]["calmar"] == 0.0 and got[9]["sortino"] is None, "no drawdown, no loss"
+
+
+def test_monte_carlo_equals_plain_paths(spark):
+    rng = np.random.default_rng(2)
+    series = {7: rng.normal(0.002, 0.02, 90), 8: rng.normal(-0.001, 0.05, 30), 9: np.full(5, 0.01)}
+    rows = [(s, k, float(x)) for s, xs in series.items() for k, x in enumerate(xs)] + [(7, 500, None), (10, 1, 0.5)]
+    df = spark.createDataFrame(rows, "symbol int, ts int, ret double")
+    got = {r["symbol"]: r for r in monte_carlo(df, 400, seed=3, block=64).collect()}
+    assert sorted(got) == [7, 8, 9] and got[9]["sharpe_median"] == 0.0 and got[9]["gain_low"] == pytest.approx(100 * (1.01**5 - 1))
+    for s in (7, 8):
+        paths = series[s][draws(3, s, np.arange(400), len(series[s]))]
+        equity = np.column_stack([np.ones(400), np.cumprod(1 + paths, axis=1)])
+        figures = {"sharpe": paths.mean(axis=1) / paths.std(axis=1, ddof=1) * 252**0.5, "gain": 100 * (equity[:, -1] - 1), "fall": 100 * (1 - equity / np.maximum.accumulate(equity, axis=1)).max(axis=1)}
+        for name, x in figures.items():
+            for at, q in (("low", 0.025), ("median", 0.5), ("high", 0.975)):
+                near = np.sort(x)[[max(0, math.ceil(q * 400) - 2), min(399, math.ceil(q * 400))]]
+                assert near[0] - 1e-9 <= got[s][f"{name}_{at}"] <= near[1] + 1e-9
+        assert got[s]["p_gain"] == pytest.approx((figures["gain"] > 0).mean()) and got[s]["p_drawdown_20"] == pytest.approx((figures["fall"] < 20).mean())
+    assert monte_carlo(df, 400, seed=3, block=7).where("symbol = 7").first() == got[7], "runs don't depend on their blocks"
+
+
+def test_draws_are_uniform_and_apart():
+    at = draws(1, 5, np.arange(2000), 50)
+    counts = np.bincount(at.ravel(), minlength=50)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 100, "chi-square of 49 degrees"
+    assert abs(np.corrcoef(at[:-1].ravel(), at[1:].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(at[:, :-1].ravel(), at[:, 1:].ravel())[0, 1]) < 0.01
+    assert (draws(1, 5, np.array([1234]), 50)[0] == at[1234]).all() and (draws(2, 5, np.arange(3), 50) != at[:3]).any()
+
+
+def plain_behavior(trades, bench, capital):
+    days = sorted({x.date() for _, _, _, x, _ in trades})
+    equity, total = [], capital
+    for d in days:
+        total += sum(p for *_, x, p in trades if x.date() == d)
+        equity.append(total)
+    e = pd.Series(equity)
+    ret, fall = e.pct_change(), (e - e.cummax()) / e.cummax()
+    low = int(fall.idxmin())
+    back = next((k for k in range(low, len(e)) if fall[k] >= -0.001), None)
+    won, lost = sum(p for *_, p in trades if p > 0), -sum(p for *_, p in trades if p < 0)
+    aligned = pd.DataFrame({"r": ret, "b": [bench.get(d) for d in days]}).astype(float).dropna()
+    known = ret.dropna()
+    fine = lambda x: 0.0 if x is None or np.isnan(x) else x
+    return [
+        len(trades) / max(len(e) / 5, 1), np.mean([max((x.date() - n.date()).days, 0) for _, _, n, x, _ in trades]), sum(1 if s == "buy" else -1 for _, s, *_ in trades) / len(trades), fine(known.autocorr(1)) if len(known) > 1 else 0.0, min(-fall.min(), 1),
+        fine(aligned["r"].corr(aligned["b"])) if len(aligned) > 10 else 0.0, fine(known.std()) if len(known) > 1 else 0.0, 0.0 if fall.min() == 0 else back - low if back is not None else len(e) - low,
+        max(0.1, min(5, won / lost)) if lost > 0 else 3.0 if won > 0 else 1.0, max(-2, min(5, known.mean() / known.std() * 252**0.5)) if len(known) > 20 and known.std() > 1e-10 else 0.0,
+    ]
+
+
+def test_behavior_equals_pandas(spark):
+    rng, start = np.random.default_rng(9), datetime(2024, 1, 1)
+    trades = []
+    for s in range(5):
+        for _ in range([200, 40, 3, 60, 1][s]):
+            exit_ts = start + timedelta(days=int(rng.integers(0, 60)), hours=int(rng.integers(0, 20)))
+            pnl = float(rng.integers(-900, 1000)) if s != 3 else float(rng.integers(1, 50))
+            trades.append((s, "buy" if rng.random() < 0.7 else "sell", exit_ts - timedelta(hours=int(rng.integers(-30, 200))), exit_ts, pnl))
+    bench = {(start + timedelta(days=k)).date(): float(x) for k, x in enumerate(rng.normal(0, 0.01, 50))}
+    df = spark.createDataFrame([*trades, (None, "buy", start, start, 1.0), (0, "buy", start, None, 1.0)], "strategy long, side string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, pnl double")
+    got = {r["strategy"]: [r[c] for c in FEATURES] for r in behavior(df, spark.createDataFrame(list(bench.items()), "day date, bench double"), 10_000.0).collect()}
+    assert sorted(got) == list(range(5))
+    for s in range(5):
+        assert got[s] == pytest.approx(plain_behavior([t for t in trades if t[0] == s], bench, 10_000.0), abs=1e-9), s
