@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import composed, evolved, library, live, pairs, population, portfolio, storage, times
+from tidemark.plans import composed, evolved, library, live, pairs, population, portfolio, rotation, storage, times
 from tidemark.plans.market import SQL
 from tidemark.sources import TABLES, table
 
@@ -26,5 +26,5 @@ def portable(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: sql_query(text) for name, text in (SQL | library.SPARK).items()} | composed.QUERIES | evolved.QUERIES | population.QUERIES | live.QUERIES | storage.QUERIES | times.QUERIES | portfolio.QUERIES | pairs.QUERIES
-ORACLE: dict[str, str] = {name: portable(text) for name, text in (SQL | library.OTHER | composed.ORACLE | evolved.ORACLE | population.ORACLE | live.ORACLE | storage.ORACLE | times.ORACLE | portfolio.ORACLE | pairs.ORACLE).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: sql_query(text) for name, text in (SQL | library.SPARK).items()} | composed.QUERIES | evolved.QUERIES | population.QUERIES | live.QUERIES | storage.QUERIES | times.QUERIES | portfolio.QUERIES | pairs.QUERIES | rotation.QUERIES
+ORACLE: dict[str, str] = {name: portable(text) for name, text in (SQL | library.OTHER | composed.ORACLE | evolved.ORACLE | population.ORACLE | live.ORACLE | storage.ORACLE | times.ORACLE | portfolio.ORACLE | pairs.ORACLE | rotation.ORACLE).items()}
