@@ -136,3 +136,10 @@ def test_normal_functions_and_vectors(spark):
     ).first()
     assert row[0] == pytest.approx(0.8413447, abs=1e-6) and row[1] == pytest.approx(1.959964, abs=1e-4) and row[2] == pytest.approx(-2.326348, abs=1e-4) and row[3] is None
     assert row[4] is True and row[5] is True and row[6] == [0.0, 0.0, 3.0, 2.0, 1.0] and row[7] == [2.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["met_calmar", "met_composite", "set_portfolio_equality", "strat_cointegration", "strat_universe_scan", "met_behavior", "fn_trigrams", "stream_breakers", "stream_marks", "fn_sessions", "join_asof"])
+def test_answers_vary(spark, name):
+    """A column that says the same in every row proves nothing; n counts rows of equal calendars."""
+    rows = registry.QUERIES[name](spark, DATA).drop("n").toPandas().astype(str)
+    assert len(rows) > 5 and [c for c in rows.columns if rows[c].nunique() < 2] == []

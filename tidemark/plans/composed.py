@@ -102,8 +102,9 @@ def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
-    return parts.select("p_type", "p_brand", F.round(trigram_distance(F.col("p_type"), F.col("p_brand")), 6).alias("distance"))
+    """How far the name of each customer is from those of the suppliers of the same nation."""
+    customers, suppliers = table(spark, sf_dir, "customer").select("c_name", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_name", "s_nationkey")
+    return customers.join(suppliers, F.col("c_nationkey") == F.col("s_nationkey")).select("c_name", "s_name", F.round(trigram_distance(F.col("c_name"), F.col("s_name")), 6).alias("distance"))
 
 
 def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +208,8 @@ z AS (SELECT symbol, n, sr, sr * sqrt(n - 1) / sqrt(greatest(1e-9, 1 - skew * sr
 SELECT symbol, n, round(sr, 6) AS sr, round({_cdf("z0")}, 5) AS psr, round({_cdf("z1")}, 5) AS dsr FROM z""", "rets").removeprefix("WITH "),
     "fn_vectors": with_views("""+ w AS (SELECT symbol, ts, list(close) OVER x AS v, list(volume) OVER x AS u, list(ret) OVER x AS r FROM rets WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT symbol, ts, list_sum(u[6:10]) > list_sum(u[1:5]) AS rising, len(list_filter(r, lambda q: q > 0)) * 2 > len(list_filter(r, lambda q: q IS NOT NULL)) AS mostly_up, v[9] < v[2] AND v[10] >= v[1] AS crosses, list_max(v) AS top FROM w WHERE len(v) = 10""", "rets"),
-    "fn_trigrams": """WITH p AS (SELECT DISTINCT p_type, p_brand FROM {part}), g AS (SELECT *, list_distinct([substr(p_type, i, 3) for i in range(1, greatest(length(p_type) - 1, 2))]) AS a, list_distinct([substr(p_brand, i, 3) for i in range(1, greatest(length(p_brand) - 1, 2))]) AS b FROM p)
-SELECT p_type, p_brand, 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS distance FROM g""",
+    "fn_trigrams": """WITH p AS (SELECT c_name AS p, s_name AS q FROM {customer} JOIN {supplier} ON c_nationkey = s_nationkey), g AS (SELECT *, list_distinct([substr(p, i, 3) for i in range(1, greatest(length(p) - 1, 2))]) AS a, list_distinct([substr(q, i, 3) for i in range(1, greatest(length(q) - 1, 2))]) AS b FROM p)
+SELECT p AS c_name, q AS s_name, round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS distance FROM g""",
     "fn_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{{\"k\":' || json_extract_string(props, '$.k') || '}}' AS again FROM {events}",
     "rob_cross_validation": with_views("""+ g AS (SELECT symbol, ts, ret, CASE WHEN round(close - avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), 6) > 0 THEN 1 ELSE 0 END AS sig FROM rets),
 i AS (SELECT symbol, ret, sig, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM g WHERE ret IS NOT NULL),

@@ -77,11 +77,6 @@ add("met_thresholds", f"""+ s AS (SELECT strategy, {SHARPE} AS sharpe FROM trade
 research AS (SELECT '1-URGENT' AS strategy, 5e-1 AS least, 12e-1 AS found UNION ALL SELECT '2-HIGH', 3e-1, 8e-1 UNION ALL SELECT '3-MEDIUM', 0e0, 5e-1)
 SELECT s.strategy, sharpe, coalesce(sharpe >= least, false) AS meets, round(100 * sharpe / found, 4) AS vs_research_pct FROM s LEFT JOIN research r ON s.strategy = r.strategy""", "trades")
 GENOMES = """genomes AS (SELECT symbol, count(ret) AS trades, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252e0), 8) AS sharpe, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS win, round(100 * min(ret), 8) AS dd FROM rets WHERE ret IS NOT NULL GROUP BY symbol)"""
-add("met_constrained", f"""+ {GENOMES}
-SELECT symbol, trades, round(sharpe, 4) AS sharpe, trades >= 30 AND dd >= -40 AND win >= 3e-1 AND sharpe <= 3 AS passes,
-  round(greatest(1e-2, CASE WHEN trades < 10 THEN 1e-2 + 9e-2 * trades / 10 ELSE sharpe * CASE WHEN trades < 300 THEN trades / 300e0 ELSE 1 END * CASE WHEN dd < -40 THEN 8e-1 ELSE 1 END * CASE WHEN win < 45e-2 THEN 9e-1 ELSE 1 END END), 5) AS fitness,
-  concat_ws('; ', CASE WHEN trades < 300 THEN 'trades' END, CASE WHEN dd < -40 THEN 'drawdown' END, CASE WHEN win < 45e-2 THEN 'win rate' END) AS reasons
-FROM genomes""", "rets")
 add("flt_periods", f"""+ m AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, avg(vix) AS vix, count(*) AS days FROM market GROUP BY CAST(date_trunc('month', ts) AS DATE))
 SELECT month, round(vix, 4) AS mean_vix, days, {regime("round(vix, 6)")} AS kind FROM m WHERE vix BETWEEN 10 AND 60 AND days <= 31 AND month BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'""", "market")
 
@@ -170,8 +165,6 @@ SELECT month, symbol AS factor, round(signal, 6) AS signal, round(shared / sum(s
 add("strat_base_exits", f"""+ e AS (SELECT symbol, ts, close, first_value(close) OVER (PARTITION BY symbol, CAST(date_trunc('year', ts) AS DATE) ORDER BY ts) AS entry, max(close) OVER (PARTITION BY symbol, CAST(date_trunc('year', ts) AS DATE) ORDER BY ts) AS peak, min(close) OVER (PARTITION BY symbol, CAST(date_trunc('year', ts) AS DATE) ORDER BY ts) AS low, CAST(date_trunc('year', ts) AS DATE) AS opened FROM bars),
 x AS (SELECT *, CASE WHEN close <= entry * 90e-2 THEN 'stop' WHEN close >= entry * 125e-2 THEN 'target' WHEN close <= peak * 85e-2 THEN 'trailing' END AS long_exit, CASE WHEN close >= entry * 110e-2 THEN 'stop' WHEN close <= entry * 75e-2 THEN 'target' WHEN close >= low * 115e-2 THEN 'trailing' END AS short_exit FROM e)
 SELECT symbol, opened, min(CASE WHEN long_exit IS NOT NULL THEN ts END) AS long_exit_ts, min_by(long_exit, CASE WHEN long_exit IS NOT NULL THEN ts END) AS long_reason, min(CASE WHEN short_exit IS NOT NULL THEN ts END) AS short_exit_ts, min_by(short_exit, CASE WHEN short_exit IS NOT NULL THEN ts END) AS short_reason FROM x GROUP BY symbol, opened""", "bars")
-add("strat_universe_scan", f"""+ c AS (SELECT symbol, ts, round(5e-1 + least(4e-1, abs(close / {lagged("close", 14)} - 1)), 6) AS confidence FROM bars), k AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, symbol, ts) AS rn FROM c WHERE confidence >= 6e-1)
-SELECT k.symbol, k.ts, confidence, s.sector FROM k JOIN sectors s ON k.symbol = s.symbol WHERE rn <= 200""", "bars", "sectors")
 add("sim_gap_momentum_day", """+ r AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY ts, event_id) AS rn FROM ticks), e AS (SELECT symbol, day, max(CASE WHEN rn = 3 THEN price END) AS entry, max(rn) AS n FROM r GROUP BY symbol, day HAVING max(rn) >= 3),
 x AS (SELECT e.symbol, e.day, entry, min(CASE WHEN r.rn > 3 AND r.rn <= 123 AND r.price <= entry * 70e-2 THEN r.rn END) AS stopped, least(max(r.rn), 123) AS last FROM e JOIN r ON r.symbol = e.symbol AND r.day = e.day GROUP BY e.symbol, e.day, entry)
 SELECT x.symbol, x.day, entry, CASE WHEN stopped IS NULL THEN 'time' ELSE 'stop' END AS reason, CAST(coalesce(stopped, last) AS BIGINT) AS bar, round(100 * (CASE WHEN stopped IS NULL THEN r.price ELSE entry * 70e-2 END / nullif(entry, 0) - 1), 4) AS pnl_pct FROM x JOIN r ON r.symbol = x.symbol AND r.day = x.day AND r.rn = coalesce(stopped, last)""", "ticks")
@@ -250,7 +243,7 @@ add("rep_recent_win_rate", f"+ {DAILY}, k AS (SELECT *, row_number() OVER (PARTI
 add("rep_shadow", "SELECT strategy, count(*) AS trades, round(100 * avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END), 4) AS win_pct, round(avg(days(exit_ts, entry_ts)) * 1440, 3) AS hold_minutes, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(abs(sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END)), 0), 5) AS profit_factor, max(pnl) AS best, min(pnl) AS worst FROM trades GROUP BY strategy", "trades")
 add("rep_strategy_table", "SELECT strategy, concat(CAST(count(CASE WHEN pnl > 0 THEN 1 END) AS VARCHAR(20)), '/', CAST(count(*) AS VARCHAR(20))) AS won, round(sum(pnl) / 10000, 5) AS pnl_units FROM trades GROUP BY strategy ORDER BY pnl_units DESC, strategy", "trades")
 add("rep_backtests", "SELECT symbol, count(*) AS bars, round(100 * (max_by(close, ts) / min_by(close, ts) - 1), 4) AS return_pct FROM bars GROUP BY symbol ORDER BY return_pct DESC, symbol LIMIT 20", "bars")
-add("rep_key_counts", "SELECT count(CASE WHEN p_type LIKE 'STANDARD_%' THEN 1 END) AS standard, count(CASE WHEN p_type LIKE '%_BRASS' THEN 1 END) AS brass, count(DISTINCT p_brand) AS brands FROM {part}")
+add("rep_key_counts", "SELECT p_type, count(CASE WHEN p_brand LIKE 'Brand#1_' THEN 1 END) AS first_maker, count(CASE WHEN p_brand LIKE '%#_5' THEN 1 END) AS fifth_brand, count(DISTINCT p_brand) AS brands FROM {part} GROUP BY p_type")
 add("rep_risk", "+ h AS (SELECT s.sector, t.symbol, sum(qty * price) AS held FROM trades t JOIN sectors s ON t.symbol = s.symbol WHERE side = 'buy' GROUP BY s.sector, t.symbol), a AS (SELECT sector, sum(held) AS held, max(held) AS largest FROM h GROUP BY sector) SELECT sector, round(100 * held / sum(held) OVER (), 4) AS exposure_pct, round(100 * largest / sum(held) OVER (), 4) AS largest_pct FROM a", "trades", "sectors")
 add("rep_stale_signals", "SELECT o_orderkey, o_orderstatus, CAST(days(TIMESTAMP '1998-12-01 00:00:00', o_orderdate) AS BIGINT) AS age, CASE WHEN o_orderstatus = 'O' AND days(TIMESTAMP '1998-12-01 00:00:00', o_orderdate) > 365 THEN 'expired' WHEN o_orderstatus = 'P' THEN 'cancelled' ELSE o_orderstatus END AS status FROM {orders} WHERE o_orderstatus IN ('O', 'P')")
 add("rep_state_log", "+ x AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events}) SELECT user_id, event_type AS state, ts AS since FROM x WHERE back = 1".replace("+ x AS", "WITH x AS"))
@@ -259,7 +252,6 @@ add("rep_decisions", "SELECT CAST(date_trunc('month', exit_ts) AS DATE) AS month
 add("rep_weekly", f"+ {DAILY} SELECT strategy, CAST(date_trunc('week', day) AS DATE) AS week, round(sum(pnl), 2) AS pnl, count(*) AS days, round(avg(pnl), 4) AS mean FROM daily_pnl GROUP BY strategy, CAST(date_trunc('week', day) AS DATE)", "trades")
 add("rep_sector_breakdown", "SELECT sector, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM sectors GROUP BY sector", "sectors")
 add("rep_cache_ages", "SELECT p_brand AS provider, count(CASE WHEN p_size <= 30 THEN 1 END) AS valid, count(CASE WHEN p_size > 30 THEN 1 END) AS stale, min(p_size) AS youngest, max(p_size) AS oldest FROM {part} GROUP BY p_brand")
-add("rep_grid_coverage", "+ p AS (SELECT symbol, avg(ret) AS gain, stddev_samp(ret) AS sd FROM rets GROUP BY symbol), c AS (SELECT CAST(floor(least(1, greatest(0, gain * 2)) * 9) AS INT) AS x, CAST(floor(least(1, greatest(0, sd)) * 9) AS INT) AS y, max(gain) AS best FROM p GROUP BY CAST(floor(least(1, greatest(0, gain * 2)) * 9) AS INT), CAST(floor(least(1, greatest(0, sd)) * 9) AS INT)) SELECT round(count(*) / 100e0, 4) AS coverage, round(min(best), 6) AS low, round(max(best), 6) AS high, round(avg(best), 6) AS mean FROM c", "rets")
 add("rob_grid_search", f"""+ g AS (SELECT f.v AS fast, s.v AS slow FROM (SELECT 5 AS v UNION ALL SELECT 10 UNION ALL SELECT 20) f JOIN (SELECT 30 AS v UNION ALL SELECT 50) s ON f.v < s.v), m AS (SELECT symbol, ts, ret, lead(ret) OVER (PARTITION BY symbol ORDER BY ts) AS following, {", ".join(f"avg(close) {over(n)} AS a{n}" for n in (5, 10, 20, 30, 50))} FROM rets),
 r AS (SELECT fast, slow, following * CASE WHEN round(CASE fast WHEN 5 THEN a5 WHEN 10 THEN a10 ELSE a20 END - CASE slow WHEN 30 THEN a30 ELSE a50 END, 6) > 0 THEN 1 ELSE 0 END AS x FROM m JOIN g ON true WHERE following IS NOT NULL)
 SELECT fast, slow, count(*) AS n, round(avg(x) / nullif(stddev_samp(x), 0) * sqrt(252e0), 4) AS sharpe FROM r GROUP BY fast, slow""", "rets")
