@@ -24,7 +24,7 @@ def stream_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = run_appended(spark, sf_dir, "events.parquet", build)
     time = lambda c: F.when(F.col(c) >= 0, F.timestamp_micros(c).cast("timestamp_ntz"))
-    return rows.select("strategy", time("at").alias("at"), "breaker", "action", "change", time("until").alias("until"))
+    return rows.select("strategy", time("at").alias("changed_at"), "breaker", "action", "change", time("until").alias("until"))
 
 
 def stream_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ f AS (SELECT strategy, 0::BIGINT AS rn, NULL::TIMESTAMP AS tm, NULL::TIMESTAMP A
     CASE WHEN x.reduced THEN s.fallen >= 75e-3 ELSE s.fallen >= 15e-2 END, hf AND s.loses, pf AND s.streak, sf AND s.lost, CASE WHEN x.reduced AND s.fallen < 75e-3 THEN -1 WHEN NOT x.reduced AND s.fallen >= 15e-2 THEN 1 ELSE 0 END
     FROM (SELECT f.*, g.tm AS now, f.halted IS NULL OR f.halted <= g.tm AS hf, f.paused IS NULL OR f.paused <= g.tm AS pf, f.stopped IS NULL OR f.stopped <= g.tm AS sf FROM f JOIN s g ON g.strategy = f.strategy AND g.rn = f.rn + 1) x JOIN s ON s.strategy = x.strategy AND s.rn = x.rn + 1),
 t AS (SELECT strategy, tm, 'daily_loss' AS breaker, 'halt' AS action, halted AS until FROM f WHERE h UNION ALL SELECT strategy, tm, 'consecutive_loss', 'pause', paused FROM f WHERE c UNION ALL SELECT strategy, tm, 'strategy_loss', 'pause', stopped FROM f WHERE d)
-SELECT strategy, tm AS "at", breaker, action, 'trip' AS change, until FROM t UNION ALL SELECT strategy, until, breaker, action, 'expire', until FROM t WHERE epoch_us(until) <= 1000 * ((SELECT max(epoch_ms(ts)) FROM {{events}}) - 600000)
+SELECT strategy, tm AS changed_at, breaker, action, 'trip' AS change, until FROM t UNION ALL SELECT strategy, until, breaker, action, 'expire', until FROM t WHERE epoch_us(until) <= 1000 * ((SELECT max(epoch_ms(ts)) FROM {{events}}) - 600000)
 UNION ALL SELECT strategy, tm, 'drawdown', 'reduce', CASE r WHEN 1 THEN 'trip' ELSE 'release' END, NULL FROM f WHERE r <> 0""",
     "stream_marks": rounded("""WITH p AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (o_orderkey % 31) AS opened FROM {orders}),
 m AS (SELECT o_orderkey, ts, event_id, value, CASE WHEN o_orderstatus = 'F' THEN 20 + o_totalprice % 60 - value ELSE value - (20 + o_totalprice % 60) END * (1 + o_orderkey % 50) AS pnl FROM p JOIN {events} ON user_id = o_custkey AND ts >= opened AND (o_orderstatus <> 'P' OR ts < opened + INTERVAL 3 DAY)),
