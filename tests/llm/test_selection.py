@@ -260,3 +260,55 @@ def test_tree_does_not_depend_on_how_rows_lie(spark):
         assert len(nodes) == 1 + 1 + 3 + 313 + 20 + 2 + 1
         roots.append({(r["grp"], r["level"], r["place"]): bytes(r["digest"]) for r in nodes})
     assert roots[0] == roots[1]
+
+
+def test_embeddings_query_equals_its_sql_on_planted_links(spark, tmp_path):
+    """Chains, copies, other labels, zero and null vectors: the table's own rows have hardly a link."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(60):
+        base = rng.normal(size=32)
+        rows.append((len(rows), base.tolist(), k % 3))
+        for _ in range(k % 5):
+            base = base + rng.normal(scale=0.25, size=32)
+            rows.append((len(rows), base.tolist(), k % 3 if k % 7 else None))
+        if k % 6 == 0:
+            rows.append((len(rows), rows[-1][1], (k + 1) % 3))
+            rows.append((len(rows), rows[-1][1], (k + 1) % 3))
+    rows += [(len(rows), [0.0] * 32, 1), (len(rows) + 1, None, 1), (len(rows) + 2, [0.0] * 32, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(SQL["op2_embeddings"])
+    got = QUERIES["op2_embeddings"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+    assert sum(r["n_links"] for r in got) > 100 and sum(not r["kept"] for r in got) > 50
+
+
+def test_held_out_languages(spark):
+    docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    held = [r for r in QUERIES["op10_langid"](spark, DATA).collect() if r["held_out"] and docs[r["doc_id"]] is not None and r["lang_pred"] != "und"]
+    assert len(held) > 30 and sum(r["lang_pred"] == docs[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
+def test_sharding_is_a_plain_feistel_walk():
+    from tidemark.llm import sharding
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    for n in (1, 2, 5, 64, 1000):
+        half = next(h for h in range(1, 40) if 4**h >= n)
+        keys = [mix((k * 0x9E3779B97F4A7C15 + sharding.KEY) % 2**64) for k in range(1, sharding.ROUNDS + 1)]
+        got = sharding.permute(np.arange(n), n)
+        for start in range(n):
+            at = start
+            while True:
+                left, right = at >> half, at % 2**half
+                for key in keys:
+                    left, right = right, left ^ mix((right + key) % 2**64) % 2**half
+                at = left << half | right
+                if at < n:
+                    break
+            assert got[start] == at
