@@ -31,12 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="tidemark-")
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+def stored_at(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """As ``stored``, with the table's folder, for ``removed``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Delete tables of ``stored_at``. Only once what was made of them is stored, so that no lost task needs them again."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def widened(df: DataFrame, more: str) -> StructType:

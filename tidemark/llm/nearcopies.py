@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, stored, unused
+from tidemark.llm.common import connected_components, removed, stored, stored_at, unused
 from tidemark.llm.simhash import shingle_hashes
 
 LANES = 8
@@ -283,8 +283,8 @@ def candidate_links(prints: DataFrame, similarity: float = 0.8, recall: float =
     rows = prints.select("id", "print").mapInArrow(_keys(plan), "id long, print binary, held array<long>, probes array<long>")
     rows = rows.select("id", "print", F.explode(F.concat(F.transform("held", lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))))).alias("at")).select("id", "print", "at.key", "at.probe")
     # The keys are worked out twice rather than stored: they are several times the fingerprints.
-    # A key that no second row has gives no pair.
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
+    # A key that no second row has gives no pair. Stored, the sizes are known: while they are small, no fingerprint moves to meet them.
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "sizes")
     dealt = rows.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64("id", "probe"), "pieces").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = dealt.select("key", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "probe", "id", "print")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(limit), "src long, dst long").distinct()
@@ -385,16 +385,29 @@ def _meet(similarity: float, share: int):  # noqa: ANN202
     return _grouped(edges, lambda batch: [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)])
 
 
-def prefix_links(prints: DataFrame, similarity: float, share: int) -> DataFrame:
-    """Pairs (src, dst) of ids in two components that share a shingle of their prefixes; prints has (id, component, size, prefix).
+def shared_prefixes(texts: DataFrame) -> DataFrame:
+    """(key, id, size, at) of every shingle in the prefixes of two or more texts (id, size, prefix), stored.
 
-    A task gives ``share`` pairs a row at most. If it had more, (-1, -1) is among the pairs.
+    Most shingles of a prefix are in one text alone. They are counted with
+    nothing beside them, and where the shared ones are few the rest never moves.
     """
-    rows = prints.select("id", "component", "size", F.posexplode("prefix").alias("at", "key"))
+    rows = texts.select("id", "size", F.posexplode("prefix").alias("at", "key"))
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    return stored(rows.join(shared, "key").select("key", "id", "size", F.col("at").cast("long").alias("at")), "prefixes")
+
+
+def prefix_links(shared: DataFrame, components: DataFrame, similarity: float, share: int) -> DataFrame:
+    """Pairs (src, dst) of ids in two components that share a shingle of their prefixes.
+
+    shared is what shared_prefixes gives, components (node, component); an id
+    without one is its own. A task gives ``share`` pairs a row at most. If it
+    had more, (-1, -1) is among the pairs.
+    """
+    rows = shared.join(components, shared["id"] == components["node"], "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component"))
     # A key all of whose rows are in one component joins nothing more.
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
-    dealt = rows.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = dealt.select("key", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "component", "size", F.col("at").cast("long").alias("at"), "id")
+    dealt = rows.join(stored(sizes, "sizes"), "key").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select("key", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "component", "size", "at", "id")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(similarity, share), "src long, dst long").distinct()
 
 
@@ -416,47 +429,56 @@ def _tie() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def verified(links: DataFrame, docs: DataFrame, prints: DataFrame, similarity: float, width: int) -> DataFrame:
+def _of_both(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts (id, ...) that some link (src, dst) names. The ids are stored, so that a few don't move all texts."""
+    return texts.join(stored(links.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "named"), "id", "left_semi")
+
+
+def verified(links: DataFrame, docs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """The links (src, dst) whose texts share ``similarity`` of their distinct shingles or more.
 
     Most that don't are told by their bitmaps, a sixteenth of the shingles in
-    size; only the others' shingles are fetched.
+    size; only the others' shingles are fetched. texts has (id, doc_id, tie,
+    size, bitmap) of the rows of docs, those at least that links names.
     """
-    at = prints.select("id", "size", "bitmap")
+    at = _of_both(links, texts.select("id", "size", "bitmap"))
     likely = links.join(at.withColumnsRenamed({"id": "src", "size": "n", "bitmap": "a"}), "src").join(at.withColumnsRenamed({"id": "dst", "size": "m", "bitmap": "b"}), "dst")
-    links = stored(likely.select("src", "dst", "a", "b", "n", "m").mapInArrow(_possible(similarity), "src long, dst long"), "likely")
-    wanted = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(prints.select("id", "first.doc_id", "first.tie"), "id").withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    links, some = stored_at(likely.select("src", "dst", "a", "b", "n", "m").mapInArrow(_possible(similarity), "src long, dst long"), "likely")
+    wanted = stored(_of_both(links, texts.select("id", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))), "wanted")
     slim = docs.select("doc_id", "text", _tie().alias("tie"))
-    texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["tie"] == wanted["_tie"])).select("id", "text")
+    named = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["tie"] == wanted["_tie"])).select("id", "text")
     # A repeated row gives its shingles twice, and so a link twice.
-    sets = stored(texts.mapInArrow(_shingles(width), "id long, shingles array<long>"), "shingles")
+    sets, folder = stored_at(named.mapInArrow(_shingles(width), "id long, shingles array<long>"), "shingles")
     pairs = links.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
     both = F.size(F.array_intersect("a", "b"))
-    return stored(pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("src", "dst").distinct(), "verified")
+    sure = stored(pairs.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("src", "dst").distinct(), "verified")
+    removed(docs.sparkSession, some, folder)
+    return sure
 
 
 def group_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): rows (doc_id, tie, print) of docs, texts (print, component, first, ...) of its distinct prints.
 
-    ``first`` (none, doc_id, tie) names the first row with that print: rows
+    ``first`` (none, doc_id, tie, id) names the first row with that print: rows
     without doc_id come last, then it goes by doc_id, then by the text's hash.
+    Prefixes and bitmaps are stored once, by rows; what is grouped is slim.
     """
     common = common_shingles(docs, width)
     marked = docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, tie long, print binary, size long, prefix array<long>, bitmap binary")
-    marked = stored(marked, "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    prints = stored(marked.groupBy("print").agg(first, F.min(F.struct("size", "prefix", "bitmap")).alias("_")).select("print", "first", "_.size", "_.prefix", "_.bitmap").withColumn("id", F.monotonically_increasing_id()), "distinct")
-
-    def grouped(sure: DataFrame) -> DataFrame:
-        return prints.join(connected_components(sure).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = stored(marked.withColumn("id", F.monotonically_increasing_id()), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "id")).alias("first")
+    prints = stored(marked.groupBy("print").agg(first).select("first.id", "print", "first"), "distinct")
+    shared = shared_prefixes(marked.select("id", "size", "prefix").join(prints.select("id"), "id", "left_semi"))
 
-    sure, share, held = verified(stored(candidate_links(prints, similarity, recall), "candidates"), docs, prints, similarity, width), FIRST, True
-    named = grouped(sure)
+    sure, share, held = verified(stored(candidate_links(prints, similarity, recall), "candidates"), docs, marked, similarity, width), FIRST, True
+    components = stored(connected_components(sure), "components")
     while held:
-        links = stored(prefix_links(named, similarity, share), "candidates")
+        links, folder = stored_at(prefix_links(shared, components, similarity, share), "candidates")
         held = not links.where("src < 0").isEmpty()
-        sure = sure.unionByName(verified(links.where("src >= 0"), docs, prints, similarity, width))
-        named, share = grouped(sure), share * GROWTH
+        sure = sure.unionByName(verified(links.where("src >= 0"), docs, marked, similarity, width))
+        removed(docs.sparkSession, folder)
+        components, share = stored(connected_components(sure), "components"), share * GROWTH
+    named = prints.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return marked.select("doc_id", "tie", "print"), named
 
 
