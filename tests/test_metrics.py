@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,6 +13,8 @@ from tidemark.operators.behavior import FEATURES, behavior
 from tidemark.operators.cointegration import cointegration_p, engle_granger, least_squares
 from tidemark.operators.metrics import composite_fitness, equity_metrics
 from tidemark.operators.robust import draws, monte_carlo
+from tidemark.plans import portfolio
+from tidemark.plans.registry import ORACLE
 
 
 @pytest.mark.parametrize("lags", [0, 1, 3])
@@ -135,3 +138,33 @@ def test_behavior_equals_pandas(spark):
     assert sorted(got) == list(range(5))
     for s in range(5):
         assert got[s] == pytest.approx(plain_behavior([t for t in trades if t[0] == s], bench, 10_000.0), abs=1e-9), s
+
+
+def test_adjusted_weights_take_daily_results(spark, tmp_path):
+    """Two of three strategies move together day by day; two years say nothing of it. Days are missing."""
+    rng, rows = np.random.default_rng(7), []
+    for d in range(400):
+        shared = rng.normal()
+        for k, name in enumerate("ABC"):
+            if rng.random() < (0.6 if 150 < d < 190 and k == 2 else 0.03):
+                continue
+            tax = round(0.5 + 0.1 * (shared + 0.2 * rng.normal() if k < 2 else rng.normal()), 4)
+            rows.append((len(rows), name, datetime(1995, 6, 1) + timedelta(days=d), tax))
+    t = pd.DataFrame(rows, columns=["id", "strategy", "day", "tax"])
+    day = t["day"].astype("datetime64[us]")
+    pd.DataFrame({"l_orderkey": t["id"], "l_suppkey": 1, "l_shipdate": day, "l_linestatus": "O", "l_returnflag": "A", "l_quantity": 1.0, "l_extendedprice": 1000.0, "l_tax": t["tax"], "l_discount": 0.5}).to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame({"o_orderkey": t["id"], "o_orderpriority": t["strategy"], "o_orderdate": day}).to_parquet(tmp_path / "orders.parquet")
+    daily = t.assign(pnl=(1000 * (t["tax"] - 0.5)).round(2)).pivot(index="day", columns="strategy", values="pnl").ffill(limit=5).dropna()
+    rho = daily.corr().abs()
+    mean = (rho.sum() - 1) / 2
+    weight = 1 - 0.5 * ((mean - 0.3) / 0.7).clip(lower=0)
+    weight /= weight.sum()
+    assert (mean[["A", "B"]] > 0.3).all() and mean["C"] < 0.3
+    got = {r["strategy"]: r for r in portfolio.port_adjusted_weights(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    told = {r[0]: r for r in con.execute(ORACLE["port_adjusted_weights"]).fetchall()}
+    for s in "ABC":
+        for row in (got[s], told[s]):
+            assert row[1] == pytest.approx(mean[s], abs=2e-6) and row[2] == pytest.approx(weight[s], abs=2e-6)
