@@ -112,6 +112,31 @@ def test_bitmaps_pass_every_similar_pair():
     assert not passed
 
 
+def test_sketches_pass_every_similar_pair():
+    rng = np.random.default_rng(9)
+    every = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    sets = [every[a:b] for a, b in [(0, 0), (0, 1), (0, 100), (5, 100), (0, 1500), (100, 1600), (0, 1700), (150, 1800), (3000, 3100), (2000, 3500), (2500, 6000), (0, 3500)]]
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = [len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    told = nearcopies.least_apart([nearcopies.sketch(x) for x in sets], a, b)
+    assert (told <= apart).all() and (told >= 0).all()
+    far = [k for k, d in enumerate(apart) if d == len(sets[a[k]]) + len(sets[b[k]]) > 150 and 0.8 * len(sets[a[k]]) <= len(sets[b[k]]) <= 1.25 * len(sets[a[k]])]
+    assert far and all(told[k] > apart[k] / 9 for k in far)
+
+
+def test_texts_of_one_passage_are_no_candidates(spark):
+    """Rows that leave a task over the prefixes: links, not the pairs of all texts with a passage in common."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 1 << 62, 30)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 62, 300)])) for _ in range(60)]
+    sets.append(sets[0][:-5])
+    rows = [(k, len(x), nearcopies.prefix(x, np.zeros(0, np.int64), 0.8).tolist(), nearcopies.sketch(x.view(np.uint64))) for k, x in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "id long, size long, prefix array<long>, sketch binary")
+    none = spark.createDataFrame([], "node long, component long")
+    links = nearcopies.prefix_links(nearcopies.shared_prefixes(texts.drop("sketch")), none, texts.select("id", "sketch"), 0.8, 16)
+    assert [tuple(r) for r in links.collect()] == [(0, 60)]
+
+
 def test_near_copies_miss_no_short_pair(spark):
     rng = random.Random(11)
     rows, want = [], []

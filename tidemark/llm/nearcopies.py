@@ -39,6 +39,8 @@ PIECE = 1024
 SAMPLED, COMMON, MOST = 1 << 14, 8, 1 << 16
 #: Pairs that leave a task for each of its rows in the first round over the prefixes, and how many times that in each further one.
 FIRST, GROWTH = 16, 8
+#: Buckets of a sketch, twice as many over each of so many shingles; pairs of sketches compared at once; pairs that a task holds to tell repeated ones.
+BUCKETS, LONG, CHUNK, HELD = 128, (1536, 4096), 1 << 12, 1 << 18
 _LANE = np.arange(1, LANES + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,17 +199,31 @@ def _near(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
 
 
 def _grouped(edges, columns):  # noqa: ANN001, ANN202
-    """The edges (src, dst) of every (key, i, j), the first columns; rows come sorted by these."""
+    """The edges (src, dst) of every (key, i, j), the first columns; rows come sorted by these.
+
+    A pair that meets under many keys of a task leaves it once for every HELD pairs.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def once() -> pa.RecordBatch:
+            src, dst = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held, strict=True) if held else ((), ())))
+            order = np.lexsort((dst, src))
+            src, dst = src[order], dst[order]
+            new = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))[: len(src)]
+            return pa.RecordBatch.from_pydict({"src": src[new], "dst": dst[new]})
+
         def found(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            nonlocal many
             for a, b in zip([0, *ends[:-1]], ends, strict=True):
                 if b - a > 1:
-                    one, other = edges([x[a:b] for x in rows])
-                    src.append(one)
-                    dst.append(other)
-            yield pa.RecordBatch.from_pydict({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+                    held.append(edges([x[a:b] for x in rows]))
+                    many += len(held[-1][0])
+                if many >= HELD or len(held) >= HELD:
+                    yield once()
+                    held.clear()
+                    many = 0
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
@@ -223,6 +239,7 @@ def _grouped(edges, columns):  # noqa: ANN001, ANN202
             rest = rows
         if rest is not None:
             yield from found(rest, np.array([len(rest[0])]))
+        yield once()
 
     return compare
 
@@ -337,6 +354,29 @@ def may_share(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
     return both >= similarity / (1 + similarity) * (n + m) - 1e-9
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Numbers of a set's distinct shingles by bucket, modulo 16, two a byte."""
+    buckets = BUCKETS << sum(len(shingles) > most for most in LONG)
+    counts = (np.bincount((shingles >> np.uint64(32) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def least_apart(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For the places a and b of sketches how many shingles only one of the two sets has, at least: by bucket what the numbers differ by."""
+    most = BUCKETS << len(LONG)
+    raw = np.frombuffer(b"".join(x.ljust(most // 2, b"\0") for x in sketches), np.uint8).reshape(-1, most // 2)
+    wide, sizes = np.stack([raw & 15, raw >> 4], axis=2).reshape(-1, most), 2 * np.array([len(x) for x in sketches], np.int64)
+    out, common = np.empty(len(a), np.int64), np.minimum(sizes[a], sizes[b])
+    for size in np.unique(common):
+        # A sketch of more buckets becomes one of fewer by adding those that agree in the last bits.
+        which, counts = np.flatnonzero(common == size), wide.reshape(len(wide), -1, size).sum(axis=1, dtype=np.uint8)
+        for at in range(0, len(which), CHUNK):
+            some = which[at : at + CHUNK]
+            more = (counts[a[some]] - counts[b[some]]) & 15
+            out[some] = np.minimum(more, 16 - more).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _possible(similarity: float):  # noqa: ANN202
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,14 +390,15 @@ def _possible(similarity: float):  # noqa: ANN202
 def _fingerprints(width: int, similarity: float, common: np.ndarray):  # noqa: ANN202
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, firsts, maps = [], [], [], []
+            prints, sizes, firsts, maps, sketches = [], [], [], [], []
             for t in batch.column(2):
                 hashes = np.unique(shingle_hashes(t.as_py(), width))
                 prints.append(wide_fingerprint(hashes))
                 sizes.append(len(hashes))
                 firsts.append(prefix(hashes.view(np.int64), common, similarity))
                 maps.append(bitmap(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["doc_id", "tie", "print", "size", "prefix", "bitmap"])
+                sketches.append(sketch(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "tie", "print", "size", "prefix", "bitmap", "sketch"])
 
     return fingerprints
 
@@ -366,23 +407,26 @@ def _meet(similarity: float, share: int):  # noqa: ANN202
     """Pairs of a (key, i, j) that may be similar and are in two components; a pair (-1, -1) says that some were held back."""
 
     def edges(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        _, i, j, piece, component, size, at, ids = rows
+        _, i, j, piece, component, size, at, ids, sketches = rows
         x = np.flatnonzero(piece == i)
         y = x if i[0] == j[0] else np.flatnonzero(piece != i)
         # Where the shingle is the first that both have, so many can be common at most; fewer than the similarity asks are too few.
         most = size - at
         a, b = np.nonzero((component[x][:, None] != component[y]) & (np.minimum(most[x][:, None], most[y]) >= similarity / (1 + similarity) * (size[x][:, None] + size[y]) - 1e-9))
-        src, dst = ids[x[a]], ids[y[b]]
+        a, b = x[a], y[b]
         if y is x:
-            src, dst = src[src < dst], dst[src < dst]
-        src, dst = np.minimum(src, dst), np.maximum(src, dst)
+            a, b = a[ids[a] < ids[b]], b[ids[a] < ids[b]]
+        if len(a):
+            near = least_apart(sketches.tolist(), a, b) <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-9
+            a, b = a[near], b[near]
+        src, dst = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         if len(src) > share * len(ids):
             mixed = (src * np.int64(0x1E3779B97F4A7C15)) ^ (dst * np.int64(0x3F58476D1CE4E5B9))
             some = np.argpartition(mixed ^ (mixed >> np.int64(31)), share * len(ids))[: share * len(ids)]
             src, dst = np.append(src[some], -1), np.append(dst[some], -1)
         return src, dst
 
-    return _grouped(edges, lambda batch: [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)])
+    return _grouped(edges, lambda batch: [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)])
 
 
 def shared_prefixes(texts: DataFrame) -> DataFrame:
@@ -396,18 +440,20 @@ def shared_prefixes(texts: DataFrame) -> DataFrame:
     return stored(rows.join(shared, "key").select("key", "id", "size", F.col("at").cast("long").alias("at")), "prefixes")
 
 
-def prefix_links(shared: DataFrame, components: DataFrame, similarity: float, share: int) -> DataFrame:
-    """Pairs (src, dst) of ids in two components that share a shingle of their prefixes.
+def prefix_links(shared: DataFrame, components: DataFrame, sketches: DataFrame, similarity: float, share: int) -> DataFrame:
+    """Pairs (src, dst) of ids in two components that share a shingle of their prefixes and can be similar by their sketches.
 
     shared is what shared_prefixes gives, components (node, component); an id
-    without one is its own. A task gives ``share`` pairs a row at most. If it
-    had more, (-1, -1) is among the pairs.
+    without one is its own; sketches has (id, sketch) of all. A task gives
+    ``share`` pairs a row at most. If it had more, (-1, -1) is among the pairs.
+    Sketches meet only the rows of shingles that two components share.
     """
     rows = shared.join(components, shared["id"] == components["node"], "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component"))
     # A key all of whose rows are in one component joins nothing more.
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
-    dealt = rows.join(stored(sizes, "sizes"), "key").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = dealt.select("key", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "component", "size", "at", "id")
+    met = rows.join(stored(sizes, "sizes"), "key").join(sketches, "id")
+    dealt = met.withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select("key", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "component", "size", "at", "id", "sketch")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(similarity, share), "src long, dst long").distinct()
 
 
@@ -461,19 +507,19 @@ def group_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
 
     ``first`` (none, doc_id, tie, id) names the first row with that print: rows
     without doc_id come last, then it goes by doc_id, then by the text's hash.
-    Prefixes and bitmaps are stored once, by rows; what is grouped is slim.
+    Bitmaps are stored once, by rows. The first row brings its prefix and sketch along, so that no row is looked up by the prints.
     """
     common = common_shingles(docs, width)
-    marked = docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, tie long, print binary, size long, prefix array<long>, bitmap binary")
+    marked = docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints(width, similarity, common), "doc_id long, tie long, print binary, size long, prefix array<long>, bitmap binary, sketch binary")
     marked = stored(marked.withColumn("id", F.monotonically_increasing_id()), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "id")).alias("first")
-    prints = stored(marked.groupBy("print").agg(first).select("first.id", "print", "first"), "distinct")
-    shared = shared_prefixes(marked.select("id", "size", "prefix").join(prints.select("id"), "id", "left_semi"))
+    first = marked.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "id", "size", "prefix", "sketch")).alias("f"))
+    every = stored(first.select("f.id", "print", F.struct("f.none", "f.doc_id", "f.tie", "f.id").alias("first"), "f.size", "f.prefix", "f.sketch"), "distinct")
+    prints, shared = every.select("id", "print", "first"), shared_prefixes(every.select("id", "size", "prefix"))
 
     sure, share, held = verified(stored(candidate_links(prints, similarity, recall), "candidates"), docs, marked, similarity, width), FIRST, True
     components = stored(connected_components(sure), "components")
     while held:
-        links, folder = stored_at(prefix_links(shared, components, similarity, share), "candidates")
+        links, folder = stored_at(prefix_links(shared, components, every.select("id", "sketch"), similarity, share), "candidates")
         held = not links.where("src < 0").isEmpty()
         sure = sure.unionByName(verified(links.where("src >= 0"), docs, marked, similarity, width))
         removed(docs.sparkSession, folder)
