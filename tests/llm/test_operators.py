@@ -487,3 +487,12 @@ def test_held_out_toxicity(spark):
 def test_held_out_quality(spark):
     hit, missed, false = _held_out(spark, "op9_quality", "quality")
     assert hit / (hit + missed) >= 0.99 and hit / (hit + false) >= 0.99
+
+
+def test_first_step_of_the_trie_is_looked_up_and_bytes_are_put_in_place():
+    vocabulary = pieces._loaded(pieces.load())
+    classes = np.arange(int(vocabulary.trie[0].max()) + 1)
+    assert (vocabulary.begun == vocabulary.follow(np.zeros(len(classes), np.int32), classes)).all()
+    texts = ["", "a▁b \U0001f9ff\U0001f9ff", "\x01\x02 z", "   ", "plain words"]
+    for text, (ids, drawn) in zip(texts, pieces.segment(texts, np.arange(5), vocabulary), strict=True):
+        assert [pieces.decode(x, vocabulary) for x in (ids, *(d[0] for d in drawn))] == [text] * (1 + len(drawn))

@@ -95,6 +95,12 @@ class Vocabulary:
         """Whether a piece has U+2581 behind another character, and so may span two words."""
         return any(MARK in t.lstrip(MARK) for t in self.texts)
 
+    @functools.cached_property
+    def begun(self) -> np.ndarray:
+        """The state after one character, by its class."""
+        some = np.arange(int(self.trie[0].max()) + 1)
+        return self.follow(np.zeros(len(some), np.int32), some)
+
     def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states, 0 where there is none."""
         table = self.trie[1]
@@ -237,34 +243,35 @@ class Lattice:
         at = np.arange(n)
         left = np.repeat(np.arange(longest + 2), many)
         word = at - offset[left]
-        state, edges, spelled = np.zeros(n, np.int32), [], np.ones(n, bool)
+        edges, spelled = [], np.ones(n, bool)
         for length in range(1, vocabulary.longest + 1):
-            state = vocabulary.follow(state, symbols[offset[left - length + 1] + word])
-            alive = state > 0
-            at, state, left, word = at[alive], state[alive], left[alive], word[alive]
+            state = vocabulary.follow(state, symbols[offset[left - length + 1] + word]) if length > 1 else vocabulary.begun[symbols]
             found = piece[state]
-            has = found >= 0
+            has = np.flatnonzero(found >= 0)
+            where, room, of = at[has], left[has], word[has]
             if length == 1:
-                spelled[at[has]] = False
-            edges.append((at[has], np.where(left[has] > length, offset[left[has] - length] + word[has], n), found[has], vocabulary.weights[found[has]]))
-            more = left > length
+                spelled[where] = False
+            edges.append((where, np.where(room > length, offset[room - length] + of, n), found[has]))
+            more = np.flatnonzero((state > 0) & (left > length))
             at, state, left, word = at[more], state[more], left[more], word[more]
         # A character without a piece is spelled in UTF-8 bytes.
         lone = np.flatnonzero(spelled)
         of = np.searchsorted(offset[1 : longest + 2], lone, "right")
         width = 1 + (self.codes[lone] > 0x7F) + (self.codes[lone] > 0x7FF) + (self.codes[lone] > 0xFFFF)
-        edges.insert(0, (lone, np.where(of > 1, offset[of - 1] + lone - offset[of], n), _BYTES, np.exp(2.2) * (1 / (len(vocabulary.texts) + 10.0)) ** width))
+        edges.insert(0, (lone, np.where(of > 1, offset[of - 1] + lone - offset[of], n), _BYTES))
         # Side by side by place, the longest first: it is the likeliest more often than not.
         count = np.zeros(n, np.int64)
         for where, *_ in edges:
             count[where] += 1
         self.end, self.first = n, _firsts(count)
-        self.to, self.piece, weight = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32), np.empty(self.first[-1])
+        self.to, self.piece = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32)
         free = self.first[1:].copy()
-        for where, to, pieces, weights in edges:
+        for where, to, pieces in edges:
             e = free[where] - 1
             free[where] = e
-            self.to[e], self.piece[e], weight[e] = to, pieces, weights
+            self.to[e], self.piece[e] = to, pieces
+        weight = vocabulary.weights[self.piece]
+        weight[self.first[lone + 1] - 1] = np.exp(2.2) * (1 / (len(vocabulary.texts) + 10.0)) ** width
         del edges
         total, best = np.ones(n + 1), np.ones(n + 1)  # the last: the end of any word
         # Logarithms of what the two are divided by, far from a word's end: no product of many weights leaves the numbers' range.
@@ -477,9 +484,11 @@ def _spelled(lattice: Lattice, edges: np.ndarray, first: np.ndarray, vocabulary:
     raw = [(MARK if chr(c) == _LITERAL else chr(c)).encode("utf-8", "surrogatepass") for c in lattice.codes[place].tolist()]
     sizes = np.ones(len(ids), np.int64)
     sizes[odd] = [len(b) for b in raw]
-    out = np.repeat(ids, sizes)
-    out[np.repeat(ids == _BYTES, sizes)] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + vocabulary.byte_id
-    return out, _firsts(sizes)[first]
+    starts = _firsts(sizes)
+    out = np.empty(starts[-1], ids.dtype)
+    out[starts[:-1]] = ids
+    out[_ranges(starts[odd], sizes[odd])] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + vocabulary.byte_id
+    return out, starts[first]
 
 
 @dataclass
