@@ -237,6 +237,24 @@ def test_mixing_balances_entropy(spark):
     assert (words * (rows["rate"] - wanted))[rows["source"] == "s1"].sum() == pytest.approx(0, abs=0.01)
 
 
+def test_mixing_leaves_texts_where_they_are(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, "w " * int(rng.lognormvariate(3, 1)), f"s{i % 3}") for i in range(6000)], "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "24k")  # a table with a row for each document is over it
+    try:
+        out = mixing.mixed_documents(docs)
+        rows = out.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("n"), (F.col("text") == "").alias("none")).collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and not any(x in plan for x in ("SortMergeJoin", "ShuffledHashJoin", "hashpartitioning"))
+    every = docs.select(F.sum(mixing.words(F.col("text")))).first()[0]
+    for k in range(3):
+        assert abs(sum(r["n"] for r in rows if r["source"] == f"s{k}" and not r["none"]) - every * (k + 1) / 6) <= 3
+    assert max(sum(1 for r in rows if r["doc_id"] == i) for i in range(0, 6000, 97)) <= 3
+
+
 def test_mixing_targets_are_the_shared_ones(spark, tmp_path):
     import duckdb
 

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, number_rows, read, stored, unused
+from tidemark.llm.common import WORD, number_rows, read, stored
 
 MAX_COPIES, WEIGHTS = 3, (1.0, 2.0, 3.0)
 #: Least relative residual of a source at which Newton's method stops, its most steps, and the share of all words that beta = 1 costs.
@@ -155,54 +155,79 @@ def balance(sized: DataFrame, sources: DataFrame, most: int = MAX_COPIES, penalt
     return stored(trial.select(keep), "balanced"), rate
 
 
-def _cumulated(rows: DataFrame, x: str, name: str) -> DataFrame:
-    """rows (_part, _pos, source, ...) with the sum of x over this and earlier rows of the source.
+def _with(rows: DataFrame, of: DataFrame, by: tuple[str, ...] = ("source",)) -> DataFrame:
+    """rows joined to the one row of ``of`` that agrees in ``by``, nulls too."""
+    there = of.withColumnsRenamed({k: f"_of_{k}" for k in by})
+    return rows.join(there, [rows[k].eqNullSafe(there[f"_of_{k}"]) for k in by]).drop(*(f"_of_{k}" for k in by))
+
+
+def _cumulated(rows: DataFrame, x: str, name: str, by: tuple[str, ...] = ("source",)) -> DataFrame:
+    """rows (_part, _pos, source, ...) with the sum of x over this and earlier rows of the same ``by``.
 
     A window holds one partition's rows of a source; the sums of earlier
     partitions, one row for each, are added.
     """
-    own = Window.partitionBy("_part", "source").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part", "source").agg(F.sum(x).alias("_sum")).select(F.col("_part").alias("_p"), F.col("source").alias("_s"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    return rows.join(parts, (rows["_part"] == parts["_p"]) & rows["source"].eqNullSafe(parts["_s"])).withColumn(name, F.col("_before") + F.sum(x).over(own)).drop("_p", "_s", "_before")
-
-
-def _with_source(rows: DataFrame, of: DataFrame) -> DataFrame:
-    there = of.withColumnRenamed("source", "_s")
-    return rows.join(there, rows["source"].eqNullSafe(there["_s"])).drop("_s")
-
-
-def round_rates(rated: DataFrame, order: list[Column], repairs: int = REPAIRS) -> DataFrame:
-    """rated (source, size, target, rate, ...) with ``copies``, each the rate rounded down or up.
-
-    Copies first come by systematic rounding over each source's rows in the
-    given order, with larger ones first. A source's words are then off its
-    target by what the sizes differ; so in rounds rows that were rounded the
-    wrong way for that, of no more words than are off, change over, from the
-    largest down while they fit. What stays is less than the least such row.
+    own = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part", *by).agg(F.sum(x).alias("_sum")).select("_part", *by, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    return _with(rows, parts, ("_part", *by)).withColumn(name, F.col("_before") + F.sum(x).over(own)).drop("_before")
+
+
+#: A stratum, as SQL: rows of a source whose sizes differ by a fifth at most.
+_STRATUM = "floor(4 * log2(size + 1))"
+_FRACTION = "(rate - floor(rate))"
+#: How soon a row is rounded up in its stratum: a fixed uniform number of its doc_id, less the part of its rate that is rounded.
+_TURN = f"(shiftrightunsigned(xxhash64(doc_id), 11) / {1 << 53}D - {_FRACTION})"
+#: Rows (rate, doc_id, cut) whose turn comes before their stratum's cut are rounded up.
+_RULED = f"cast(floor(rate) + if({_FRACTION} > 0 AND {_TURN} < coalesce(cut, 2D), 1, 0) AS long)"
+
+
+def round_rates(rated: DataFrame, repairs: int = REPAIRS) -> tuple[DataFrame, DataFrame]:
+    """(rated (doc_id, source, size, rate, target, ...) with ``copies``, each the rate rounded down or up; cuts (source, stratum, cut)).
+
+    In every stratum of a source the rows whose turn comes first are rounded up,
+    as many as give the words that the rates ask of it. So a row's copies follow
+    from itself and its stratum's cut. A source's words are then off its target
+    by what the sizes differ; so in rounds rows that were rounded the wrong way
+    for that, of no more words than are off, change over, from larger strata
+    down while they fit. What stays is less than the least such row. These few,
+    and rows of one turn of which only some fit, have other copies than the cuts give.
     """
-    spark_order = [F.col("source").asc_nulls_last(), F.col("size").desc(), *order]
-    at = F.monotonically_increasing_id()
+    by, at = ("source", "stratum"), F.monotonically_increasing_id()
     parts = int(rated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rated.repartitionByRange(parts, *spark_order).sortWithinPartitions(*spark_order).withColumn("_at", at)
-    placed = stored(placed.withColumns({"_part": F.shiftright("_at", 33), "_pos": F.col("_at").bitwiseAND((1 << 33) - 1), "_fraction": (F.col("rate") - F.floor("rate")).cast("decimal(20,9)")}).drop("_at"), "placed")
-    summed = _cumulated(placed, "_fraction", "_upto").withColumn("_upto", F.col("_upto").cast("decimal(38,9)"))
-    half = F.lit(0.5).cast("decimal(10,9)")
-    up = F.floor(F.col("_upto") + half) - F.floor(F.col("_upto") - F.col("_fraction") + half)
-    rows = stored(summed.withColumn("copies", (F.floor("rate") + up).cast("long")).drop("_upto"), "copied")
+    order = [F.col("source").asc_nulls_last(), F.col("stratum").desc(), F.col("_turn"), F.col("doc_id")]
+    fraction = F.expr(_FRACTION)
+    turned = rated.withColumns({"stratum": F.expr(_STRATUM), "_turn": F.expr(_TURN), "_up": F.when(fraction > 0, F.greatest("size", F.lit(1))).otherwise(0).cast("long")})
+    placed = turned.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at)
+    placed = stored(placed.withColumns({"_part": F.shiftright("_at", 33), "_pos": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at"), "placed")
+    # The last row of a stratum goes up with the probability of what is left for it: a fixed uniform number of the stratum decides.
+    luck = (F.pmod(F.xxhash64(*by), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    asked = placed.groupBy(*by).agg(_total(F.col("_up") * fraction).alias("_asked")).withColumn("_luck", luck)
+    summed = _with(_cumulated(placed, "_up", "_upto", by), asked, by)
+    up = (F.col("_up") > 0) & (F.col("_upto") - F.col("_up") * F.col("_luck") <= F.col("_asked"))
+    rows = stored(summed.withColumn("copies", (F.floor("rate") + F.when(up, 1).otherwise(0)).cast("long")).drop("_upto", "_asked", "_luck"), "copied")
+    cuts = stored(rows.groupBy(*by).agg(F.min(F.when((F.col("_up") > 0) & (F.col("copies") < F.col("rate")), F.col("_turn"))).alias("cut")), "cuts")
     for _ in range(repairs):
         off = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("_off"))
         wrong = F.when(F.col("_off") > 0, F.col("copies") < F.col("rate")).otherwise(F.col("copies") > F.col("rate"))
         movable = (F.col("size") > 0) & (F.col("size") <= F.abs("_off")) & wrong
-        marked = _with_source(rows, off).withColumn("_fits", F.when(movable, F.col("size")).otherwise(0))
+        marked = _with(rows, off).withColumn("_fits", F.when(movable, F.col("size")).otherwise(0))
         marked = _cumulated(marked, "_fits", "_upto")
         turn = movable & (F.col("_upto") <= F.abs("_off"))
-        changed = marked.withColumn("_turn", turn).withColumn("copies", F.col("copies") + F.when(turn, F.signum("_off").cast("long")).otherwise(0)).drop("_off", "_fits", "_upto")
+        changed = marked.withColumn("_changes", turn).withColumn("copies", F.col("copies") + F.when(turn, F.signum("_off").cast("long")).otherwise(0)).drop("_off", "_fits", "_upto")
         changed = stored(changed, "copied")
-        done, rows = changed.where("_turn").isEmpty(), changed.drop("_turn")
+        done, rows = changed.where("_changes").isEmpty(), changed.drop("_changes")
         if done:
             break
-    return rows.drop("_part", "_pos", "_fraction")
+    return rows.drop("_part", "_pos", "_turn", "_up"), cuts
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """(rows with copies, cuts, sources, the rate as a column of a row's size and its source's columns)."""
+    sized = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sized")
+    sources, rate = balance(sized, source_targets(sized, weights, most), most)
+    rate = F.round(rate, 9)
+    return *round_rates(_with(sized, sources).withColumn("rate", rate)), sources, rate
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
@@ -214,26 +239,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_C
     take 0 words; a null source is a source; an empty table gives no rows.
     Repeated rows count as often as they come. Other columns are ignored.
     """
-    sized = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sized")
-    sources, rate = balance(sized, source_targets(sized, weights, most), most)
-    rated = _with_source(sized, sources).withColumn("rate", F.round(rate, 9))
-    return round_rates(rated, [F.xxhash64("doc_id"), F.col("doc_id")]).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return _mixed(docs, weights, most)[0].select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """docs with every row repeated as often as the mix copies it.
 
+    A row's copies follow from its own rate and turn and its stratum's cut, but
+    for the few rows that the mix rounds otherwise, so texts stay where they are.
     Rows that share a doc_id, or have none, are told apart by source and size;
     those that agree in all three have the same copies only if their places do,
     so they get the largest of theirs. A text without words has the copies of
     its rate. Null sources, empty tables and columns of any name are fine.
     """
-    size, copies, one, key, source, words_ = unused(docs, "_size", "_copies", "_copy", "_key", "_source", "_words")
-    taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
-    taken = taken.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(words_), copies)
-    sized = docs.withColumn(size, words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(taken[key]) & sized["source"].eqNullSafe(taken[source]) & (sized[size] == taken[words_])
-    return sized.join(taken, same).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    rows, cuts, sources, rate = _mixed(docs, weights, most)
+    # Stored, the sizes of both are known: a row for each stratum of a source, and the rows that are rounded otherwise.
+    rules = stored(_with(cuts, sources), "rules")
+    key = ("doc_id", "source", "size")
+    ruled = _with(rows.select(*key, "stratum", "rate", "copies"), cuts, ("source", "stratum")).withColumn("_ruled", F.expr(_RULED))
+    others = stored(ruled.groupBy(*key).agg(F.max("copies").alias("other"), F.max(F.col("copies") != F.col("_ruled")).alias("_odd")).where("_odd").drop("_odd"), "others")
+    # The document as one column, so that its names are its own.
+    sized = docs.select(F.struct(*docs.columns).alias("_doc")).select("_doc", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), words(F.col("_doc.text")).alias("size"))
+    told = _with(sized.withColumn("stratum", F.expr(_STRATUM)), rules, ("source", "stratum")).withColumn("rate", rate).select("_doc", *key, F.expr(_RULED).alias("_ruled"))
+    others = others.withColumnsRenamed({k: f"_of_{k}" for k in key})
+    told = told.join(others, [told[k].eqNullSafe(others[f"_of_{k}"]) for k in key], "left").select("_doc", F.coalesce("other", "_ruled").alias("_copies"))
+    return told.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
