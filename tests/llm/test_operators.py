@@ -514,3 +514,20 @@ def test_first_step_of_the_trie_is_looked_up_and_bytes_are_put_in_place():
     texts = ["", "a▁b \U0001f9ff\U0001f9ff", "\x01\x02 z", "   ", "plain words"]
     for text, (ids, drawn) in zip(texts, pieces.segment(texts, np.arange(5), vocabulary), strict=True):
         assert [pieces.decode(x, vocabulary) for x in (ids, *(d[0] for d in drawn))] == [text] * (1 + len(drawn))
+
+
+def test_pieces_make_common_words_once(monkeypatch):
+    vocabulary, rng = pieces._loaded(pieces.load()), random.Random(9)
+    common = ["the", "Übermaß", "thing.\nthat", "日本", "x" * 60]
+    texts = [" ".join([*rng.choices(common, k=30), f"lone{k}", "🎉"]) for k in range(40)]
+    keys, ends, built = np.arange(40), [10, 20, 30, 40], []
+    apart = [d for a, b in zip([0, *ends], ends) for d in pieces.segment(texts[a:b], keys[a:b], vocabulary)]
+    make = pieces.Lattice.__init__
+    monkeypatch.setattr(pieces.Lattice, "__init__", lambda self, written, sizes, v: (built.append(len(written)), make(self, written, sizes, v))[1])
+    together = list(pieces.segment_blocks(pieces.pa.array(texts), keys, ends, vocabulary, 3))
+    assert sum(built) < sum(map(len, common)) + 40 * 8 + 20
+    for k, (ids, drawn) in enumerate(apart):
+        found, at = together[k // 10], k % 10
+        assert found.ids[found.first[at] : found.first[at + 1]].tolist() == ids.tolist()
+        for (i, first, logp, inside, has), (want, p, q) in zip(found.samples, drawn, strict=True):
+            assert has[at] and i[first[at] : first[at + 1]].tolist() == want.tolist() and (logp[at], inside[at]) == pytest.approx((p, q))

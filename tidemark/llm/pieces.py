@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +36,10 @@ MODEL, SAMPLES, SEED = "/opt/tokenizers/piece_bpe_32k.model", 3, 17
 MARK, _SPLIT = "▁", 48
 #: Farther than this from a word's end masses are scaled; those of so many characters spelled in four bytes are still in range.
 _RESCALE = 16
-_BATCH_CHARS = 1 << 20
+#: A block: its rows are sampled at once. The blocks of a group have common the lattices of words that _OFTEN of them or more hold.
+_BATCH_CHARS, _GROUP_CHARS, _OFTEN = 1 << 20, 1 << 24, 3
 _NONE, _BYTES = -1, -2
+_END = np.iinfo(np.int32).max  # where an edge to its word's end leads
 _LITERAL = "\ud800"  # stands for U+2581 in a text; no text has it
 
 
@@ -222,8 +224,8 @@ def word_places(texts: pa.Array, vocabulary: Vocabulary) -> tuple[str, np.ndarra
 class Lattice:
     """The lattices of distinct words, side by side: edges, shares of all ways to the word's end, likeliest ways."""
 
-    def __init__(self, words: str, sizes: np.ndarray, vocabulary: Vocabulary) -> None:
-        """``words`` joined, ``sizes`` their lengths."""
+    def __init__(self, written: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> None:
+        """``written``: the words' code points, joined; ``sizes`` their lengths."""
         classes, _, piece = vocabulary.trie
         # Places go by distance from their word's end, then by word, longer ones first: those of equal distance lie side by side.
         order = np.argsort(-sizes, kind="stable")
@@ -234,7 +236,6 @@ class Lattice:
         rank = np.empty(len(sizes), np.int64)
         rank[order] = np.arange(len(sizes))
         self.starts = offset[sizes] + rank
-        written = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(written)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
         self.codes = np.empty(n, np.uint32)
@@ -263,7 +264,7 @@ class Lattice:
         count = np.zeros(n, np.int64)
         for where, *_ in edges:
             count[where] += 1
-        self.end, self.first = n, _firsts(count)
+        self.first = _firsts(count)
         self.to, self.piece = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32)
         free = self.first[1:].copy()
         for where, to, pieces in edges:
@@ -297,13 +298,21 @@ class Lattice:
             if distance > _RESCALE:
                 low_total[here], low_best[here] = by_total + np.log(total[here]), by_best + np.log(best[here])
                 total[here] = best[here] = 1.0
+        self.to[self.to == n] = _END
         before = np.cumsum(share)
         self.share, self.upto = share, before - np.repeat(before[self.first[:-1]] - share[self.first[:-1]], count)
-        # What the other edges of a place have: summed where it is the lesser part, so that little isn't lost beside 1.
-        lesser = np.add.reduceat(np.where(share > 0.5, 0.0, share), self.first[:-1]) if n else np.zeros(0)
+        # What the lesser edges of a place have together, so that little isn't lost beside 1.
+        self.lesser = np.add.reduceat(np.where(share > 0.5, 0.0, share), self.first[:-1]) if n else np.zeros(0)
+
+    def log_share(self, edges: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(self.share[edges])
+
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Logarithms of what the other edges of the edges' places have: summed where it is the lesser part."""
+        share = self.share[edges]
         with np.errstate(divide="ignore"):
-            self.log_share = np.log(share)
-            self.log_rest = np.log(np.where(share > 0.5, np.repeat(lesser, count), 1 - share))
+            return np.log(np.where(share > 0.5, self.lesser[self.place[edges]], 1 - share))
 
     def likeliest(self) -> tuple[np.ndarray, np.ndarray]:
         """(first edge of each word and the end, edges) of the best ways of all words."""
@@ -330,7 +339,7 @@ class Lattice:
             found.append((who, e))
             sizes[who] += 1
             to = self.to[e]
-            more = to < self.end
+            more = to < _END
             at, who = to[more], who[more]
         first, out = np.cumsum(sizes) - sizes, np.empty(sizes.sum(), np.int64)
         for r, (who, e) in enumerate(found):
@@ -338,6 +347,39 @@ class Lattice:
         return sizes, out
 
 
+class Shelf(Lattice):
+    """Lattices joined into one: some stay, others behind them make room for the next. Its arrays may be longer than what is in use."""
+
+    _OF_PLACES, _OF_EDGES = ("codes", "first", "way", "lesser"), ("to", "piece", "place", "share", "upto")
+
+    def __init__(self, lattices: Iterable[Lattice]) -> None:
+        """Of the lattices that stay."""
+        self.starts, self.kept = np.zeros(0, np.int64), (0, 0, 0)
+        for lattice in lattices:
+            self.put(lattice)
+            self.kept = self.size
+
+    def put(self, more: Lattice) -> None:
+        """Place a lattice behind those that stay."""
+        words, places, edges = self.kept
+        self.size = words + len(more.starts), places + len(more.codes), edges + len(more.to)
+        self.starts = np.concatenate([self.starts[:words], more.starts + places])
+        shifts = {"first": edges, "way": edges, "place": places}
+        for name in (*self._OF_PLACES, *self._OF_EDGES):
+            new, at = getattr(more, name), places if name in self._OF_PLACES else edges
+            held = getattr(self, name, new[:0])
+            if len(held) < at + len(new):
+                room = np.empty((at + len(new)) * 9 // 8, new.dtype)
+                room[:at] = held[:at]
+                setattr(self, name, held := room)
+            here = held[at : at + len(new)]
+            if name == "to":
+                np.add(new, places, out=here, where=new < _END)
+                here[new == _END] = _END
+            else:
+                np.add(new, new.dtype.type(shifts[name]), out=here) if name in shifts else np.copyto(here, new)
+
+
 def _mixed(x: np.ndarray, part: np.ndarray | int) -> np.ndarray:
     """A hash of a hash and a further part (SplitMix64; its three numbers are fixed values)."""
     with np.errstate(over="ignore"):
@@ -442,7 +484,7 @@ def sample_segmentations(lattice: Lattice, words: np.ndarray, texts: np.ndarray,
             # Fresh draws: the rest of the word left at, and all later words.
             live = np.flatnonzero(alive)
             to = lattice.to[alt_edge[live]]
-            inner = to < lattice.end
+            inner = to < _END
             later = np.flatnonzero(alive[place_text] & (np.arange(len(words)) > alt_word[place_text]))
             owners = np.concatenate([alt_word[live][inner], later])
             at = np.concatenate([to[inner], starts[later]])
@@ -464,12 +506,12 @@ def sample_segmentations(lattice: Lattice, words: np.ndarray, texts: np.ndarray,
             word[first[live] + kept_sizes[live]], edge[first[live] + kept_sizes[live]] = alt[0][live], alt[1][live]
         to = _ranges(first[1:] - fresh_sizes, fresh_sizes)
         word[to], edge[to] = fresh_word, fresh_edge
-        upto = np.concatenate([[0.0], np.cumsum(lattice.log_share[edge])])
+        upto = np.concatenate([[0.0], np.cumsum(lattice.log_share(edge))])
         before = upto[:-1] - np.repeat(upto[first[:-1]], sizes)
         # Nodes on the shared prefix, the one it left included, belong to the earlier path.
         bound = np.full(len(edge), -np.inf)
         owner = np.repeat(np.arange(n), fresh_sizes)
-        bound[to] = _below(before[to] + lattice.log_rest[fresh_edge], value[owner], _uniform(_mixed(_hashed(keys, s, 1002)[owner], to - first[owner])))
+        bound[to] = _below(before[to] + lattice.log_rest(fresh_edge), value[owner], _uniform(_mixed(_hashed(keys, s, 1002)[owner], to - first[owner])))
         rounds.append(_Paths(first, word, edge, before, bound, upto[first[1:]] - upto[first[:-1]]))
         values.append(np.where(alive, value, -np.inf))
     return [(p, v, best) for p, v in zip(rounds, values, strict=True)] if samples else []
@@ -501,21 +543,61 @@ class Segmented:
     samples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def segment_all(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary, samples: int = SAMPLES) -> Segmented:
-    """Encodings and samples of texts, none null; samples by falling perturbed value."""
+def segment_blocks(texts: pa.Array, keys: np.ndarray, ends: list[int], vocabulary: Vocabulary, samples: int = SAMPLES) -> Iterator[Segmented]:
+    """Encodings and samples of texts, none null, a block of rows at a time (``ends`` has the blocks' ends); samples by falling perturbed value.
+
+    A word's lattice is made once for each block that has it, or once for all of them if many have.
+    """
     joined, lengths, words, first = word_places(texts, vocabulary)
-    lattice = Lattice(joined, lengths, vocabulary)
-    # The encoding joins those of the words, each worked out once.
-    word_first, edges = lattice.likeliest()
-    word_ids, word_first = _spelled(lattice, edges, word_first, vocabulary)
-    sizes = np.diff(word_first)[words]
-    out = Segmented(word_ids[_ranges(word_first[words], sizes)], _firsts(sizes)[first], [])
-    for paths, value, threshold in sample_segmentations(lattice, words, first, keys, samples):
-        ids, starts = _spelled(lattice, paths.edge, paths.first, vocabulary)
-        with np.errstate(over="ignore", invalid="ignore"):
-            inside = np.where(np.isneginf(threshold), 1.0, -np.expm1(-np.exp(np.minimum(paths.logp - threshold, 700))))
-        out.samples.append((ids, starts, paths.logp, inside, value > -np.inf))
-    return out
+    written, begins = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), _firsts(lengths)[:-1]
+    spans = list(zip([0, *ends[:-1]], ends, strict=True))
+
+    def found(a: int, b: int) -> np.ndarray:
+        there = np.zeros(len(lengths), bool)
+        there[words[first[a] : first[b]]] = True
+        return there
+
+    def made(some: np.ndarray) -> Lattice:
+        return Lattice(written[_ranges(begins[some], lengths[some])], lengths[some], vocabulary)
+
+    blocks = np.zeros(len(lengths), np.int32)
+    for a, b in spans if len(spans) >= _OFTEN else []:
+        blocks += found(a, b)
+    often = np.flatnonzero(blocks >= _OFTEN)
+    # No more at once than a block's words may have.
+    pieces = np.split(often, np.flatnonzero(np.diff(np.cumsum(lengths[often]) // (_BATCH_CHARS // 2))) + 1) if len(often) else []
+    shelf = Shelf(map(made, pieces))
+    often_first, edges = shelf.likeliest() if len(often) else (np.zeros(1, np.int64), np.zeros(0, np.int64))
+    often_ids, often_first = _spelled(shelf, edges, often_first, vocabulary) if len(often) else (np.zeros(0, np.int32), often_first)
+    number = np.zeros(len(lengths), np.int64)
+    number[often] = np.arange(len(often))
+    for a, b in spans:
+        there = found(a, b)
+        there[often] = False
+        own = np.flatnonzero(there)
+        number[own] = len(often) + np.arange(len(own))
+        lattice = made(own)
+        # The encoding joins those of the words, each worked out once.
+        own_first, edges = lattice.likeliest()
+        own_ids, own_first = _spelled(lattice, edges, own_first, vocabulary)
+        word_ids, word_first = np.concatenate([often_ids, own_ids]), np.concatenate([often_first, often_first[-1] + own_first[1:]])
+        if len(often):
+            shelf.put(lattice)
+            lattice = shelf
+        mine, at = number[words[first[a] : first[b]]], first[a : b + 1] - first[a]
+        sizes = np.diff(word_first)[mine]
+        out = Segmented(word_ids[_ranges(word_first[mine], sizes)], _firsts(sizes)[at], [])
+        for paths, value, threshold in sample_segmentations(lattice, mine, at, keys[a:b], samples):
+            ids, starts = _spelled(lattice, paths.edge, paths.first, vocabulary)
+            with np.errstate(over="ignore", invalid="ignore"):
+                inside = np.where(np.isneginf(threshold), 1.0, -np.expm1(-np.exp(np.minimum(paths.logp - threshold, 700))))
+            out.samples.append((ids, starts, paths.logp, inside, value > -np.inf))
+        yield out
+
+
+def segment_all(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary, samples: int = SAMPLES) -> Segmented:
+    """Encodings and samples of texts, none null, as one block."""
+    return next(segment_blocks(texts, keys, [len(texts)], vocabulary, samples))
 
 
 def segment(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, samples: int = SAMPLES) -> list[tuple[np.ndarray, list[tuple[np.ndarray, float, float]]]]:
@@ -538,12 +620,12 @@ SAMPLE_TYPE = "array<struct<ids: array<int>, log_probability: double, inclusion:
 _SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_probability", pa.float64()), ("inclusion", pa.float64())])
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, about _BATCH_CHARS of column text each."""
+def _blocks(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, about so many characters of column text each."""
     sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + _BATCH_CHARS, "right")))
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + chars, "right")))
         yield batch.slice(a, b - a)
         a = b
 
@@ -594,14 +676,15 @@ def encode_texts(docs: DataFrame, model: bytes | None = None, samples: int = SAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _loaded(model)
-        for batch in batches:
-            for part in _blocks(batch):
-                text = part.column("text")
-                null, filled = text.is_null().to_numpy(zero_copy_only=False), pc.fill_null(text, "")
-                found = segment_all(filled, part.column(hashed).to_numpy(zero_copy_only=False).astype(np.int64), vocabulary, samples)
+        for group in (g for batch in batches for g in _blocks(batch, _GROUP_CHARS)):
+            parts = list(_blocks(group, _BATCH_CHARS))
+            ends = np.cumsum([p.num_rows for p in parts]).tolist()
+            filled, keys = pc.fill_null(group.column("text"), ""), group.column(hashed).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part, end, found in zip(parts, ends, segment_blocks(filled, keys, ends, vocabulary, samples), strict=True):
+                null = part.column("text").is_null().to_numpy(zero_copy_only=False)
                 told = _columns(found, null)
                 if check:
-                    told.append(pc.if_else(pa.array(null), None, pa.array(_round_trips(filled.to_pylist(), found, vocabulary))))
+                    told.append(pc.if_else(pa.array(null), None, pa.array(_round_trips(filled[end - part.num_rows : end].to_pylist(), found, vocabulary))))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *told], [*names, "ids", "samples", *["round_trip"] * check])
 
     return held.withColumn(hashed, F.xxhash64(F.col(key).cast("string"), F.lit(seed))).mapInArrow(run, widened(held, more))
