@@ -3,9 +3,11 @@
 import random
 from datetime import UTC, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import live
 from tidemark.streaming import ROCKS, run_appended
 from tidemark.streaming.breakers import DAY, HOUR, MINUTE, Limits, breaker_changes
 from tidemark.streaming.marks import marked, newest
@@ -76,6 +78,20 @@ def test_breakers_equal_a_plain_fold(spark, tmp_path, files):
     assert {(b, c) for _, _, b, c, _ in want} == {("daily_loss", "trip"), ("daily_loss", "expire"), ("consecutive_loss", "trip"), ("consecutive_loss", "expire"), ("strategy_loss", "trip"), ("strategy_loss", "expire"), ("drawdown", "trip"), ("drawdown", "release")}
 
 
+def test_breakers_of_an_idle_strategy_equal_sql(spark, tmp_path):
+    """A strategy that fell by more than 15 % and rests for 50 days is still reduced when it comes back, and after."""
+    values = [(0, 300.0), (1, -500.0), (2, 49.0), (51, 49.0), (52, 20.0), (53, 900.0), (54, -300.0), (120, 51.0)]
+    rows = [(k, START + day * DAY, 1, value) for k, (day, value) in enumerate(values)] + [(100 + k, START + k * DAY, 2, 45.0) for k in range(121)]
+    write(spark, tmp_path, [rows], "event_id long, ts long, user_id long, value double")
+    (tmp_path / "t-000.parquet").rename(tmp_path / "events.parquet")
+    got = live.stream_breakers(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'").fetchall()
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({live.ORACLE['stream_breakers'].replace('{events}', 'events')}) q").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {r["change"] for r in got.where("strategy = 1 and breaker = 'drawdown'").collect()} == {"trip", "release"}
+
+
 def test_state_shrinks(spark, tmp_path):
     rows = [[(k, START + k * MINUTE, k % 50, -5.0) for k in range(500)], [(900, START + 30 * DAY, 99, 1.0)]]
     write(spark, tmp_path, rows, "trade_id long, ts long, strategy long, pnl double")

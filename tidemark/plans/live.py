@@ -17,10 +17,10 @@ MIDDLE, CAPITAL = 50, 2000
 
 
 def stream_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every trip, release and expiry of the strategies' breakers, complete to ten minutes before the newest trade."""
+    """Every trip, release and expiry of the strategies' breakers, complete to ten minutes before the newest trade; no account is forgotten."""
 
     def build(events: DataFrame) -> DataFrame:
-        return breaker_changes(events.select("ts", F.col("event_id").alias("trade_id"), F.col("user_id").alias("strategy"), (F.col("value") - MIDDLE).alias("pnl")), Limits(capital=float(CAPITAL)))
+        return breaker_changes(events.select("ts", F.col("event_id").alias("trade_id"), F.col("user_id").alias("strategy"), (F.col("value") - MIDDLE).alias("pnl")), Limits(capital=float(CAPITAL), idle=None))
 
     rows = run_appended(spark, sf_dir, "events.parquet", build)
     time = lambda c: F.when(F.col(c) >= 0, F.timestamp_micros(c).cast("timestamp_ntz"))
@@ -44,7 +44,7 @@ def stream_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_breakers, stream_marks)}
 
-#: A fold over each strategy's trades, one recursion a trade. No strategy of the tables is idle for 30 days.
+#: A fold over each strategy's trades, one recursion a trade.
 ORACLE = {
     "stream_breakers": f"""WITH RECURSIVE e AS (SELECT user_id AS strategy, ts AS tm, value - {MIDDLE} AS pnl, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {{events}} WHERE epoch_us(ts) <= 1000 * ((SELECT max(epoch_ms(ts)) FROM {{events}}) - 600000)),
 q AS (SELECT *, {CAPITAL} + sum(pnl) OVER w AS equity, CAST(tm AS DATE) AS day, {CAPITAL} + coalesce(sum(pnl) OVER v, 0) AS before FROM e WINDOW w AS (PARTITION BY strategy ORDER BY rn), v AS (PARTITION BY strategy ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

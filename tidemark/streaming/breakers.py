@@ -7,7 +7,8 @@ loss of the strategy's allocation pauses for a day. Trades may arrive out of
 order: they wait in state until the watermark has passed them and are then
 folded in order, so the result doesn't depend on how they came in batches.
 Timers at the next waiting trade and the next expiry drive this. An account that
-is idle for long is forgotten, and starts afresh with its next trade.
+is idle for longer than ``idle`` is forgotten, and starts afresh with its next
+trade; without that limit the state keeps an account for each strategy.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ CHANGES = "strategy long, at long, breaker string, action string, change string,
 
 @dataclass(frozen=True)
 class Limits:
-    """Shares of the equity or allocation; times in microseconds."""
+    """Shares of the equity or allocation; times in microseconds. ``idle`` None: accounts are never forgotten."""
 
     capital: float = 10_000.0
     daily_loss: float = 0.02
@@ -39,7 +40,7 @@ class Limits:
     strategy_loss: float = 0.05
     strategy_pause: int = 24 * HOUR
     open_at: int = 9 * HOUR + 30 * MINUTE
-    idle: int = 30 * DAY
+    idle: int | None = 30 * DAY
 
 
 @dataclass
@@ -72,7 +73,7 @@ def expire(account: Account, upto: int, limits: Limits) -> tuple[Account, list[t
         if until <= upto:
             setattr(account, name, -1)
             out.append((until, breaker, ACTIONS[breaker], "expire", until))
-    if 0 <= account.last < upto - limits.idle:
+    if limits.idle is not None and 0 <= account.last < upto - limits.idle:
         if account.reduced:
             out.append((account.last + limits.idle, "drawdown", "reduce", "release", -1))
         account = Account(limits.capital, limits.capital)
@@ -137,7 +138,7 @@ class Breakers(StatefulProcessor):
             self.account.update(astuple(account))
         elif held:
             self.account.clear()
-        due = [x for x, _, _ in rest[:1]] + [x for x, _, _ in account.expiries()[:1]] + ([account.last + self.limits.idle + 1] if account.last >= 0 else [])
+        due = [x for x, _, _ in rest[:1]] + [x for x, _, _ in account.expiries()[:1]] + ([account.last + self.limits.idle + 1] if self.limits.idle is not None and account.last >= 0 else [])
         if due:
             self.handle.registerTimer(-(-min(due) // 1000))
         if out:
