@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pandas as pd
@@ -49,6 +50,33 @@ def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def _lineitem(spark, folder, rows):
+    """Tables of which lineitem has (supplier, day, price, quantity) as given, one line an order."""
+    lines = [(k, 1, symbol, 1, float(quantity), price * quantity, 0.0, 0.0, "N", "O", datetime(2024, 1, 1) + timedelta(days=day)) for k, (symbol, day, price, quantity) in enumerate(rows)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, columns).write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'").fetchall()
+    return con
+
+
+def _equal_to_sql(spark, con, folder, name):
+    """The query's rows, held against its SQL."""
+    rows = registry.QUERIES[name](spark, str(folder))
+    columns = sorted(rows.columns)
+    got = sorted((tuple(plain(v) for v in r) for r in rows.select(*columns).collect()), key=str)
+    assert got == sorted((tuple(plain(v) for v in r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE[name]}) q").fetchall()), key=str)
+    return got
+
+
+def test_rolling_stats_of_equal_volumes(spark, tmp_path):
+    """Symbol 1 begins with two equal volumes, symbol 2 has a full window of them."""
+    rng = random.Random(3)
+    rows = [(1, k, 10.0 + rng.randrange(9), [7, 7, 9][min(k, 2)] + k % 4 * (k > 2)) for k in range(70)] + [(2, k, 10.0 + rng.randrange(9), 5 if k < 25 else 5 + k % 3) for k in range(40)]
+    got = _equal_to_sql(spark, _lineitem(spark, tmp_path, rows), tmp_path, "win_rolling_stats")
+    assert sum(r[0] == "nan" for r in got) == 6 and sum(r[0] is None for r in got) == 38
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["month", "symbol", "close", "momentum", "place", "weight", "stop", "target"]
 

@@ -95,6 +95,23 @@ def strat_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crossings(moving_averages(bars(spark, sf_dir)), F.col("macd_hist")).select("symbol", "ts", "side", cut(strength, 6).alias("strength"))
 
 
+def win_rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratio, z-score, sums and the correlation of close and volume over a symbol's last rows.
+
+    The correlation comes from its parts: Spark's own fails on windows of equal values, also on those that aren't full yet. Over a full one it is NaN.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    rolled = lambda x, c, n: F.when(F.count(c).over(w.rowsBetween(1 - n, 0)) == n, x.over(w.rowsBetween(1 - n, 0)))
+    none = lambda x: F.nullif(x, F.lit(0))
+    rows = returns(spark, sf_dir).withColumns({
+        "sharpe": rolled(F.avg("ret"), "ret", 60) / none(rolled(F.stddev_samp("ret"), "ret", 60)) * F.sqrt(F.lit(252)), "z": (F.col("close") - rolled(F.avg("close"), "close", 60)) / none(rolled(F.stddev_samp("close"), "close", 60)),
+        "sum": rolled(F.sum("ret"), "ret", 20), "all": F.sum("ret").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "both": rolled(F.covar_pop("close", "volume"), "close", 20), "apart": rolled(F.stddev_pop("close"), "close", 20) * rolled(F.stddev_pop("volume"), "close", 20),
+    })
+    corr = F.when(F.col("apart") == 0, F.lit(float("nan"))).otherwise(cut(F.col("both") / none(F.col("apart")), 4))
+    return rows.select("symbol", "ts", cut(F.col("sharpe"), 4).alias("sharpe_60"), cut(F.col("z"), 4).alias("z_60"), cut(F.col("sum"), 6).alias("ret_20"), cut(F.col("all"), 6).alias("cumulative"), corr.alias("corr_20"))
+
+
 def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-9, 0)
     rows = returns(spark, sf_dir).withColumns({"v": F.collect_list("close").over(w), "u": F.collect_list("volume").over(w), "r": F.collect_list("ret").over(w)})
@@ -161,7 +178,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(spark, sf_dir, "events.parquet", sessions).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (join_asof, join_asof_atr, ind_macd, ind_adx, ind_ema, ind_wilder, ind_macd_divergence, strat_ema_cross, strat_macd, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
+QUERIES = {f.__name__: f for f in (join_asof, join_asof_atr, ind_macd, ind_adx, ind_ema, ind_wilder, ind_macd_divergence, strat_ema_cross, strat_macd, win_rolling_stats, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
 _EMA = """WITH RECURSIVE """ + with_views("""+ s AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars),
 e AS (SELECT symbol, ts, rn, close, close AS e9, close AS e12, close AS e26, close AS e30, 0e0 AS sig FROM s WHERE rn = 1
   UNION ALL SELECT s.symbol, s.ts, s.rn, s.close, 0.2e0 * s.close + 0.8e0 * e9, (2 * s.close + 11 * e12) / 13, (2 * s.close + 25 * e26) / 27, (2 * s.close + 29 * e30) / 31,
