@@ -29,3 +29,13 @@ def test_gates_equal_a_loop(spark, gap):
 def test_empty(spark):
     df = spark.createDataFrame([], "k int, day date")
     assert chained(after_gap(df, ["k"], "day", 3), ["k"], "day", 3).count() == 0
+
+
+def test_chains_grow_no_plan(spark):
+    """One exchange and no join, however long the chains; columns come along."""
+    rows = spark.createDataFrame([(k, date(2020, 1, 1) + timedelta(days=d), f"{k}-{d // 3 % 2}") for k in range(3) for d in range(0, 1500, 1 + k)], "k int, day date, state string")
+    got = chained(after_change(rows, ["k"], "day", "state", 1), ["k"], "day", 1, ("state",))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan and plan.count("Aggregate") == 1
+    found = [(r["k"], (r["day"] - date(2020, 1, 1)).days, r["state"]) for r in got.orderBy("k", "day").collect()]
+    assert [x for x in found if x[0] == 0] == [(0, d, f"0-{d // 3 % 2}") for d in range(0, 1500, 3)] and all(state == f"{k}-{d // 3 % 2}" for k, d, state in found)
