@@ -20,7 +20,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strat_rotation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates on which a symbol's position is rotated: the state is another one than at the last rotation, five days ago at least."""
     rows = _states(spark, sf_dir)
-    return chained(after_change(rows, ["symbol"], "ts", "state", 5), ["symbol"], "ts", 5).join(rows, ["symbol", "ts"])
+    return chained(after_change(rows, ["symbol"], "ts", "state", 5), ["symbol"], "ts", 5, ("state",))
 
 
 def strat_rebalance_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
