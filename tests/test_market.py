@@ -148,6 +148,35 @@ def test_portfolio_conserves_cash(spark):
     assert rows[-1]["positions"] == 0
 
 
+def test_portfolio_equals_a_plain_fold_and_holds_no_bars(spark):
+    """All runs against a loop over days; what one task folds are signals with their exits."""
+    rng, start = random.Random(8), datetime(2024, 1, 1)
+    rows = [(s, start + timedelta(days=d), rng.choice([8.0, 9.5, 10.0, 12.0, 15.5]) * (1 + s % 3)) for s in range(12) for d in range(60) if rng.random() < 0.7]
+    wanted = {(s, ts) for s, ts, _ in rows if s < 10 and rng.random() < 0.15}
+    settings = [(1, 0.9, 1.2, 0.3), (2, 0.5, 1.5, 0.1), (3, 0.99, 1.01, 0.6)]
+    want = {}
+    for run, stop, target, size in settings:
+        money, held, last = 1000.0, {}, {}
+        for day in sorted({ts for s, ts, _ in rows if s < 10}):
+            today = sorted(r for r in rows if r[1] == day and r[0] < 10)
+            for s, _, close in today:
+                last[s] = close
+                if s in held and not stop < close / held[s][1] < target:
+                    money += held.pop(s)[0] * close
+            for s, ts, close in today:
+                shares = int(min(size * money, 0.95 * money) / close) if (s, ts) in wanted and s not in held else 0
+                if shares > 0:
+                    held[s] = shares, close
+                    money -= shares * close
+            want[run, day] = (money + sum(q * last[s] for s, (q, _) in held.items()), money, len(held))
+    bars = spark.createDataFrame(rows, "symbol long, ts timestamp_ntz, close double")
+    signals = spark.createDataFrame(sorted(wanted), "symbol long, ts timestamp_ntz")
+    got = portfolio_runs(signals, bars, spark.createDataFrame(settings, "run_id long, stop double, target double, size double"), cash=1000.0)
+    assert {(r["run_id"], r["ts"]): (r["equity"], r["cash"], r["positions"]) for r in got.collect()} == {k: (pytest.approx(v[0]), pytest.approx(v[1]), v[2]) for k, v in want.items()}
+    assert max(v[2] for v in want.values()) > 2
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bootstrap_agrees_with_itself(spark):
     rows = spark.createDataFrame([(1, i, 0.01 + 0.001 * (i % 7)) for i in range(60)], "symbol long, ts int, ret double")
     a, b = (bootstrap(rows, runs=50).first() for _ in range(2))
