@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.operators import joins
+from tidemark.operators import joins, pairs
 from tidemark.operators.joins import asof_join
 from tidemark.operators.recursive import moving_averages
 from tidemark.operators.robust import bootstrap
@@ -77,6 +77,37 @@ def test_rolling_stats_of_equal_volumes(spark, tmp_path):
     assert sum(r[0] == "nan" for r in got) == 6 and sum(r[0] is None for r in got) == 38
 
 
+def _pair_tables(spark, folder, moved):
+    """Eight symbols of one industry, one of another: walks, a copy of a walk, a constant one, one with few days."""
+    rng, rows = random.Random(2), []
+    for s in range(9):
+        price = 10.0
+        for d in range(90):
+            price = 7.0 if s == 4 else max(1.0, price + rng.choice([-1.0, -0.5, 0.25, 0.5, 1.0]))
+            if s != 3 and rng.random() < (0.2 if s == 6 else 0.85):
+                rows.append((s, d, price, 1 + d % 5))
+    # An equal copy has a spread of 0: its noise, in another engine, has a half-life.
+    rows += [(3, d, price + moved * (d % 7), q) for s, d, price, q in rows if s == 1]
+    con = _lineitem(spark, folder, rows)
+    for name, data, columns in (("supplier", [(s, f"S{s}", 0 if s < 8 else 1, 0.0) for s in range(9)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"), ("nation", [(0, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int"), ("region", [(0, "R")], "r_regionkey int, r_name string")):
+        spark.createDataFrame(data, columns).write.parquet(f"{folder}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'").fetchall()
+    return con
+
+
+@pytest.mark.parametrize("name", ["join_pairs"])
+def test_pairs_over_blocks_equal_sql_and_join_no_bars(spark, tmp_path, monkeypatch, name):
+    """Blocks of three symbols: pairs within and across them, equal series and one that doesn't vary; no row for a pair and day is shuffled."""
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    con = _pair_tables(spark, tmp_path, 0.0 if name == "join_pairs" else 0.25)
+    got = _equal_to_sql(spark, con, tmp_path, name)
+    assert len(got) > 15
+    if name == "join_pairs":
+        assert sum("nan" in r for r in got) >= 5 and len({r[:2] for r in got}) == len(got)
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by") <= 1 and "FlatMapGroupsInArrow" in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["month", "symbol", "close", "momentum", "place", "weight", "stop", "target"]
 

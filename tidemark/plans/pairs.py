@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.cointegration import engle_granger
+from tidemark.operators.pairs import co_movement, crossings, paired, qualified
 from tidemark.plans.composed import _cdf, cut, view
 from tidemark.plans.views import rounded, with_views
+from tidemark.sources import table
 
 #: Weekly indices of nations: the deviations of mean closes from their own mean, in parts. Every third nation walks by itself,
 #: the others with their region and a mean-reverting part of their own, the mean of their last twelve deviations.
@@ -25,7 +27,27 @@ def strat_cointegration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("first", "second", "n", *(cut(F.col(c), 4).alias(c) for c in ("correlation", "hedge", "half_life", "statistic", "p_value")), "valid")
 
 
-QUERIES = {f.__name__: f for f in (strat_cointegration,)}
+def _paired(spark: SparkSession, sf_dir: str, fold, columns: str) -> DataFrame:  # noqa: ANN001
+    """Pairs of one industry that share 20 days at least."""
+    sectors = view(spark, sf_dir, "SELECT symbol, industry FROM sectors", "sectors")
+    # Dealt by symbol at once, bars and series need no further exchange.
+    bars = spark.sql(with_views("SELECT symbol, ts, close FROM bars", "bars"), lineitem=table(spark, sf_dir, "lineitem").repartition("l_suppkey"))
+    return paired(bars, sectors, fold, columns, 20)
+
+
+def join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir, co_movement, "a long, b long, industry string, n long, correlation double, hedge double, spread double")
+
+
+def strat_pairs_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir, qualified, "a long, b long, n long, correlation double, hedge double, p_value double, half_life double, valid boolean")
+
+
+def strat_pairs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir, crossings, "a long, b long, ts timestamp_ntz, z double, action string")
+
+
+QUERIES = {f.__name__: f for f in (strat_cointegration, join_pairs)}
 _P = f"CASE WHEN t > 0.92 THEN 1 WHEN t < -18.86 THEN 0 WHEN t <= -2.62 THEN {_cdf('(2.92 + 1.5012 * t + 0.039796 * t * t)')} ELSE {_cdf('(2.1945 + 0.64695 * t - 0.29198 * t * t - 0.042377 * t * t * t)')} END"
 ORACLE = {
     "strat_cointegration": rounded(with_views(INDICES + f""", p AS (SELECT x.nation AS f, y.nation AS s, x.ts, x.price AS a, y.price AS b, row_number() OVER (PARTITION BY x.nation, y.nation ORDER BY x.ts DESC) AS back FROM ix x JOIN ix y ON x.region = y.region AND x.ts = y.ts AND x.nation < y.nation),
