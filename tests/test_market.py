@@ -95,7 +95,7 @@ def _pair_tables(spark, folder, moved):
     return con
 
 
-@pytest.mark.parametrize("name", ["join_pairs", "strat_pairs_qualified"])
+@pytest.mark.parametrize("name", ["join_pairs", "strat_pairs_qualified", "strat_pairs_scan"])
 def test_pairs_over_blocks_equal_sql_and_join_no_bars(spark, tmp_path, monkeypatch, name):
     """Blocks of three symbols: pairs within and across them, equal series and one that doesn't vary; no row for a pair and day is shuffled."""
     monkeypatch.setattr(pairs, "BLOCK", 3)

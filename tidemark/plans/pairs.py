@@ -47,7 +47,7 @@ def strat_pairs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paired(spark, sf_dir, crossings, "a long, b long, ts timestamp_ntz, z double, action string")
 
 
-QUERIES = {f.__name__: f for f in (strat_cointegration, join_pairs, strat_pairs_qualified)}
+QUERIES = {f.__name__: f for f in (strat_cointegration, join_pairs, strat_pairs_qualified, strat_pairs_scan)}
 _P = f"CASE WHEN t > 0.92 THEN 1 WHEN t < -18.86 THEN 0 WHEN t <= -2.62 THEN {_cdf('(2.92 + 1.5012 * t + 0.039796 * t * t)')} ELSE {_cdf('(2.1945 + 0.64695 * t - 0.29198 * t * t - 0.042377 * t * t * t)')} END"
 ORACLE = {
     "strat_cointegration": rounded(with_views(INDICES + f""", p AS (SELECT x.nation AS f, y.nation AS s, x.ts, x.price AS a, y.price AS b, row_number() OVER (PARTITION BY x.nation, y.nation ORDER BY x.ts DESC) AS back FROM ix x JOIN ix y ON x.region = y.region AND x.ts = y.ts AND x.nation < y.nation),
