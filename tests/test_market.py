@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.operators import joins, pairs
+from tidemark.operators import joins, neighbours, pairs
 from tidemark.operators.joins import asof_join
 from tidemark.operators.recursive import moving_averages
 from tidemark.operators.robust import bootstrap
@@ -108,6 +108,18 @@ def test_pairs_over_blocks_equal_sql_and_join_no_bars(spark, tmp_path, monkeypat
     assert plan.count("max_by") <= 1 and "FlatMapGroupsInArrow" in plan
 
 
+def test_novelty_over_blocks_equals_sql(spark, tmp_path, monkeypatch):
+    """Blocks of a few symbols, equal points, and one of a single bar, which is near to none; no join of all pairs."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    rng = random.Random(5)
+    rows = [(s, d, 10.0 + rng.randrange(20), 1 + rng.randrange(9)) for s in range(15) for d in range(12)] + [(20, 3, 10.0, 2)]
+    rows += [(30 + k, d, price, q) for k in range(7) for s, d, price, q in rows if s == 1]
+    con = _lineitem(spark, tmp_path, rows)
+    got = _equal_to_sql(spark, con, tmp_path, "join_novelty")
+    assert len(got) == 23 and sum(r[0] is None for r in got) == 1 and sum(r[0] == 0 for r in got) == 8
+    assert "Join" not in registry.QUERIES["join_novelty"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["month", "symbol", "close", "momentum", "place", "weight", "stop", "target"]
 

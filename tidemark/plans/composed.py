@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import crosses_above, majority_positive, normal_cdf, normal_ppf, rising, trigram_distance
 from tidemark.operators.joins import asof_join
+from tidemark.operators.neighbours import novelty
 from tidemark.operators.recursive import directional_index, moving_averages, wilder_indicators
 from tidemark.operators.robust import bootstrap, cross_validation
 from tidemark.operators.simulate import breakout_trades, portfolio_runs
-from tidemark.plans.market import SQL
+from tidemark.plans.market import POP, SQL
 from tidemark.plans.views import rounded, with_views
 from tidemark.sources import TABLES, table
 from tidemark.streaming import run_to_end, sessions, tumbling_bars
@@ -95,6 +96,12 @@ def strat_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crossings(moving_averages(bars(spark, sf_dir)), F.col("macd_hist")).select("symbol", "ts", "side", cut(strength, 6).alias("strength"))
 
 
+def join_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each symbol is from its five nearest by mean return, its calm and its volume."""
+    near = novelty(view(spark, sf_dir, f"+ {POP} SELECT symbol, gain, calm, liquid FROM pop", "rets"), {"gain": 1e3, "calm": 10.0, "liquid": 1.0}, 5)
+    return near.withColumn("novelty", cut(F.col("novelty"), 4))
+
+
 def win_rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratio, z-score, sums and the correlation of close and volume over a symbol's last rows.
 
@@ -178,7 +185,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(spark, sf_dir, "events.parquet", sessions).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (join_asof, join_asof_atr, ind_macd, ind_adx, ind_ema, ind_wilder, ind_macd_divergence, strat_ema_cross, strat_macd, win_rolling_stats, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
+QUERIES = {f.__name__: f for f in (join_asof, join_asof_atr, ind_macd, ind_adx, ind_ema, ind_wilder, ind_macd_divergence, strat_ema_cross, strat_macd, join_novelty, win_rolling_stats, fn_vectors, fn_trigrams, fn_json, sim_breakout, sim_portfolio, rob_cross_validation, rob_bootstrap, met_probabilistic_sharpe, stream_bars, stream_sessions)}
 _EMA = """WITH RECURSIVE """ + with_views("""+ s AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars),
 e AS (SELECT symbol, ts, rn, close, close AS e9, close AS e12, close AS e26, close AS e30, 0e0 AS sig FROM s WHERE rn = 1
   UNION ALL SELECT s.symbol, s.ts, s.rn, s.close, 0.2e0 * s.close + 0.8e0 * e9, (2 * s.close + 11 * e12) / 13, (2 * s.close + 25 * e26) / 27, (2 * s.close + 29 * e30) / 31,
