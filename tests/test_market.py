@@ -7,10 +7,14 @@ from datetime import datetime, timedelta
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql.functions import col
+from pyspark.sql.functions import round as spark_round
 
 import __spark_entry__ as entry
-from tidemark.operators import joins, neighbours, pairs
+from tidemark.functions import trigram_distance
+from tidemark.operators import joins, names, neighbours, pairs
 from tidemark.operators.joins import asof_join
+from tidemark.operators.names import name_distances
 from tidemark.operators.recursive import moving_averages
 from tidemark.operators.robust import bootstrap
 from tidemark.operators.simulate import breakout_trades, portfolio_runs
@@ -120,6 +124,22 @@ def test_novelty_over_blocks_equals_sql(spark, tmp_path, monkeypatch):
     assert "Join" not in registry.QUERIES["join_novelty"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_name_distances_over_blocks_equal_the_column(spark, monkeypatch):
+    """Short, empty, null and repeated names, pairs across blocks; names aren't taken apart for each pair."""
+    monkeypatch.setattr(names, "LEFT", 3)
+    monkeypatch.setattr(names, "RIGHT", 2)
+    some = ["", "a", "ab", "abc", "abcabc", "abcd", None, "Customer#1", "Customer#12", "Cüstomer", "abc"]
+    left = spark.createDataFrame([(k, s, k % 2 if k != 3 else None) for k, s in enumerate(some * 2)], "id int, name string, key int")
+    right = spark.createDataFrame([(k, s, k % 3) for k, s in enumerate(some)], "id int, name string, key int")
+    got = name_distances(left, right)
+    want = left.alias("l").join(right.alias("r"), "key").select("l.name", "r.name", spark_round(trigram_distance(col("l.name"), col("r.name")), 6))
+    # The column takes two null names for equal; the SQL has no number for them.
+    none = "left is null and right is null"
+    assert sorted(map(tuple, got.where(f"not ({none})").collect()), key=str) == sorted(map(tuple, want.toDF("left", "right", "d").where(f"not ({none})").collect()), key=str)
+    assert {str(r["distance"]) for r in got.where(none).collect()} == {"nan"} and want.count() > 60
+    assert "array_intersect" not in registry.QUERIES["fn_trigrams"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["month", "symbol", "close", "momentum", "place", "weight", "stop", "target"]
 

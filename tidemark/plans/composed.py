@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import crosses_above, majority_positive, normal_cdf, normal_ppf, rising, trigram_distance
+from tidemark.functions import crosses_above, majority_positive, normal_cdf, normal_ppf, rising
 from tidemark.operators.joins import asof_join
+from tidemark.operators.names import name_distances
 from tidemark.operators.neighbours import novelty
 from tidemark.operators.recursive import directional_index, moving_averages, wilder_indicators
 from tidemark.operators.robust import bootstrap, cross_validation
@@ -127,8 +128,9 @@ def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fn_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the name of each customer is from those of the suppliers of the same nation."""
-    customers, suppliers = table(spark, sf_dir, "customer").select("c_name", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_name", "s_nationkey")
-    return customers.join(suppliers, F.col("c_nationkey") == F.col("s_nationkey")).select("c_name", "s_name", F.round(trigram_distance(F.col("c_name"), F.col("s_name")), 6).alias("distance"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("key"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("key"))
+    return name_distances(customers, suppliers).select(F.col("left").alias("c_name"), F.col("right").alias("s_name"), "distance")
 
 
 def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
